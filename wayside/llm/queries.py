@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, linededup, substrings
+from . import ctph, decontaminate, linededup, packing, records, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +21,24 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.remove_repeats(_table(spark, sf_dir, "documents")))
 
 
+def op3_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = records.scratch(spark, "records")
+    return records.read_records(spark, path, records.write_records(_table(spark, sf_dir, "documents"), path))
+
+
+def op6_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op7_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctph.compare_with_next(_table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(linededup.dedup_lines(_table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_winnow_decontaminate, op2_substring_dedup, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_winnow_decontaminate, op2_substring_dedup, op3_binary_records, op6_power_of_two_packing, op7_piecewise_fingerprints, op10_line_dedup)}
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
