@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctph, decontaminate, linededup, packing, records, substrings
+from . import ctph, decontaminate, langid, linededup, packing, records, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,11 +34,16 @@ def op7_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.compare_with_next(_table(spark, sf_dir, "documents"))
 
 
+def op8_hierarchical_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(linededup.dedup_lines(_table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_winnow_decontaminate, op2_substring_dedup, op3_binary_records, op6_power_of_two_packing, op7_piecewise_fingerprints, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_winnow_decontaminate, op2_substring_dedup, op3_binary_records, op6_power_of_two_packing, op7_piecewise_fingerprints, op8_hierarchical_langid, op10_line_dedup)}
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
