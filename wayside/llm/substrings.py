@@ -143,7 +143,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     context = repeated.groupBy("c").agg(F.min("ord").alias("least"))
     judged = checkpointed(repeated.join(context, "c").select("ord", "tag", "pos", (F.col("least") < F.col("ord")).alias("settled")))
     open_picks = judged.where(~F.col("settled")).groupBy("ord", "tag").agg(F.collect_list("pos").alias("alive"))
-    longer = arrow_map(source.join(open_picks, ["ord", "tag"]).select("ord", "tag", "text", "alive"), _merged(_second_level(half, window)), "w long, ord long, tag int, pos binary")
+    # doc_id is here only so that both joins with the texts read one and the same shuffle.
+    longer = arrow_map(source.join(open_picks, ["ord", "tag"]).select("doc_id", "ord", "tag", "text", "alive"), _merged(_second_level(half, window)), "w long, ord long, tag int, pos binary")
     smallest = longer.groupBy("w").agg(F.min("ord").alias("least"), F.max("ord").alias("most")).where("least < most").select("w", "least")
     full = longer.join(smallest, "w").where("least < ord").select("ord", "tag", "pos", F.lit(False).alias("settled"))
     covered = judged.where("settled").unionByName(full, allowMissingColumns=True)
