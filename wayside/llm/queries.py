@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctph, decontaminate, langid, linededup, packing, records, substrings
+from . import ctph, decontaminate, htmltext, langid, linededup, packing, records, simhash, substrings, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,15 @@ def op3_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(spark, path, records.write_records(_table(spark, sf_dir, "documents"), path))
 
 
+def op4_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return urlfilter.evaluate(urlfilter.captures_of(pages), urlfilter.entries_of(pages))
+
+
+def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(simhash.groups(_table(spark, sf_dir, "documents")))
+
+
 def op6_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -39,11 +48,15 @@ def op8_hierarchical_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs))
 
 
+def op9_line_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(linededup.dedup_lines(_table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_winnow_decontaminate, op2_substring_dedup, op3_binary_records, op6_power_of_two_packing, op7_piecewise_fingerprints, op8_hierarchical_langid, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_winnow_decontaminate, op2_substring_dedup, op3_binary_records, op4_temporal_url_filter, op5_simhash_groups, op6_power_of_two_packing, op7_piecewise_fingerprints, op8_hierarchical_langid, op9_line_block_text, op10_line_dedup)}
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -70,6 +83,31 @@ each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos F
 kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS text FROM each ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM words LEFT JOIN kept USING (doc_id)""",
+    "op4_temporal_url_filter": r"""
+WITH captures AS (SELECT page_id, url, 1704067200 + (page_id * 7919 % 365) * 86400 + page_id % 86400 AS fetched_at,
+    regexp_replace(lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '\.$', '') AS host,
+    list_filter(string_split(lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)), '/'), lambda s: s <> '') AS segments FROM pages),
+hosts AS (SELECT host AS value, ('0x' || substr(md5(host), 1, 8))::BIGINT AS k FROM (SELECT DISTINCT host FROM captures WHERE host <> '')),
+parents AS (SELECT value, ('0x' || substr(md5(value), 1, 8))::BIGINT AS k FROM (SELECT DISTINCT array_to_string(string_split(value, '.')[-2:], '.') AS value FROM hosts)),
+events AS (
+  SELECT 'hosts' AS list, 'host' AS kind, value, 'block' AS action, 'add' AS event, k % 200 AS day FROM hosts WHERE k % 3 = 0
+  UNION ALL SELECT 'hosts', 'host', value, 'block', 'remove', k % 200 + 40 FROM hosts WHERE k % 3 = 0 AND k % 2 = 0
+  UNION ALL SELECT 'hosts', 'host', value, 'block', 'add', k % 200 + 90 FROM hosts WHERE k % 3 = 0 AND k % 10 = 0
+  UNION ALL SELECT 'exceptions', 'host', value, 'allow', 'add', k % 300 FROM hosts WHERE k % 7 = 2
+  UNION ALL SELECT 'folders', 'path', value || '/en', 'block', 'add', k % 100 FROM hosts WHERE k % 4 = 1
+  UNION ALL SELECT 'domains', 'domain', value, 'block', 'add', k % 150 FROM parents WHERE k % 2 = 0
+  UNION ALL SELECT 'domains', 'domain', value, 'block', 'remove', k % 150 + 60 FROM parents WHERE k % 2 = 0),
+timed AS (SELECT *, 1704067200 + day * 86400 AS valid_from, 1704067200 + 86400 * lead(day) OVER (PARTITION BY list, kind, value ORDER BY day) AS valid_to FROM events),
+valid AS (SELECT *, CASE kind WHEN 'path' THEN 3 WHEN 'host' THEN 2 ELSE 1 END AS rank FROM timed WHERE event = 'add'),
+keys AS (
+  SELECT page_id, url, host, fetched_at, 'host' AS kind, host AS value FROM captures
+  UNION ALL SELECT page_id, url, host, fetched_at, 'domain', unnest(list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.'))) FROM captures
+  UNION ALL SELECT page_id, url, host, fetched_at, 'path', unnest(list_transform(range(1, len(segments) + 1), lambda i: host || '/' || array_to_string(segments[1:i], '/'))) FROM captures),
+met AS (SELECT page_id, rank, valid.action, list, valid.kind, valid.value, valid_from FROM keys JOIN valid ON keys.kind = valid.kind AND keys.value = valid.value
+  WHERE fetched_at >= valid_from AND (valid_to IS NULL OR fetched_at < valid_to)),
+best AS (SELECT *, count(*) OVER (PARTITION BY page_id) AS n, row_number() OVER (PARTITION BY page_id ORDER BY rank DESC, length(value) DESC, action DESC, list DESC, kind DESC, value DESC, valid_from DESC) AS place FROM met)
+SELECT captures.page_id, url, host, fetched_at, coalesce(n, 0)::BIGINT AS n_active, coalesce(action, 'none') AS verdict, kind AS entry_kind, value AS entry_value, valid_from
+FROM captures LEFT JOIN best ON captures.page_id = best.page_id AND place = 1""",
     "op10_line_dedup": r"""
 WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos FROM split),
