@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import arrow_map, batch, keyed
+from .tables import anonymous, arrow_map, batch, keyed
 from .wordhash import ALNUM, chunks, winnow
 
 BLOCK_WORDS = 1_000_000
@@ -116,6 +116,35 @@ def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(doc_id=b.column("doc_id"), tag=b.column("tag"), n_words=b.column("n_words"), n_hit=np.array([int(np.bitwise_count(x).sum()) for x in merged], np.int64), hits=pa.array([zlib.compress(x.tobytes()) for x in merged], pa.binary()), items=b.column("items"), copies=b.column("copies"))
 
 
+def _blocks(benchmark: DataFrame, window: int, block_words: int, item_col: str) -> list[list[_Length]]:
+    """The benchmark's windows in blocks of about ``block_words`` words, each an index to send to the tasks."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    letters = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-(letters // 2) // block_words))  # a word takes two letters at least, with the gap
+    return [index_items(((r[0], r[1]) for r in items.where(F.pmod(F.hash("item_id", "text"), F.lit(blocks)) == k).toLocalIterator()), window) for k in range(blocks)]
+
+
+def _clean(index: list[_Length], text_name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            clean = np.ones(b.num_rows, bool)
+            for i, _, words in chunks(b.column(text_name), ALNUM, lower=True):
+                _, items = _matches(words, index)
+                clean[[i + k for k in items]] = False
+            yield b.filter(pa.array(clean))
+
+    return run
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which no benchmark window occurs, with their columns; one filter a block."""
+    plain, names, fields = anonymous(docs)
+    text = names[docs.columns.index(text_col)]
+    for index in _blocks(benchmark, window, block_words, item_col):
+        plain = arrow_map(plain, _clean(index, text), fields)
+    return plain.toDF(*docs.columns)
+
+
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS, item_col: str = "item_id", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's words inside occurrences of benchmark windows.
 
@@ -127,13 +156,8 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, bloc
     one item and a null item_id counts as ''.  With an empty benchmark nothing is hit.
     """
     left = keyed(docs, id_col, text_col).select("doc_id", "tag", "text")
-    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    letters = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-(letters // 2) // block_words))  # a word takes two letters at least, with the gap
-    parts = []
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.hash("item_id"), F.lit(blocks)) == k).toLocalIterator()
-        parts.append(arrow_map(left, _pass(index_items(((r[0], r[1]) for r in rows), window)), _SCHEMA))
+    parts = [arrow_map(left, _pass(index), _SCHEMA) for index in _blocks(benchmark, window, block_words, item_col)]
+    blocks = len(parts)
     if blocks == 1:
         return parts[0].drop("tag")
     every = parts[0]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import arrow_map, batch
+from .tables import anonymous, arrow_map, batch
 from .wordhash import CHUNK_BYTES
 
 BITS = 12
@@ -257,8 +257,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` less the rows whose language is ``und``, with all columns as they were."""
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    source = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index(text_col)]).cast("string"))
-    fields = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))
+    plain, names, fields = anonymous(docs)
+    source = plain.withColumn("text", F.col(names[docs.columns.index(text_col)]).cast("string"))
     judged = arrow_map(source, _predict(model), f"{fields}, lang_pred string, score double")
     return judged.where(F.col("lang_pred") != UNKNOWN).select(*names).toDF(*docs.columns)

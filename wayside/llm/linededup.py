@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import SPACE, arrow_map, batch, checkpointed, keyed, lower_ascii
+from .tables import SPACE, anonymous, arrow_map, batch, checkpointed, keyed, lower_ascii, row_key
 
 _DROPPED, _LEADING, _TRAILING = 0, 1, 2
 
@@ -116,6 +116,26 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", te
     return arrow_map(joined, _apply, "doc_id long, ord long, tag int, text string, n_lines long, n_dropped long")
 
 
+def _rewrite(text_name: str, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                texts = [t if k is None else _kept(t, k)[0] for t, k in zip(part.column(text_name).to_pylist(), part.column("keep").to_pylist(), strict=True)]
+                yield batch(**{n: pa.array(texts, pa.string()) if n == text_name else part.column(n) for n in names})
+
+    return run
+
+
+def drop_lines(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with its columns, the repeated lines gone from the texts; see dedup_lines."""
+    maps = keep_bitmaps(docs, min_chars, id_col, text_col).drop("n_lines")
+    plain, names, fields = anonymous(docs)
+    doc_id, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    joined = plain.withColumns(row_key(F.col(doc_id), F.col(text))).join(maps, ["ord", "tag"], "left").select(*names, "keep")
+    return arrow_map(joined, _rewrite(text, names), fields).toDF(*docs.columns)
+
+
 def digest(deduped: DataFrame) -> DataFrame:
     return deduped.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 

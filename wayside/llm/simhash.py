@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import LAST_ID, arrow_map, batch, checkpointed, keyed
+from .tables import LAST_ID, anonymous, arrow_map, batch, checkpointed, keyed, row_key
 from .wordhash import mix
 
 TILE = 1024
@@ -209,10 +209,10 @@ def links(classes: DataFrame, radius: int, words: int = 1, cells: str = "parts")
 
 
 def groups(docs: DataFrame, shingle: int = 3, radius: int = 3, words: int = 1, repeats: bool = True, minima: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ord, tag, f0 .. and component_id for each row of ``docs``.
+    """doc_id, ord, tag, f0 .., component and component_id for each row of ``docs``.
 
     component_id: the smallest doc_id that links of at most ``radius`` differing bits reach,
-    itself included; null where only null doc_ids are reached.  minima 0: parts as cells,
+    itself included; null where only null doc_ids are reached.  component: the same as ord.  minima 0: parts as cells,
     exact; otherwise that many minima.  Rows of one doc_id are one document, so they link.
     """
     prints = [f"f{k}" for k in range(words)]
@@ -223,8 +223,16 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = 3, words: int = 1, r
     found = links(classes, radius, words, "minima" if minima else "parts").unionByName(others)
     reached = components(found)
     named = classes.join(reached, "node", "left").select(*prints, F.coalesce("component", "node").alias("component"))
-    component = F.when(F.col("component") < LAST_ID, F.col("component")).alias("component_id")
-    return made.join(named, prints).select("doc_id", "ord", "tag", *prints, component)
+    return made.join(named, prints).select("doc_id", "ord", "tag", *prints, "component", F.when(F.col("component") < LAST_ID, F.col("component")).alias("component_id"))
+
+
+def keep_first(docs: DataFrame, grouped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each component of groups(): the smallest doc_id's, with its columns."""
+    first = grouped.groupBy("component").agg(F.min(F.struct("ord", "tag")).alias("row")).select("row.ord", "row.tag")
+    plain, names, _ = anonymous(docs)
+    doc_id, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    kept = plain.withColumns(row_key(F.col(doc_id), F.col(text))).join(first, ["ord", "tag"], "left_semi")
+    return kept.dropDuplicates(["ord", "tag"]).select(*names).toDF(*docs.columns)
 
 
 def digest(grouped: DataFrame) -> DataFrame:

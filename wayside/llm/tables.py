@@ -23,7 +23,19 @@ SPACE = " \t\n\x0b\x0c\r"
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ord (doc_id, null last), tag (hash of the text) and text."""
     doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(LAST_ID)).alias("ord"), F.hash(text).alias("tag"), text.alias("text"))
+    key = row_key(doc_id, text)
+    return docs.select(doc_id.alias("doc_id"), key["ord"].alias("ord"), key["tag"].alias("tag"), text.alias("text"))
+
+
+def anonymous(docs: DataFrame) -> tuple[DataFrame, list[str], str]:
+    """``docs`` with columns c0, c1 .., those names, and their DDL: rows to pass through a map whole."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names, ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))
+
+
+def row_key(doc_id: Column, text: Column) -> dict[str, Column]:
+    """ord and tag as in keyed()."""
+    return {"ord": F.coalesce(doc_id.cast("long"), F.lit(LAST_ID)), "tag": F.hash(text.cast("string"))}
 
 
 def lower_ascii(c: Column) -> Column:
