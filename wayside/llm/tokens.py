@@ -12,12 +12,14 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 
 import numpy as np
 
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
-_TAIL = b".,!?;:|"
+_TAIL = b"!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
+_RUN = 200
 
 
 def tokenizer_path(path: str | None = None) -> str:
@@ -43,19 +45,33 @@ def by_words(spec: dict) -> bool:
     )
 
 
+def _byte_letters() -> dict[int, int]:
+    """Byte-level alphabets write bytes that print as themselves and the rest from U+0100 on."""
+    prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in prints]
+    return {b: 0x100 + k for k, b in enumerate(rest) if b != 0x20}  # blanks part words
+
+
 class Encoder:
-    def __init__(self, path: str, limit: int = 600_000) -> None:
+    """A tokenizer file's ids for whole texts; at most 2 * ``limit`` words are held."""
+
+    def __init__(self, path: str, limit: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.tokenizer, self.limit, self.cached, self.ids = Tokenizer.from_file(path), limit, by_words(spec), {}
+        self.tokenizer, self.limit, self.cached = Tokenizer.from_file(path), limit, by_words(spec)
+        self.ids: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.vocabulary = self.tokenizer.get_vocab_size()
-        suffix = spec["model"].get("end_of_word_suffix") or "\0"
-        self.ends = np.zeros(self.vocabulary, bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = token.endswith(suffix)
+        if self.cached:
+            # The same merges for words that are lower-case letters in NFC already: no normalizer, split at blanks.
+            self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
+            self.letters = _byte_letters()
+            self.ends = np.zeros(self.vocabulary, bool)
+            for token, i in self.tokenizer.get_vocab().items():
+                self.ends[i] = token.endswith(spec["model"].get("end_of_word_suffix") or "\0")
 
     def _learn(self, words: list[bytes]) -> None:
         ids, new, pairs = self.ids, [], []
@@ -72,35 +88,47 @@ class Encoder:
         if cores:
             new = [w for w in cores.union(new) if w not in ids]
         letters, rest = [], []
-        for w, spelled in zip(new, b" ".join(new).decode().split(" ") if new else (), strict=True):
-            (letters if spelled.isalpha() else rest).append(w)
-        if letters:
-            flat = np.array(self.tokenizer.encode(b" ".join(letters).decode(), add_special_tokens=False).ids, np.uint32)
+        for k in range(0, len(new), _RUN):
+            run = new[k : k + _RUN]
+            spelled = b" ".join(run).decode()
+            composed = unicodedata.is_normalized("NFC", spelled)
+            for w, s in zip(run, spelled.split(" "), strict=True):
+                (letters if s.isalpha() and s == s.lower() and (composed or s.isascii()) else rest).append(w)
+        runs = [letters[k : k + _RUN] for k in range(0, len(letters), _RUN)]
+        for run, e in zip(runs, self.plain.encode_batch_fast([b" ".join(r).decode("latin-1").translate(self.letters) for r in runs], add_special_tokens=False), strict=True):
+            flat = np.array(e.ids, np.uint32)
             cut = (4 * (np.flatnonzero(self.ends[flat]) + 1)).tolist()
-            if len(cut) == len(letters):
-                packed, begin = flat.tobytes(), 0
-                for w, end in zip(letters, cut, strict=True):
-                    ids[w] = packed[begin:end]
-                    begin = end
-            else:
-                rest += letters
+            if len(cut) != len(run):
+                rest += run
+                continue
+            packed, begin = flat.tobytes(), 0
+            for w, end in zip(run, cut, strict=True):
+                ids[w] = packed[begin:end]
+                begin = end
         for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
             ids[w] = np.array(e.ids, np.uint32).tobytes()
         for w, core, tail in pairs:
             ids[w] = ids[core] + ids[tail]
 
+    def _renew(self, words: set[bytes]) -> None:
+        """Every word of ``words`` is in ``ids`` afterwards."""
+        if len(self.ids) + 2 * len(words) > self.limit:
+            self.older, self.ids = self.ids, {}
+        new = [w for w in words if w not in self.ids]
+        if new and self.older:
+            held = {w: self.older[w] for w in new if w in self.older}
+            self.ids |= held
+            new = [w for w in new if w not in held]
+        if new:
+            self._learn(new)
+
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text (null: none) as packed little-endian unsigned 32-bit integers."""
         texts = [t or b"" for t in texts]
         if not self.cached:
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
         split = [t.split() if b"<|" in t else t.lower().split() for t in texts]
-        new = [w for w in set().union(*split) if w not in self.ids]
-        if new:
-            if len(self.ids) + 2 * len(new) > self.limit:
-                self.ids.clear()
-                new = list(set().union(*split))
-            self._learn(new)
+        self._renew(set().union(*split))
         get = self.ids.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
