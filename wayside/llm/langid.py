@@ -30,6 +30,7 @@ BITS = 12
 SIZE = 1 << BITS
 UNKNOWN = "und"
 _CONSTANT = 0.3
+_SCALE = np.float32(1024)
 
 # ISO 639-1 codes of well-known families.  A language that is not listed is a family of its own.
 FAMILIES = {
@@ -140,18 +141,20 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(rows: list[tuple[str, np.ndarray]]) -> Model:
-    """Machines from (language, features) rows; without rows, a model that knows no language."""
+def fit(rows: list[tuple[str, bytes]]) -> Model:
+    """Machines from (language, packed features) rows; without rows, a model that knows no language."""
     model = Model()
     if not rows:
         return model
     langs = np.array([r[0] for r in rows], object)
-    x = np.stack([r[1] for r in rows])
+    x = np.stack([np.frombuffer(r[1], np.float16) for r in rows]).astype(np.float32) / _SCALE
     kin = np.array([family(v) for v in langs], object)
     model.families = sorted(set(kin))
     model.languages = {f: sorted(set(langs[kin == f])) for f in model.families}
-    mean, scale = x.mean(axis=0), 1 / (x.std(axis=0) + 1e-3) / np.sqrt(x.shape[1])
-    x = np.hstack([(x - mean) * scale, np.full((len(x), 1), _CONSTANT)]).astype(np.float32)
+    mean, scale = x.mean(axis=0), 1 / (x.std(axis=0) + np.float32(1e-3)) / np.float32(np.sqrt(x.shape[1]))
+    x -= mean
+    x *= scale
+    x = np.hstack([x, np.full((len(x), 1), _CONSTANT, np.float32)])
     columns = []
 
     def add(key: tuple, rows: np.ndarray, y: np.ndarray) -> None:
@@ -177,6 +180,11 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3
 
 
+def _packed(text: bytes) -> bytes:
+    """Features in half precision, scaled into its range: half the bytes for the driver."""
+    return (features(text) * _SCALE).astype(np.float16).tobytes()
+
+
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole texts, and for each a passage from its middle, so that short texts are met too."""
     for b in batches:
@@ -184,18 +192,22 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whole = text.encode()
             words = whole.split()
             short = b" ".join(words[len(words) // 2 :][:8])
-            yield batch(lang=[lang, lang], vector=pa.array([features(whole).tobytes(), features(short).tobytes()], pa.binary()))
+            yield batch(lang=[lang, lang], vector=pa.array([_packed(whole), _packed(short)], pa.binary()))
 
 
-def train(docs: DataFrame, per_language: int = 300, most_rows: int = 2400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(docs: DataFrame, per_language: int = 200, most_rows: int = 1000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from a bounded sample of the documents whose fold is not 1.
 
     Rows without a language or text are left out.  ``most_rows`` bounds the sample when there
     are many languages; each then gives fewer documents.
     """
     labelled = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where((fold(F.col("doc_id")) != 1) & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & (F.length("text") > 0))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = labelled.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).orderBy("n", "lang").limit(most_rows).select("doc_id", "lang").distinct()
+    by = (F.xxhash64("doc_id"), F.col("doc_id"))
+    # First within shares of each language, so that a language of most rows is not one task.
+    shares = labelled.select("doc_id", "lang").withColumn("share", F.pmod(F.hash("doc_id"), F.lit(64)))
+    first = shares.withColumn("n", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*by))).where(F.col("n") <= per_language).select("doc_id", "lang")
+    ranked = first.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(*by))).where(F.col("n") <= per_language)
+    picked = ranked.orderBy("n", "lang").limit(most_rows).select("doc_id", "lang").distinct()
     chosen = picked.collect()  # at most most_rows ids
     if not chosen:
         return Model()
@@ -203,7 +215,7 @@ def train(docs: DataFrame, per_language: int = 300, most_rows: int = 2400, id_co
     sample = labelled.join(F.broadcast(wanted), labelled["doc_id"].eqNullSafe(wanted["doc_id"]) & (labelled["lang"] == wanted["lang"]), "left_semi").select("doc_id", "lang", "text")
     once = sample.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     rows = arrow_map(once, _vectors, "lang string, vector binary").collect()  # at most 2 * most_rows vectors
-    return fit(sorted(((r.lang, np.frombuffer(r.vector, np.float32)) for r in rows), key=lambda r: (r[0], r[1].tobytes())))
+    return fit(sorted((r.lang, bytes(r.vector)) for r in rows))
 
 
 def _scores(model: Model, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
