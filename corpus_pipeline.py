@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from wayside.llm import decontaminate, langid, linededup, packing, records, simhash
 
-#: Near copies: 5-word shingles, 128 bits of fingerprint; a similarity of 0.8 differs in 19 on average (see README).
-SHINGLE, WORDS, RADIUS, MINIMA = 5, 2, 28, 6
+#: Near copies: 5-word shingles, of which 0.8 are common.  Of 128 bits of fingerprint such texts differ in 19, give or take 4.
+SHINGLE, LEAST, WORDS, RADIUS, MINIMA = 5, 0.8, 2, 32, 6
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest doc_id of each group of near copies."""
-    return simhash.keep_first(docs, simhash.groups(docs, SHINGLE, RADIUS, WORDS, repeats=False, minima=MINIMA))
+    return simhash.keep_first(docs, simhash.groups(docs, SHINGLE, RADIUS, WORDS, repeats=False, minima=MINIMA, least=LEAST))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

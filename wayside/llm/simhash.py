@@ -14,6 +14,10 @@ rows is dealt to tiles by hash, and each pair of tiles is a task of its own.
 
 A task returns links that connect what its matches connect, not the matches themselves, so a
 group of n near copies gives n - 1 links a task instead of n * n.
+
+Fingerprints estimate a similarity.  Where a bound on the similarity itself is asked for
+(``least``), the links above only propose groups; the shingles of the few documents in a
+proposed group are then compared, tile by tile, and links below the bound fall away.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ from .tables import LAST_ID, anonymous, arrow_map, batch, checkpointed, keyed, r
 from .wordhash import mix
 
 TILE = 1024
+SET_TILE = 512
+_COLUMNS = 4096
 _SUB = 128
 _FEW = 24
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -137,6 +143,27 @@ def tile_links(prints: np.ndarray, side: np.ndarray, radius: int) -> np.ndarray:
     return np.array(joined.links, np.int64).reshape(-1, 2)
 
 
+def _whole_keys(batches: Iterator[pa.RecordBatch], key: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Sorted batches as tables that never part the rows of one key."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        # Rows of the key that the batch ends in wait for the next batch.
+        last = [b.column(k)[-1] for k in key]
+        same = np.logical_and.reduce([b.column(k).to_numpy() == v.as_py() for k, v in zip(key, last, strict=True)])
+        cut = int(len(same) - np.argmin(same[::-1])) if not same.all() else 0
+        if cut:
+            yield pa.Table.from_batches([*held, b.slice(0, cut)])
+            held = []
+        elif held and [held[-1].column(k)[-1] for k in key] != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        held.append(b.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _compare(words: int, radius: int):
     def several(nodes: np.ndarray, prints: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cells of a few rows, all at once: each row with the next, the next but one, and so on."""
@@ -164,26 +191,7 @@ def _compare(words: int, radius: int):
             a, b = np.concatenate([a, nodes[links[:, 0]]]), np.concatenate([b, nodes[links[:, 1]]])
         return batch(a=a, b=b)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            # Rows of the task that the batch ends in wait for the next batch.
-            last = [b.column(k)[-1] for k in ("part", "cell", "ti", "tj")]
-            same = np.logical_and.reduce([b.column(k).to_numpy() == v.as_py() for k, v in zip(("part", "cell", "ti", "tj"), last, strict=True)])
-            cut = int(len(same) - np.argmin(same[::-1])) if not same.all() else 0
-            if cut:
-                yield linked(pa.Table.from_batches([*held, b.slice(0, cut)]))
-                held = []
-            elif held and [held[-1].column(k)[-1] for k in ("part", "cell", "ti", "tj")] != last:
-                yield linked(pa.Table.from_batches(held))
-                held = []
-            held.append(b.slice(cut))
-        if held:
-            yield linked(pa.Table.from_batches(held))
-
-    return run
+    return lambda batches: map(linked, _whole_keys(batches, ("part", "cell", "ti", "tj")))
 
 
 def links(classes: DataFrame, radius: int, words: int = 1, cells: str = "parts") -> DataFrame:
@@ -208,20 +216,90 @@ def links(classes: DataFrame, radius: int, words: int = 1, cells: str = "parts")
     return arrow_map(tasks.repartition(*key).sortWithinPartitions(*key), _compare(words, radius), "a long, b long")
 
 
-def groups(docs: DataFrame, shingle: int = 3, radius: int = 3, words: int = 1, repeats: bool = True, minima: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 64):
+                part = b.slice(i, 64)
+                held = [np.unique(shingle_hashes(t.as_py() or b"", size)).tobytes() for t in part.column("text").cast(pa.binary())]
+                yield batch(component=part.column("component"), m=part.column("m"), node=part.column("node"), shingles=pa.array(held, pa.binary()))
+
+    return run
+
+
+def similar_links(sets: list[np.ndarray], side: np.ndarray, least: float) -> np.ndarray:
+    """As tile_links(), by the shingles two rows share over the shingles either has."""
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    size = np.array([len(x) for x in sets], np.int64)
+    values, which, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    column = np.where(often > 1, np.cumsum(often > 1) - 1, -1)[which]
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = np.zeros((len(left), len(right)), np.float32)
+    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        a, b = np.searchsorted(column, [begin, begin + _COLUMNS])
+        held = np.zeros((len(sets), _COLUMNS), np.float32)
+        held[row[a:b], column[a:b] - begin] = 1
+        shared += held[left] @ held[right].T
+    either = size[left][:, None] + size[right][None, :] - shared
+    x, y = np.nonzero(shared >= least * either - 1e-3)
+    joined = _Joined(len(sets))
+    joined.add(left[x], right[y])
+    return np.array(joined.links, np.int64).reshape(-1, 2)
+
+
+def _verify(least: float):
+    key = ("component", "ti", "tj")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_keys(batches, key):
+            node, side = t.column("node").to_numpy(), t.column("side").to_numpy()
+            names = np.stack([t.column(k).to_numpy() for k in key], axis=1)
+            begin = np.flatnonzero(np.concatenate([[True], np.any(names[1:] != names[:-1], axis=1)]))
+            for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(node)], strict=True):
+                found = i + similar_links([np.frombuffer(x.as_py(), np.uint64) for x in t.column("shingles")[i:j]], side[i:j], least)
+                yield batch(a=node[found[:, 0]], b=node[found[:, 1]])
+
+    return run
+
+
+def similar(source: DataFrame, proposed: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Links (a, b) between nodes of one proposed component whose shingles agree to ``least``.
+
+    source: ord, tag, text; proposed: node, tag, component.  Components of many nodes are
+    dealt to pairs of tiles.
+    """
+    sized = proposed.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / SET_TILE).cast("int").alias("m"))
+    members = proposed.join(sized, "component").select(F.col("node").alias("ord"), "tag", "component", "m")
+    texts = source.join(members, ["ord", "tag"]).dropDuplicates(["ord", "tag", "component"]).select("component", "m", F.col("ord").alias("node"), "text")
+    rows = arrow_map(texts, _sets(shingle), "component long, m int, node long, shingles binary").withColumn("t", F.pmod(F.hash("node"), F.col("m")))
+    dealt = rows.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    key = ("component", "ti", "tj")
+    tasks = dealt.select("component", F.least("t", "u").alias("ti"), F.greatest("t", "u").alias("tj"), F.when(F.col("t") == F.col("u"), 2).when(F.col("t") < F.col("u"), 0).otherwise(1).alias("side"), "node", "shingles")
+    return arrow_map(tasks.repartition(*key).sortWithinPartitions(*key), _verify(least), "a long, b long")
+
+
+def groups(docs: DataFrame, shingle: int = 3, radius: int = 3, words: int = 1, repeats: bool = True, minima: int = 0, least: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ord, tag, f0 .., component and component_id for each row of ``docs``.
 
     component_id: the smallest doc_id that links of at most ``radius`` differing bits reach,
     itself included; null where only null doc_ids are reached.  component: the same as ord.  minima 0: parts as cells,
-    exact; otherwise that many minima.  Rows of one doc_id are one document, so they link.
+    exact; otherwise that many minima.  least: if given, links hold only between documents of
+    which that share of shingles is common, at the least; equal fingerprints link in any case.
+    Rows of one doc_id are one document, so they link.
     """
     prints = [f"f{k}" for k in range(words)]
     made = checkpointed(fingerprints(docs, shingle, words, repeats, minima, id_col, text_col))
-    classes = made.groupBy(*prints).agg(F.min("ord").alias("node"), F.min("minima").alias("minima"))
+    classes = made.groupBy(*prints).agg(F.min(F.struct("ord", "tag")).alias("first"), F.min("minima").alias("minima")).select(*prints, F.col("first.ord").alias("node"), F.col("first.tag").alias("tag"), "minima")
     again = made.groupBy("ord").agg(F.min(F.struct(*prints)).alias("x"), F.max(F.struct(*prints)).alias("y")).where("x != y").select("ord")
-    others = made.join(again, "ord").join(classes, prints).select(F.col("ord").alias("a"), F.col("node").alias("b"))
-    found = links(classes, radius, words, "minima" if minima else "parts").unionByName(others)
-    reached = components(found)
+    others = made.join(again, "ord").join(classes.drop("tag"), prints).select(F.col("ord").alias("a"), F.col("node").alias("b"))
+    found = links(classes, radius, words, "minima" if minima else "parts")
+    if least is not None:
+        proposed = components(found).join(classes.select("node", "tag"), "node")
+        found = similar(keyed(docs, id_col, text_col), proposed, shingle, least)
+    reached = components(found.unionByName(others))
     named = classes.join(reached, "node", "left").select(*prints, F.coalesce("component", "node").alias("component"))
     return made.join(named, prints).select("doc_id", "ord", "tag", *prints, "component", F.when(F.col("component") < LAST_ID, F.col("component")).alias("component_id"))
 
