@@ -45,9 +45,9 @@ def vec_err_sums(spark: SparkSession, d: str) -> DataFrame:
     """WITH b AS (SELECT user_id AS run_id, epoch_us(ts) AS t, value AS truth, CASE WHEN event_type <> 'error' THEN value + json_extract(props, '$.k')::INT / 100.0 - 0.5 END AS est FROM events),
 e AS (SELECT *, est - truth AS e, t - lag(t) OVER w AS dt FROM b WINDOW w AS (PARTITION BY run_id ORDER BY t)),
 c AS (SELECT *, CASE WHEN e IS NOT NULL AND lag(e) OVER w IS NOT NULL AND dt > 0 AND dt < 172800000000 THEN dt / 1e6 END AS cov, lag(e) OVER w AS pe FROM e WINDOW w AS (PARTITION BY run_id ORDER BY t))
-SELECT run_id, count(e)::BIGINT AS n, round(count(e) / count(*), 4) AS coverage, round(sum(e * e), 4) AS sse, round(sum(abs(e)), 4) AS sae, round(sum(e), 4) AS se, round(sqrt(avg(e * e)), 4) AS rmse,
-  round(avg(abs(e)), 4) AS mae, round(avg(e), 4) AS bias, round(quantile_cont(abs(e), 0.95), 4) AS p95, round(quantile_cont(abs(e), 0.99), 4) AS p99,
-  round(coalesce(sum((e + pe) / 2 * cov), 0), 2) AS covered_integral_error, round(coalesce(sum(cov), 0), 2) AS covered_seconds,
+SELECT run_id, count(e)::BIGINT AS n, round(count(e) / count(*), 4) AS coverage, round(sum(e * e), 4) AS sse, round(sum(abs(e)), 4) AS sae, round(sum(e), 4) + 0.0 AS se, round(sqrt(avg(e * e)), 4) AS rmse,
+  round(avg(abs(e)), 4) AS mae, round(avg(e), 4) + 0.0 AS bias, round(quantile_cont(abs(e), 0.95), 4) AS p95, round(quantile_cont(abs(e), 0.99), 4) AS p99,
+  round(coalesce(sum((e + pe) / 2 * cov), 0), 2) + 0.0 AS covered_integral_error, round(coalesce(sum(cov), 0), 2) AS covered_seconds,
   round(sqrt(avg(e * e) FILTER (WHERE truth > 10)), 4) AS moving_rmse, round(sqrt(avg(e * e) FILTER (WHERE truth < 1)), 4) AS stopped_rmse FROM c GROUP BY run_id"""
 )
 def speed_metrics(spark: SparkSession, d: str) -> DataFrame:
