@@ -260,6 +260,21 @@ def test_line_blocks(page, text):
     assert htmltext.main_text(page) == text
 
 
+PARAGRAPH = "A sentence of the main text, long enough to surge. " * 8
+
+
+@pytest.mark.parametrize("extra", ["<article><h3>Teaser</h3><p>Read this too.</p></article>", "<div><article><p>Card</p></article></div><article><p>Card</p></article>", ""])
+def test_text_outside_of_a_teaser_article_is_kept(extra):
+    got = htmltext.main_text(f"<body><div><h1>Title</h1><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div>{extra}</body>")
+    assert got.count(PARAGRAPH.strip()) == 2
+
+
+def test_surge_and_dive_decide_in_articles():
+    links = "".join(f"<p><a href={k}>Read more of number {k}</a></p>" for k in range(4))
+    page = f"<article><h1>Title</h1><p>By me</p><p>{PARAGRAPH}</p><p>Short.</p>{links}</article><p>Outside.</p>"
+    assert htmltext.main_text(page) == "\n".join(["Title", "By me", PARAGRAPH.strip(), "Short."])
+
+
 def test_pages_have_articles_without_furniture(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet").limit(50).collect()
     for r in pages:

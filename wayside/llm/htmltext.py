@@ -5,7 +5,8 @@ furniture (menus, forms, asides, adverts, comments and the like, told by element
 or id) and lines that are mostly links count as empty.  Text lengths are summed over sliding
 windows of ``WINDOW`` lines; a region surges where that sum reaches the threshold and dives
 where it falls to nothing, and the lines of its regions, less the furniture in between, are
-the text.  Where the page marks its article, only the article's lines have length.
+the text.  Where the lines of a page's articles hold at least half of its length, they alone are
+looked at, and a region begins where lengths begin instead of where they surge.
 """
 
 from __future__ import annotations
@@ -156,20 +157,27 @@ def main_text(page: str | None) -> str:
     inside, furniture = np.array(lines.inside), np.array(lines.furniture)
     length = np.array([len(t) for t in lines.text])
     letters = np.array([len("".join(t.split())) for t in lines.text])
-    marked = bool((inside & ~furniture).any())
-    empty = furniture | ((~inside) if marked else (np.array(lines.linked) * 2 > letters))
+    empty = furniture | (np.array(lines.linked) * 2 > letters)
     weight = np.where(empty, 0, length)
+    # A teaser's article holds less than the rest of its page, and then all lines are looked at alike.
+    article = 2 * int(weight[inside].sum()) >= int(weight.sum())
+    at = np.flatnonzero(inside & ~furniture) if article else np.arange(len(weight))
+    weight = weight[at]
+    if not weight.any():
+        return ""
     sums = np.convolve(weight, np.ones(WINDOW, np.int64))[WINDOW - 1 :]
-    threshold = 1 if marked else max(1, min(SURGE, int(sums.max())))
+    threshold = min(SURGE, int(sums.max()))
     kept, i, n = [], 0, len(weight)
     while i < n:
-        if sums[i] < threshold:
-            i += 1
-            continue
         j = i
         while j < n and sums[j]:
             j += 1
-        kept += [lines.text[k] for k in range(i, j) if not (furniture[k] or marked and not inside[k] or (not marked and empty[k] and not weight[i : k + 1].any()))]
+        surges = i + np.flatnonzero(sums[i:j] >= threshold)
+        if len(surges):
+            # An article's short first lines (title, author) belong to its text; elsewhere they may be anything.
+            begin = i if article else int(surges[0])
+            begin += int(np.flatnonzero(weight[begin:j])[0])
+            kept += [lines.text[k] for k in at[begin:j] if not furniture[k]]
         i = j + 1
     return "\n".join(kept)
 
