@@ -313,6 +313,28 @@ def test_null_ids_repeated_rows_and_clashing_columns(spark):
     assert packing.pack(docs).where("start = 0").count() == len(few)
 
 
+def test_rows_without_ids_are_documents_of_their_own(spark):
+    rng = random.Random(11)
+    long, other = (words(rng, 60, 9000) for _ in range(2))
+    line = "a line that two rows without ids hold"
+    few = [(5, long), (9, other), (None, long), (None, other), *((None, f"{line}\n{words(rng, 40, 9000)}") for _ in range(2)), (None, f"{passage(rng)} {PASSAGE}"), (None, f"{passage(rng)} {PASSAGE}")]
+    docs = spark.createDataFrame(few, "doc_id long, text string").repartition(3)
+    for options in ((), (5, 32, 2, False, 6, 0.8)):
+        grouped = simhash.groups(docs, *options)
+        assert {r.doc_id: r.component_id for r in grouped.where("doc_id is not null").collect()} == {5: 5, 9: 9}
+        # One row of each text stays, with its id where it has one.
+        assert rows(simhash.keep_first(docs, grouped)) == sorted([(5, long), (9, other), *few[4:]], key=repr)
+    assert sum(r.text.count(line) for r in linededup.drop_lines(docs).collect()) == 1
+    assert sum(r.text.count(PASSAGE) for r in substrings.remove_repeats(docs).collect()) == 1
+
+
+PASSAGE = " ".join(f"shared{k}" for k in range(60))
+
+
+def passage(rng):
+    return words(rng, 20, 9000)
+
+
 def test_empty_tables(spark, empty, docs, tmp_path):
     benchmark = spark.createDataFrame([], "item_id string, text string")
     assert decontaminate.benchmark_hits(docs, benchmark).where("n_hit > 0").count() == 0

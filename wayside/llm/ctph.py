@@ -184,7 +184,7 @@ def _ranged(docs: DataFrame, ranges: int) -> DataFrame:
 
     placed = docs.withColumn("p", place("rank"))
     heads = placed.groupBy("p").agg(F.min(F.struct("ord", "tag")).alias("head")).orderBy("p").select("p", "head.ord", "head.tag").collect()  # a row for each range
-    before = docs.sparkSession.createDataFrame([(h.ord, h.tag, heads[i - 1].p) for i, h in enumerate(heads)], "ord long, tag int, p int")
+    before = docs.sparkSession.createDataFrame([(h.ord, h.tag, heads[i - 1].p) for i, h in enumerate(heads)], "ord long, tag long, p int")
     copies = docs.where(F.col("ord").isin([h.ord for h in heads])).join(F.broadcast(before), ["ord", "tag"])
     columns = ("p", "tail", "ord", "tag", "doc_id", "text")
     return placed.withColumn("tail", F.lit(False)).select(*columns).unionByName(copies.dropDuplicates(["ord", "tag", "p"]).withColumn("tail", F.lit(True)).select(*columns))

@@ -27,7 +27,7 @@ from .tables import anonymous, arrow_map, batch, keyed
 from .wordhash import ALNUM, chunks, winnow
 
 BLOCK_WORDS = 1_000_000
-_SCHEMA = "doc_id long, tag int, n_words long, n_hit long, hits binary, items array<string>"
+_SCHEMA = "doc_id long, tag long, n_words long, n_hit long, hits binary, items array<string>"
 
 
 class _Length:

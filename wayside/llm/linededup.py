@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import SPACE, anonymous, arrow_map, batch, checkpointed, keyed, lower_ascii, row_key
+from .tables import LAST_ID, SPACE, anonymous, arrow_map, batch, checkpointed, keyed, lower_ascii, nameless, row_key
 
 _DROPPED, _LEADING, _TRAILING = 0, 1, 2
 
@@ -31,11 +31,12 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     partition's first run, which an earlier partition may have begun.  _TRAILING: the first
     row of the partition's last run.
     """
-    run, first, leading, last = None, None, True, None
+    run, first, first_own, leading, last = None, None, None, True, None
     for b in batches:
         if not b.num_rows:
             continue
-        h1, h2, doc = (b.column(k).to_numpy() for k in ("h1", "h2", "ord"))
+        h1, h2, doc, tag = (b.column(k).to_numpy() for k in ("h1", "h2", "ord", "tag"))
+        own = np.where(doc == LAST_ID, tag, 0)
         new = np.empty(len(h1), bool)
         new[0] = run != (h1[0], h2[0])
         new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
@@ -46,11 +47,12 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         which = np.cumsum(new)
         begins = np.flatnonzero(new)
         firsts = np.concatenate([[0 if first is None else first], doc[begins]])
-        kind = np.where(doc != firsts[which], _DROPPED, -1)
+        owns = np.concatenate([[0 if first_own is None else first_own], own[begins]])
+        kind = np.where((doc != firsts[which]) | (own != owns[which]), _DROPPED, -1)
         if leading:
             kind[(kind < 0) & (which <= int(run is None))] = _LEADING
         leading = leading and len(begins) <= int(run is None)
-        run, first = (h1[-1], h2[-1]), firsts[-1]
+        run, first, first_own = (h1[-1], h2[-1]), firsts[-1], owns[-1]
         if len(begins):
             last = b.slice(int(begins[-1]), 1)
         take = np.flatnonzero(kind >= 0)
@@ -76,21 +78,22 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", t
     keep: deflated bitmap with a bit for each line.  A key is a line stripped of white space
     at both ends, with A-Z lowered; keys of fewer than ``min_chars`` code points are kept, and
     of the others only the lines in the smallest doc_id stay.  Null texts are empty texts.
-    Rows with one doc_id count as one document.
+    Rows with one doc_id count as one document, rows without an id by their texts.
     """
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     rows = keyed(docs, id_col, text_col).select("ord", "tag", lines.alias("lines")).select("ord", "tag", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("pos", "line"))
     key = lower_ascii(F.btrim("line", F.lit(SPACE)))
     hashed = rows.select(key.alias("key"), "ord", "tag", "pos", "n_lines").where(F.char_length("key") >= min_chars).select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "ord", "tag", "pos", "n_lines")
     order = ("h1", "h2", "ord", "tag", "pos")
-    schema = "h1 long, h2 long, ord long, tag int, pos int, n_lines int, kind byte"
+    schema = "h1 long, h2 long, ord long, tag long, pos int, n_lines int, kind byte"
     # Written once: what the two branches below read must come from one set of range bounds.
     found = checkpointed(arrow_map(hashed.repartitionByRange(*order).sortWithinPartitions(*order), _stream, schema))
-    edges = found.where(F.col("kind") != _DROPPED).groupBy("h1", "h2").agg(F.min("ord").alias("first"))
-    late = found.where(F.col("kind") == _LEADING).join(edges, ["h1", "h2"]).where(F.col("ord") > F.col("first"))
+    doc = F.struct("ord", nameless(F.col("ord"), F.col("tag")).alias("own"))
+    edges = found.where(F.col("kind") != _DROPPED).groupBy("h1", "h2").agg(F.min(doc).alias("first"))
+    late = found.where(F.col("kind") == _LEADING).join(edges, ["h1", "h2"]).where(doc > F.col("first"))
     gone = found.where(F.col("kind") == _DROPPED).select("ord", "tag", "pos", "n_lines").unionByName(late.select("ord", "tag", "pos", "n_lines"))
     per_doc = gone.groupBy("ord", "tag", "n_lines").agg(F.collect_list("pos").alias("gone"))
-    return arrow_map(per_doc, _bitmaps, "ord long, tag int, n_lines long, keep binary")
+    return arrow_map(per_doc, _bitmaps, "ord long, tag long, n_lines long, keep binary")
 
 
 def _kept(text: str | None, keep: bytes | None) -> tuple[str, int, int]:
@@ -113,7 +116,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", te
     """doc_id, ord, tag, text (kept lines joined by a line feed), n_lines, n_dropped: a row for each of ``docs``."""
     maps = keep_bitmaps(docs, min_chars, id_col, text_col).drop("n_lines")
     joined = keyed(docs, id_col, text_col).join(maps, ["ord", "tag"], "left").select("doc_id", "ord", "tag", "text", "keep")
-    return arrow_map(joined, _apply, "doc_id long, ord long, tag int, text string, n_lines long, n_dropped long")
+    return arrow_map(joined, _apply, "doc_id long, ord long, tag long, text string, n_lines long, n_dropped long")
 
 
 def _rewrite(text_name: str, names: list[str]):

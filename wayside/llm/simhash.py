@@ -92,7 +92,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, repeats: boo
     Null texts and texts without words have fingerprint zero.
     """
     columns = "".join(f", f{k} long" for k in range(words))
-    return arrow_map(keyed(docs, id_col, text_col), _fingerprints(shingle, words, repeats, minima), f"doc_id long, ord long, tag int{columns}, minima array<long>")
+    return arrow_map(keyed(docs, id_col, text_col), _fingerprints(shingle, words, repeats, minima), f"doc_id long, ord long, tag long{columns}, minima array<long>")
 
 
 class _Joined:
@@ -268,12 +268,12 @@ def _verify(least: float):
 def similar(source: DataFrame, proposed: DataFrame, shingle: int, least: float) -> DataFrame:
     """Links (a, b) between nodes of one proposed component whose shingles agree to ``least``.
 
-    source: ord, tag, text; proposed: node, tag, component.  Components of many nodes are
+    source: ord, tag, text; proposed: node, ord, tag, component.  Components of many nodes are
     dealt to pairs of tiles.
     """
     sized = proposed.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / SET_TILE).cast("int").alias("m"))
-    members = proposed.join(sized, "component").select(F.col("node").alias("ord"), "tag", "component", "m")
-    texts = source.join(members, ["ord", "tag"]).dropDuplicates(["ord", "tag", "component"]).select("component", "m", F.col("ord").alias("node"), "text")
+    members = proposed.join(sized, "component").select("node", "ord", "tag", "component", "m")
+    texts = source.join(members, ["ord", "tag"]).dropDuplicates(["node", "tag"]).select("component", "m", "node", "text")
     rows = arrow_map(texts, _sets(shingle), "component long, m int, node long, shingles binary").withColumn("t", F.pmod(F.hash("node"), F.col("m")))
     dealt = rows.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     key = ("component", "ti", "tj")
@@ -285,23 +285,29 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = 3, words: int = 1, r
     """doc_id, ord, tag, f0 .., component and component_id for each row of ``docs``.
 
     component_id: the smallest doc_id that links of at most ``radius`` differing bits reach,
-    itself included; null where only null doc_ids are reached.  component: the same as ord.  minima 0: parts as cells,
-    exact; otherwise that many minima.  least: if given, links hold only between documents of
+    itself included; null where only null doc_ids are reached.  component: the same, or another number where
+    rows without ids are reached.  minima 0: parts as cells, exact; otherwise that many minima.  least: if given, links hold only between documents of
     which that share of shingles is common, at the least; equal fingerprints link in any case.
-    Rows of one doc_id are one document, so they link.
+    Rows of one doc_id are one document, so they link; rows without an id do not for that.
     """
     prints = [f"f{k}" for k in range(words)]
     made = checkpointed(fingerprints(docs, shingle, words, repeats, minima, id_col, text_col))
-    classes = made.groupBy(*prints).agg(F.min(F.struct("ord", "tag")).alias("first"), F.min("minima").alias("minima")).select(*prints, F.col("first.ord").alias("node"), F.col("first.tag").alias("tag"), "minima")
-    again = made.groupBy("ord").agg(F.min(F.struct(*prints)).alias("x"), F.max(F.struct(*prints)).alias("y")).where("x != y").select("ord")
-    others = made.join(again, "ord").join(classes.drop("tag"), prints).select(F.col("ord").alias("a"), F.col("node").alias("b"))
+    # A class of rows without ids has a node of its own, which is no id.
+    node = F.when(F.col("first.ord") < LAST_ID, F.col("first.ord")).otherwise(F.xxhash64(*prints))
+    classes = made.groupBy(*prints).agg(F.min(F.struct("ord", "tag")).alias("first"), F.min("minima").alias("minima")).select(*prints, node.alias("node"), F.col("first.ord").alias("ord"), F.col("first.tag").alias("tag"), "minima")
+    again = made.where(F.col("ord") < LAST_ID).groupBy("ord").agg(F.min(F.struct(*prints)).alias("x"), F.max(F.struct(*prints)).alias("y")).where("x != y").select("ord")
+    others = made.join(again, "ord").join(classes.drop("ord", "tag"), prints).select(F.col("ord").alias("a"), F.col("node").alias("b"))
     found = links(classes, radius, words, "minima" if minima else "parts")
     if least is not None:
-        proposed = components(found).join(classes.select("node", "tag"), "node")
+        proposed = components(found).join(classes.select("node", "ord", "tag"), "node")
         found = similar(keyed(docs, id_col, text_col), proposed, shingle, least)
     reached = components(found.unionByName(others))
-    named = classes.join(reached, "node", "left").select(*prints, F.coalesce("component", "node").alias("component"))
-    return made.join(named, prints).select("doc_id", "ord", "tag", *prints, "component", F.when(F.col("component") < LAST_ID, F.col("component")).alias("component_id"))
+    named = classes.join(reached, "node", "left").select(*prints, "node", "ord", F.coalesce("component", "node").alias("component"))
+    # Components named by the node of a class without ids get the smallest id they hold, if any.
+    nameless = named.where((F.col("ord") == LAST_ID) & (F.col("node") == F.col("component"))).select("component").distinct()
+    least_id = named.join(nameless, "component").groupBy("component").agg(F.min("ord").alias("least"))
+    named = named.join(least_id, "component", "left").select(*prints, "component", F.coalesce("least", "component").alias("least"))
+    return made.join(named, prints).select("doc_id", "ord", "tag", *prints, "component", F.when(F.col("least") < LAST_ID, F.col("least")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, grouped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

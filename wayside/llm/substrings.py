@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import arrow_map, batch, checkpointed, keyed
+from .tables import LAST_ID, arrow_map, batch, checkpointed, keyed
 from .wordhash import NON_SPACE, Words, chunks, mix, winnow
 
 
@@ -133,24 +133,30 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
 
     Returns doc_id, ord, tag, text (kept words joined by a blank), n_words, n_removed, a row
     for each of ``docs``.  Words are runs of non-white-space; null and empty texts have none,
-    texts of fewer than ``window`` words lose none, rows of equal doc_id do not compare.
+    texts of fewer than ``window`` words lose none, rows of equal doc_id do not
+    compare; rows without an id do, unless their texts are equal.
     """
     half = window // 2
+    own = F.when(F.col("ord") == LAST_ID, F.col("tag"))  # which tells rows without an id apart
+    first = (F.min("ord").alias("least"), F.min(own).alias("least_own"))
+    both = (*first, F.max("ord").alias("most"), F.max(own).alias("most_own"))
+    several = (F.col("least") < F.col("most")) | (F.col("least_own") < F.col("most_own"))
+    earlier = F.coalesce((F.col("least") < F.col("ord")) | ((F.col("least") == LAST_ID) & (F.col("least_own") < F.col("tag"))), F.lit(False))
     source = keyed(docs, id_col, text_col)
-    picks = arrow_map(source, _merged(_first_level(half, window)), "h long, c long, ord long, tag int, pos binary")
-    shared = picks.groupBy("h").agg(F.min("ord").alias("least"), F.max("ord").alias("most")).where("least < most").select("h")
+    picks = arrow_map(source, _merged(_first_level(half, window)), "h long, c long, ord long, tag long, pos binary")
+    shared = picks.groupBy("h").agg(*both).where(several).select("h")
     repeated = picks.join(shared, "h").select("c", "ord", "tag", "pos")
-    context = repeated.groupBy("c").agg(F.min("ord").alias("least"))
-    judged = checkpointed(repeated.join(context, "c").select("ord", "tag", "pos", (F.col("least") < F.col("ord")).alias("settled")))
+    context = repeated.groupBy("c").agg(*first)
+    judged = checkpointed(repeated.join(context, "c").select("ord", "tag", "pos", earlier.alias("settled")))
     open_picks = judged.where(~F.col("settled")).groupBy("ord", "tag").agg(F.collect_list("pos").alias("alive"))
     # doc_id is here only so that both joins with the texts read one and the same shuffle.
-    longer = arrow_map(source.join(open_picks, ["ord", "tag"]).select("doc_id", "ord", "tag", "text", "alive"), _merged(_second_level(half, window)), "w long, ord long, tag int, pos binary")
-    smallest = longer.groupBy("w").agg(F.min("ord").alias("least"), F.max("ord").alias("most")).where("least < most").select("w", "least")
-    full = longer.join(smallest, "w").where("least < ord").select("ord", "tag", "pos", F.lit(False).alias("settled"))
+    longer = arrow_map(source.join(open_picks, ["ord", "tag"]).select("doc_id", "ord", "tag", "text", "alive"), _merged(_second_level(half, window)), "w long, ord long, tag long, pos binary")
+    smallest = longer.groupBy("w").agg(*both).where(several).select("w", "least", "least_own")
+    full = longer.join(smallest, "w").where(earlier).select("ord", "tag", "pos", F.lit(False).alias("settled"))
     covered = judged.where("settled").unionByName(full, allowMissingColumns=True)
     spans = covered.groupBy("ord", "tag").agg(F.collect_list(F.when(F.col("settled"), F.col("pos"))).alias("picks"), F.collect_list(F.when(~F.col("settled"), F.col("pos"))).alias("full"))
     joined = source.join(spans, ["ord", "tag"], "left").select("doc_id", "ord", "tag", "text", "picks", "full")
-    return arrow_map(joined, _merged(_remove(half, window)), "doc_id long, ord long, tag int, text string, n_words long, n_removed long")
+    return arrow_map(joined, _merged(_remove(half, window)), "doc_id long, ord long, tag long, text string, n_words long, n_removed long")
 
 
 def digest(removed: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """What the document operators share: their input columns, row keys and Arrow helpers.
 
 A document is a row.  ``doc_id`` need not be unique or non-null: rows are told apart by
-(doc_id, a hash of the text), rows that agree in both get the same result each, and a null
-doc_id ranks after every other.  Columns besides the id and the text are never read, so
+(doc_id, a hash of the text), rows that agree in both get the same result each.  A null
+doc_id ranks after every other; rows without an id are a document for each different text.  Columns besides the id and the text are never read, so
 their names cannot clash with an operator's own.
 """
 
@@ -35,7 +35,12 @@ def anonymous(docs: DataFrame) -> tuple[DataFrame, list[str], str]:
 
 def row_key(doc_id: Column, text: Column) -> dict[str, Column]:
     """ord and tag as in keyed()."""
-    return {"ord": F.coalesce(doc_id.cast("long"), F.lit(LAST_ID)), "tag": F.hash(text.cast("string"))}
+    return {"ord": F.coalesce(doc_id.cast("long"), F.lit(LAST_ID)), "tag": F.when(doc_id.cast("long").isNull(), F.xxhash64(text.cast("string"))).otherwise(F.hash(text.cast("string")).cast("long"))}
+
+
+def nameless(ord: Column, tag: Column) -> Column:
+    """The tag of a row without an id, which alone tells its document; 0 for others."""
+    return F.when(ord == LAST_ID, tag).otherwise(F.lit(0).cast("long"))
 
 
 def lower_ascii(c: Column) -> Column:
