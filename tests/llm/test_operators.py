@@ -313,6 +313,26 @@ def test_null_ids_repeated_rows_and_clashing_columns(spark):
     assert packing.pack(docs).where("start = 0").count() == len(few)
 
 
+def test_equal_fingerprints_of_different_texts_are_compared_each(spark):
+    rng = random.Random(4)
+    base = words(rng, 10_004, 900_000).split()
+
+    def prints(w):
+        h = np.unique(simhash.shingle_hashes(" ".join(w).encode(), 5))
+        return simhash.majority(h), simhash.majority(simhash.mix(h ^ np.uint64(0x9E3779B97F4A7C15 * 3 & ((1 << 64) - 1))))
+
+    first = prints(base)
+    for k in range(200):  # until a changed word leaves all 128 bits equal
+        changed = [*base[: 20 + k], f"changed{k}", *base[21 + k :]]
+        if prints(changed) == first:
+            break
+    assert prints(changed) == first
+    # The third shares 0.8 of its shingles with the second, and less with the first.
+    few = [(1, " ".join(base)), (2, " ".join(changed)), (3, " ".join(changed[:8004]))]
+    grouped = simhash.groups(spark.createDataFrame(few, "doc_id long, text string"), 5, 32, 2, repeats=False, minima=6, least=0.8)
+    assert {r.doc_id: r.component_id for r in grouped.collect()} == {1: 1, 2: 1, 3: 1} == near_groups(few)
+
+
 def test_rows_without_ids_are_documents_of_their_own(spark):
     rng = random.Random(11)
     long, other = (words(rng, 60, 9000) for _ in range(2))

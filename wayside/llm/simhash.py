@@ -1,7 +1,8 @@
 """SimHash near-dedup by tiled exact comparison.
 
 A fingerprint has a bit for each bit of its shingles' hashes, set if most of them set it.
-Equal fingerprints are one class from the start; only distinct ones are compared, by exclusive
+Equal fingerprints (and, with ``least``, equal sets of shingles) are one class from the start;
+only distinct ones are compared, by exclusive
 or and bit counts over tiles of numpy arrays, and pairs of tiles whose population counts
 differ by more than the radius are skipped.
 
@@ -66,33 +67,36 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(bits, bitorder="little").view("<i8")[0])
 
 
-def _fingerprints(size: int, words: int, repeats: bool, minima: int):
+def _fingerprints(size: int, words: int, repeats: bool, minima: int, sets: bool):
     salts = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) & ((1 << 64) - 1)) for k in range(max(words, minima))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints, cells = [[] for _ in range(words)], []
+            prints, cells, exact = [[] for _ in range(words)], [], []
             for text in b.column("text").cast(pa.binary()):
                 h = shingle_hashes(text.as_py() or b"", size)
+                held = np.unique(h) if sets or not repeats else h
+                exact.append(int(np.uint64(xxhash.xxh64_intdigest(held.tobytes())).view(np.int64)) if sets else 0)
                 if not repeats:
-                    h = np.unique(h)
+                    h = held
                 for k in range(words):
                     prints[k].append(majority(mix(h ^ salts[k]) if k else h))
                 if minima:
                     cells.append([int(mix(h ^ s ^ np.uint64(k)).min().view(np.int64)) if len(h) else 0 for k, s in enumerate(salts[:minima])])
             columns = {f"f{k}": pa.array(p, pa.int64()) for k, p in enumerate(prints)}
-            yield batch(doc_id=b.column("doc_id"), ord=b.column("ord"), tag=b.column("tag"), **columns, minima=pa.array(cells if minima else [[]] * b.num_rows, pa.list_(pa.int64())))
+            yield batch(doc_id=b.column("doc_id"), ord=b.column("ord"), tag=b.column("tag"), **columns, shingles=pa.array(exact, pa.int64()), minima=pa.array(cells if minima else [[]] * b.num_rows, pa.list_(pa.int64())))
 
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, repeats: bool = True, minima: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ord, tag, f0 .. (64 fingerprint bits each) and minima for each row.
+def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, repeats: bool = True, minima: int = 0, sets: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ord, tag, f0 .. (64 fingerprint bits each), shingles and minima for each row.
 
+    shingles: with ``sets``, a hash of the set of shingles; otherwise 0.
     Null texts and texts without words have fingerprint zero.
     """
     columns = "".join(f", f{k} long" for k in range(words))
-    return arrow_map(keyed(docs, id_col, text_col), _fingerprints(shingle, words, repeats, minima), f"doc_id long, ord long, tag long{columns}, minima array<long>")
+    return arrow_map(keyed(docs, id_col, text_col), _fingerprints(shingle, words, repeats, minima, sets), f"doc_id long, ord long, tag long{columns}, shingles long, minima array<long>")
 
 
 class _Joined:
@@ -285,29 +289,32 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = 3, words: int = 1, r
     """doc_id, ord, tag, f0 .., component and component_id for each row of ``docs``.
 
     component_id: the smallest doc_id that links of at most ``radius`` differing bits reach,
-    itself included; null where only null doc_ids are reached.  component: the same, or another number where
-    rows without ids are reached.  minima 0: parts as cells, exact; otherwise that many minima.  least: if given, links hold only between documents of
-    which that share of shingles is common, at the least; equal fingerprints link in any case.
+    itself included; null where only null doc_ids are reached.  component: the same, or another
+    number where rows without ids are reached.  minima 0: parts as cells, exact; otherwise that
+    many minima.  least: if given, links hold only between documents of which that share of
+    shingles is common, at the least; equal sets of shingles link in any case.
     Rows of one doc_id are one document, so they link; rows without an id do not for that.
     """
     prints = [f"f{k}" for k in range(words)]
-    made = checkpointed(fingerprints(docs, shingle, words, repeats, minima, id_col, text_col))
+    made = checkpointed(fingerprints(docs, shingle, words, repeats, minima, least is not None, id_col, text_col))
+    # Where shingles are compared, texts are of one class only if all of theirs agree.
+    key = [*prints, "shingles"]
     # A class of rows without ids has a node of its own, which is no id.
-    node = F.when(F.col("first.ord") < LAST_ID, F.col("first.ord")).otherwise(F.xxhash64(*prints))
-    classes = made.groupBy(*prints).agg(F.min(F.struct("ord", "tag")).alias("first"), F.min("minima").alias("minima")).select(*prints, node.alias("node"), F.col("first.ord").alias("ord"), F.col("first.tag").alias("tag"), "minima")
-    again = made.where(F.col("ord") < LAST_ID).groupBy("ord").agg(F.min(F.struct(*prints)).alias("x"), F.max(F.struct(*prints)).alias("y")).where("x != y").select("ord")
-    others = made.join(again, "ord").join(classes.drop("ord", "tag"), prints).select(F.col("ord").alias("a"), F.col("node").alias("b"))
+    node = F.when(F.col("first.ord") < LAST_ID, F.col("first.ord")).otherwise(F.xxhash64(*(key if least is not None else prints)))
+    classes = made.groupBy(*key).agg(F.min(F.struct("ord", "tag")).alias("first"), F.min("minima").alias("minima")).select(*key, node.alias("node"), F.col("first.ord").alias("ord"), F.col("first.tag").alias("tag"), "minima")
+    again = made.where(F.col("ord") < LAST_ID).groupBy("ord").agg(F.min(F.struct(*key)).alias("x"), F.max(F.struct(*key)).alias("y")).where("x != y").select("ord")
+    others = made.join(again, "ord").join(classes.drop("ord", "tag"), key).select(F.col("ord").alias("a"), F.col("node").alias("b"))
     found = links(classes, radius, words, "minima" if minima else "parts")
     if least is not None:
         proposed = components(found).join(classes.select("node", "ord", "tag"), "node")
         found = similar(keyed(docs, id_col, text_col), proposed, shingle, least)
     reached = components(found.unionByName(others))
-    named = classes.join(reached, "node", "left").select(*prints, "node", "ord", F.coalesce("component", "node").alias("component"))
+    named = classes.join(reached, "node", "left").select(*key, "node", "ord", F.coalesce("component", "node").alias("component"))
     # Components named by the node of a class without ids get the smallest id they hold, if any.
     nameless = named.where((F.col("ord") == LAST_ID) & (F.col("node") == F.col("component"))).select("component").distinct()
     least_id = named.join(nameless, "component").groupBy("component").agg(F.min("ord").alias("least"))
-    named = named.join(least_id, "component", "left").select(*prints, "component", F.coalesce("least", "component").alias("least"))
-    return made.join(named, prints).select("doc_id", "ord", "tag", *prints, "component", F.when(F.col("least") < LAST_ID, F.col("least")).alias("component_id"))
+    named = named.join(least_id, "component", "left").select(*key, "component", F.coalesce("least", "component").alias("least"))
+    return made.join(named, key).select("doc_id", "ord", "tag", *prints, "component", F.when(F.col("least") < LAST_ID, F.col("least")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, grouped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
