@@ -7,6 +7,7 @@ import struct
 import pytest
 
 from wayside.operators import joins, ordering
+from wayside.plans import registry, streaming  # noqa: F401
 from wayside.schema import Settings
 from wayside.sources import bags, manifests, texts
 
@@ -119,3 +120,21 @@ def test_nothing_else_imports_the_corpus_operators():
 
     root = Path(__file__).parent.parent / "wayside"
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and "llm" in p.read_text()]
+
+
+@pytest.mark.parametrize("name", ["stream_record_high", "stream_ema", "stream_tumbling", "stream_sliding", "stream_sessions"])
+def test_streams_do_not_depend_on_how_the_table_is_stored(spark, tmp_path, name):
+    small = "/root/testdata/sf0.001"
+    want = registry.QUERIES[name](spark, small)
+    want, columns = rows(want, *want.columns), want.columns
+    assert want
+    spark.read.parquet(f"{small}/events.parquet").repartition(20).write.parquet(f"{tmp_path}/events.parquet")
+    changed = {"spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.coalescePartitions.enabled": "false"}  # 20 files of the stream, too
+    before = {k: spark.conf.get(k, None) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    try:
+        assert rows(registry.QUERIES[name](spark, str(tmp_path)), *columns) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
