@@ -269,6 +269,32 @@ def test_text_outside_of_a_teaser_article_is_kept(extra):
     assert got.count(PARAGRAPH.strip()) == 2
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div class='content no-sidebar'><p>{PARAGRAPH}</p><p>Short.</p><p>{PARAGRAPH}</p></div>",
+        f"<form action=x><nav><p>Menu of the page</p></nav><div><p>{PARAGRAPH}</p><p>Short.</p><p>{PARAGRAPH}</p></div></form>",
+        f"<div class='search-page'><p>{PARAGRAPH}</p><p>Short.</p><p>{PARAGRAPH}</p></div><div class='search'><p>Find</p></div>",
+        f"<div class=widget><p>{PARAGRAPH}</p></div><div class=widget><p>Short.</p></div><div class=widget><p>{PARAGRAPH}</p></div>",
+        f"<article><p>{PARAGRAPH}</p><p>Short.</p><div class='widget-text'><p>{PARAGRAPH}</p></div></article>",
+        f"<p>{PARAGRAPH}</p><div class=ad>1</div><div class=ad>2</div><div class=ad>3</div><p>Short.</p><div class=ad>1</div><div class=ad>2</div><div class=ad>3</div><p>{PARAGRAPH}</p>",
+    ],
+)
+def test_marks_do_not_delete_the_main_text(page):
+    paragraph = PARAGRAPH.strip()
+    want = [paragraph, "Short.", paragraph]
+    if "<article>" in page:  # as long as the rest, and after it
+        page = page.replace("</article>", "<p>End.</p></article>")
+        want.append("End.")
+    assert htmltext.main_text(page) == "\n".join(want)
+
+
+def test_marks_still_tell_furniture():
+    comments = f"<div id=comments>{f'<p>{PARAGRAPH}</p>' * 5}</div>"
+    assert htmltext.main_text(f"<article><h1 class='entry-header'>Title</h1><p>{PARAGRAPH}</p></article>{comments}") == f"Title\n{PARAGRAPH.strip()}"
+    assert htmltext.main_text(f"<div><p>{PARAGRAPH}</p></div>{comments}<div hidden>{PARAGRAPH}</div>") == PARAGRAPH.strip()
+
+
 def test_surge_and_dive_decide_in_articles():
     links = "".join(f"<p><a href={k}>Read more of number {k}</a></p>" for k in range(4))
     page = f"<article><h1>Title</h1><p>By me</p><p>{PARAGRAPH}</p><p>Short.</p>{links}</article><p>Outside.</p>"

@@ -2,10 +2,11 @@
 
 Markup is stripped to lines, one for each block element's run of text.  Lines of page
 furniture (menus, forms, asides, adverts, comments and the like, told by element, role, class
-or id) and lines that are mostly links count as empty.  Text lengths are summed over sliding
+or id) and lines that are mostly links count as empty; a mark on most of the page's text does not
+hold, and long text under a class or id amid the main text stays, at a lower weight.  Text lengths are summed over sliding
 windows of ``WINDOW`` lines; a region surges where that sum reaches the threshold and dives
 where it falls to nothing, and the lines of its regions, less the furniture in between, are
-the text.  Where the lines of a page's articles hold at least half of its length, they alone are
+the text, as are short lines between regions.  Where the lines of a page's articles hold at least half of its length, they alone are
 looked at, and a region begins where lengths begin instead of where they surge.
 """
 
@@ -38,6 +39,12 @@ MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related respond search share sharing sidebar sidebars signup social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
 _OPENED = "article", "main"
+HIDDEN = ":hidden"
+# Words that say of a class what the page has beside the element, not what the element is.
+LAYOUT = frozenset("has no non not with without".split())
+NAMES = frozenset(f"<{name}" for name in FURNITURE if name != "form")
+COMMENTS = frozenset("comment comments commentlist disqus respond".split())
+LOWERED = 4
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -52,27 +59,33 @@ _ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden)(?:\s*=
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _marked(attributes: str) -> bool:
+def _marked(attributes: str) -> set[str]:
+    """Why an element is furniture: ``hidden``, a role (with a colon before it) or words of its classes and id."""
+    out: set[str] = set()
     if not attributes.strip(" /"):
-        return False
+        return out
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "role" and value.lower() in ROLES:
-            return True
-        if name in ("class", "id") and any(w.lower() in MARKS for w in _WORD.findall(value)):
-            return True
-    return False
+            out.add(HIDDEN)
+        elif name == "role" and value.lower() in ROLES:
+            out.add(":" + value.lower())
+        elif name in ("class", "id"):
+            for token in value.split():
+                found = [w.lower() for w in _WORD.findall(token)]
+                if not LAYOUT.intersection(found):
+                    out |= MARKS.intersection(found)
+    return out
 
 
 class _Lines:
-    """The lines of one page: text, letters that stand in links, whether furniture, whether in the article."""
+    """The lines of one page: text, letters that stand in links, its furniture elements, whether in the article."""
 
     def __init__(self) -> None:
         self.text: list[str] = []
         self.linked: list[int] = []
-        self.furniture: list[bool] = []
+        self.zones: list[tuple[int, ...]] = []
+        self.reasons: list[set[str]] = []  # of each furniture element
         self.inside: list[bool] = []
         self._parts: list[str] = []
         self._in_links = 0
@@ -82,12 +95,12 @@ class _Lines:
         if link:
             self._in_links += len("".join(text.split()))
 
-    def end(self, furniture: bool, inside: bool) -> None:
+    def end(self, zones: tuple[int, ...], inside: bool) -> None:
         text = " ".join("".join(self._parts).split()) if self._parts else ""
         if text:
             self.text.append(text)
             self.linked.append(self._in_links)
-            self.furniture.append(furniture)
+            self.zones.append(zones)
             self.inside.append(inside)
         self._parts, self._in_links = [], 0
 
@@ -95,12 +108,15 @@ class _Lines:
 def lines_of(page: str) -> _Lines:
     """A page's lines; unclosed and unopened elements are read as they stand."""
     out = _Lines()
-    zone, depth = "", 0  # the furniture element we are in, and how many of its name are open
+    zones: list[list] = []  # the furniture elements we are in: name, how many of it are open, number
     articles: list[str] = []
     links = heading = 0
 
     def end() -> None:
-        out.end(bool(zone) and not heading, bool(articles))
+        out.end(() if heading else tuple(z[2] for z in zones), bool(articles))
+
+    def innermost(name: str) -> int:
+        return next((k for k in range(len(zones) - 1, -1, -1) if zones[k][0] == name), -1)
 
     for m in _TOKEN.finditer(page):
         if m["text"] is not None:
@@ -118,56 +134,95 @@ def lines_of(page: str) -> _Lines:
             links = 0 if closing else 1
             continue
         block = name in BLOCKS or name in FURNITURE
-        marked = not closing and name not in VOID and name not in ("body", "html") and _marked(attributes)
-        if block or marked or zone == name:
+        title = re.fullmatch("h[1-6]", name) is not None
+        reasons = _marked(attributes) if not closing and name not in VOID and name not in ("body", "html") else set()
+        if title:
+            reasons.discard("header")
+        if block or reasons or innermost(name) >= 0:
             end()
         if block:
             links = 0
-        if articles and zone == "header" and re.fullmatch("h[1-6]", name):
+        if articles and zones and title and all(out.reasons[z[2]] <= {"header", "<header"} for z in zones):
             heading = 0 if closing else 1
         if closing:
-            if zone == name:
-                depth -= 1
-                if not depth:
-                    zone = ""
+            k = innermost(name)
+            if k >= 0:
+                zones[k][1] -= 1
+                if not zones[k][1]:
+                    del zones[k:]
             if name in _OPENED and name in articles:
                 del articles[len(articles) - 1 - articles[::-1].index(name) :]
             continue
         if name in VOID or attributes.rstrip().endswith("/") and name not in BLOCKS:
             continue
-        if name in _OPENED and not marked:
-            if zone and zone not in _OPENED and not articles:
-                zone, depth = "", 0
+        if name in _OPENED and not reasons:
+            if not articles and not any(z[0] in _OPENED for z in zones):
+                zones = [z for z in zones if HIDDEN in out.reasons[z[2]]]
             articles.append(name)
-        if zone == "p" and block:  # a paragraph ends where another block begins
-            zone = ""
-        if not zone and (marked or name in FURNITURE):
-            zone, depth = name, 1
-        elif zone == name:
-            depth += 1
+        if zones and zones[-1][0] == "p" and block:  # a paragraph ends where another block begins
+            zones.pop()
+        if name in FURNITURE:
+            reasons.add(f"<{name}")
+        if reasons:
+            zones.append([name, 1, len(out.reasons)])
+            out.reasons.append(reasons)
+        elif (k := innermost(name)) >= 0:
+            zones[k][1] += 1
     end()
     return out
 
 
+def _furniture(lines: _Lines, unlinked: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines are furniture, and which of them by nothing but words of classes and ids.
+
+    A mark does not hold on an element with most of the page's unlinked text, or on any where
+    the elements of that mark have most of it together.  Comments may have most of it, unless
+    no unmarked text surges, and elements told by name, except forms, unless there is none.
+    """
+    at, number = [], []
+    for k, zones in enumerate(lines.zones):
+        at += [k] * len(zones)
+        number += zones
+    shown = [not any(HIDDEN in lines.reasons[z] for z in zones) for zones in lines.zones]
+    total = int(unlinked[shown].sum())
+    held = np.zeros(len(lines.reasons), np.int64)
+    np.add.at(held, np.array(number, int), unlinked[np.array(at, int)])
+    plain = np.where([not z for z in lines.zones], np.where(unlinked * 2 >= length, length, 0), 0)
+    surges = bool((np.convolve(plain, np.ones(WINDOW, np.int64)) >= SURGE).any())
+    left = [set(x) for x in lines.reasons]
+    for mark in set().union(*lines.reasons) - {HIDDEN} - (COMMENTS if surges else set()) - (NAMES if plain.any() else set()):
+        marked = [z for z, x in enumerate(lines.reasons) if mark in x]
+        most = [z for z in marked if 2 * held[z] > total]
+        if not most:
+            together = [k for k, zones in enumerate(lines.zones) if any(mark in lines.reasons[z] for z in zones)]
+            most = marked if 2 * int(unlinked[together].sum()) > total else []
+        for z in most:
+            left[z].discard(mark)
+    furniture = np.array([any(left[z] for z in zones) for zones in lines.zones])
+    words = np.array([all(left[z] <= MARKS for z in zones) for zones in lines.zones])
+    return furniture, furniture & words
+
+
 def main_text(page: str | None) -> str:
     """The page's main text, its blocks joined by line feeds; empty if there is none."""
     lines = lines_of(page or "")
     if not lines.text:
         return ""
-    inside, furniture = np.array(lines.inside), np.array(lines.furniture)
+    inside = np.array(lines.inside)
     length = np.array([len(t) for t in lines.text])
     letters = np.array([len("".join(t.split())) for t in lines.text])
-    empty = furniture | (np.array(lines.linked) * 2 > letters)
-    weight = np.where(empty, 0, length)
+    linked = np.array(lines.linked) * 2 > letters
+    furniture, lowered = _furniture(lines, letters - np.array(lines.linked), length)
+    weight = np.where(furniture | linked, 0, length)
     # A teaser's article holds less than the rest of its page, and then all lines are looked at alike.
     article = 2 * int(weight[inside].sum()) >= int(weight.sum())
     at = np.flatnonzero(inside & ~furniture) if article else np.arange(len(weight))
-    weight = weight[at]
-    if not weight.any():
+    own = weight[at]
+    if not own.any():
         return ""
-    sums = np.convolve(weight, np.ones(WINDOW, np.int64))[WINDOW - 1 :]
+    sums = np.convolve(own, np.ones(WINDOW, np.int64))[WINDOW - 1 :]
     threshold = min(SURGE, int(sums.max()))
-    kept, i, n = [], 0, len(weight)
+    kept, i, n = np.zeros(len(weight), bool), 0, len(own)
     while i < n:
         j = i
         while j < n and sums[j]:
@@ -176,9 +231,19 @@ def main_text(page: str | None) -> str:
         if len(surges):
             # An article's short first lines (title, author) belong to its text; elsewhere they may be anything.
             begin = i if article else int(surges[0])
-            begin += int(np.flatnonzero(weight[begin:j])[0])
-            kept += [lines.text[k] for k in at[begin:j] if not furniture[k]]
+            begin += int(np.flatnonzero(own[begin:j])[0])
+            kept[at[begin:j]] = True
         i = j + 1
+    # Between the first surge and the last dive, short lines stay, and marked ones that surge with their lowered weight.
+    first, last = np.flatnonzero(kept)[[0, -1]]
+    less = np.convolve(np.where(lowered & ~linked, length // LOWERED, 0), np.ones(WINDOW, np.int64)) >= SURGE
+    surging = lowered & ~linked & np.array([less[k : k + WINDOW].any() for k in range(len(weight))])
+    short = np.zeros(len(weight), bool)
+    short[at[own > 0]] = True
+    between = slice(first, last + 1)
+    kept[between] |= short[between] | (surging & (inside | (not article)))[between]
+    kept &= ~furniture | surging
+    kept = [lines.text[k] for k in np.flatnonzero(kept)]
     return "\n".join(kept)
 
 
