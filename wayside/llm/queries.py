@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctph, decontaminate, htmltext, langid, linededup, packing, records, simhash, substrings, urlfilter
+from . import ctph, decontaminate, htmltext, langid, linededup, packing, records, simhash, substrings, tables, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +22,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = records.scratch(spark, "records")
+    path = tables.scratch(spark, "records")
     return records.read_records(spark, path, records.write_records(_table(spark, sf_dir, "documents"), path))
 
 

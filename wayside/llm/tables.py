@@ -2,12 +2,15 @@
 
 A document is a row.  ``doc_id`` need not be unique or non-null: rows are told apart by
 (doc_id, a hash of the text), rows that agree in both get the same result each.  A null
-doc_id ranks after every other; rows without an id are a document for each different text.  Columns besides the id and the text are never read, so
-their names cannot clash with an operator's own.
+doc_id ranks after every other; rows without an id are a document for each different text.
+Columns besides the id and the text are never read, so their names cannot clash with an
+operator's own.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -57,11 +60,11 @@ def batch(**columns: object) -> pa.RecordBatch:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session names none."""
+    """The folder that driver and executors share; set here only where the session names none and runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='wayside-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -69,7 +72,25 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which goes when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
+    return path
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read from there, so that no task is run twice."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: columns of it can be read alone, and its size is known to joins."""
+    spark = df.sparkSession
+    path = f"{scratch(spark, name)}/table"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
