@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import LAST_ID, SPACE, anonymous, arrow_map, batch, checkpointed, keyed, lower_ascii, nameless, row_key
+from .tables import LAST_ID, SPACE, anonymous, arrow_map, batch, keyed, lower_ascii, nameless, row_key, written
 
 _DROPPED, _LEADING, _TRAILING = 0, 1, 2
 
@@ -78,21 +78,23 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", t
     keep: deflated bitmap with a bit for each line.  A key is a line stripped of white space
     at both ends, with A-Z lowered; keys of fewer than ``min_chars`` code points are kept, and
     of the others only the lines in the smallest doc_id stay.  Null texts are empty texts.
-    Rows with one doc_id count as one document, rows without an id by their texts.
+    Rows with one doc_id count as one document, rows without an id by their texts; repeated
+    rows have one bitmap, which each of them reads.  An empty table has none.
     """
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     rows = keyed(docs, id_col, text_col).select("ord", "tag", lines.alias("lines")).select("ord", "tag", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("pos", "line"))
     key = lower_ascii(F.btrim("line", F.lit(SPACE)))
-    hashed = rows.select(key.alias("key"), "ord", "tag", "pos", "n_lines").where(F.char_length("key") >= min_chars).select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "ord", "tag", "pos", "n_lines")
+    # Hashed once: the range bounds are drawn from these rows before the rows themselves are shuffled.
+    hashed = written(rows.select(key.alias("key"), "ord", "tag", "pos", "n_lines").where(F.char_length("key") >= min_chars).select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "ord", "tag", "pos", "n_lines"), "lines")
     order = ("h1", "h2", "ord", "tag", "pos")
     schema = "h1 long, h2 long, ord long, tag long, pos int, n_lines int, kind byte"
     # Written once: what the two branches below read must come from one set of range bounds.
-    found = checkpointed(arrow_map(hashed.repartitionByRange(*order).sortWithinPartitions(*order), _stream, schema))
+    found = written(arrow_map(hashed.repartitionByRange(*order).sortWithinPartitions(*order), _stream, schema), "late-lines")
     doc = F.struct("ord", nameless(F.col("ord"), F.col("tag")).alias("own"))
     edges = found.where(F.col("kind") != _DROPPED).groupBy("h1", "h2").agg(F.min(doc).alias("first"))
     late = found.where(F.col("kind") == _LEADING).join(edges, ["h1", "h2"]).where(doc > F.col("first"))
     gone = found.where(F.col("kind") == _DROPPED).select("ord", "tag", "pos", "n_lines").unionByName(late.select("ord", "tag", "pos", "n_lines"))
-    per_doc = gone.groupBy("ord", "tag", "n_lines").agg(F.collect_list("pos").alias("gone"))
+    per_doc = gone.groupBy("ord", "tag", "n_lines").agg(F.collect_set("pos").alias("gone"))  # rows that agree in id and text give their lines once
     return arrow_map(per_doc, _bitmaps, "ord long, tag long, n_lines long, keep binary")
 
 
