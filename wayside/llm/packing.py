@@ -2,8 +2,9 @@
 
 A document of n ids is cut into pieces whose lengths are the binary digits of n (with as many
 pieces of ``size`` as fit first).  Each piece is a sequence of its own, so none crosses
-documents and none is padded; sequences of equal length form a bucket from which batches are
-drawn.  Nothing is shuffled: a piece depends on its document alone.
+documents and none is padded.  Sequences of equal length form a bucket, and batches of as many
+tokens each are drawn from one bucket, so batches are rectangular without padding.  Nothing is
+shuffled: a piece depends on its document alone, and a task deals its pieces to batches.
 """
 
 from __future__ import annotations
@@ -27,9 +28,10 @@ def pieces(n: int, size: int = SIZE) -> list[int]:
     return [size] * (n // size) + [1 << k for k in range(size.bit_length() - 2, -1, -1) if n % size >> k & 1]
 
 
-def _pack(tokenizer: str, end_id: int, size: int, with_ids: bool):
+def _pack(tokenizer: str, end_id: int, size: int, batch_tokens: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
+        held = dict.fromkeys((1 << k for k in range(size.bit_length())), 0)  # pieces of this task by length
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             for i in range(0, b.num_rows, 64):
@@ -40,32 +42,39 @@ def _pack(tokenizer: str, end_id: int, size: int, with_ids: bool):
                     n, start = len(packed) // 4, 0
                     for length in pieces(n, size):
                         piece = packed[4 * start : 4 * (start + length)]
-                        rows.append((doc_id, start, length, zlib.crc32(piece), n))
+                        rows.append((doc_id, start, length, zlib.crc32(piece), n, held[length] // (batch_tokens // length)))
+                        held[length] += 1
                         if with_ids:
                             ids.append(piece)
                         start += length
                 doc, *rest = zip(*rows, strict=True)
-                columns = dict(zip(("start", "length", "ids_crc32", "doc_tokens"), (np.array(x, np.int64) for x in rest), strict=True))
+                columns = dict(zip(("start", "length", "ids_crc32", "doc_tokens", "batch"), (np.array(x, np.int64) for x in rest), strict=True))
                 yield batch(doc_id=pa.array(doc, pa.int64()), **columns, **({"ids": pa.array(ids, pa.binary())} if with_ids else {}))
 
     return run
 
 
-def pack(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None, end_id: int = END_ID, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and (if asked) ids.
+def pack(docs: DataFrame, size: int = SIZE, batch_tokens: int = 1 << 16, tokenizer: str | None = None, end_id: int = END_ID, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket, batch_id and (if asked) ids.
 
     size: a power of two.  Every text is encoded whole and ends with ``end_id``; null and empty
-    texts are that id alone.  A row of ``docs`` is a document, whatever its doc_id.  ids are
-    packed little-endian unsigned 32-bit; the bucket of a sequence is its length.
+    texts are that id alone.  A row of ``docs`` is a document, whatever its doc_id, so repeated
+    rows are packed each; an empty table gives no pieces.  ids are packed little-endian
+    unsigned 32-bit.  bucket: the length of a sequence as a power of two.  batch_id: with the
+    bucket, names up to ``batch_tokens`` tokens of equally long sequences; each task closes its
+    last batch of a bucket where its rows end.
     """
     if size < 1 or size & (size - 1):
         raise ValueError("size must be a power of two")
+    if batch_tokens < size:
+        raise ValueError("a batch holds a whole sequence at least")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
-    cut = arrow_map(source, _pack(tokenizer_path(tokenizer), end_id, size, with_ids), schema)
-    return cut.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, batch long" + ", ids binary" * with_ids
+    cut = arrow_map(source, _pack(tokenizer_path(tokenizer), end_id, size, batch_tokens, with_ids), schema)
+    own = F.shiftleft(F.spark_partition_id().cast("long"), 33) + F.col("batch")
+    return cut.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "bucket": F.log2("length").cast("int"), "batch_id": own}).drop("batch")
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:
-    """Sequences as Parquet, one folder for each bucket."""
-    packed.withColumn("bucket", F.col("length")).write.partitionBy("bucket").parquet(path)
+    """Sequences as Parquet, one folder for each bucket; a task writes one file for each bucket it has."""
+    packed.write.partitionBy("bucket").parquet(path)
