@@ -7,9 +7,9 @@ block sizes are three times a power of two, chosen so that the signature has 32
 characters where the text allows.  Fingerprints of equal or doubled block size are compared by
 edit distance (insertion and deletion one each, a change two).
 
-To meet each document with its successor, ids alone are cut into ranges at sampled quantiles,
-and the first document of every range is also sent to the range before it; texts are shuffled
-once.
+To meet each document with its successor, the row keys alone (16 bytes each) are range
+partitioned first; the smallest key of each range is a bound, and the document that has it is
+also sent to the range before it.  Texts are shuffled once.
 """
 
 from __future__ import annotations
@@ -29,13 +29,12 @@ from .wordhash import CHUNK_BYTES, mix
 WINDOW, SHORTEST, FULL = 7, 3, 64
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 _CHARS = np.frombuffer(_ALPHABET.encode(), np.uint8)
-_BASE = 0x9E3779B97F4A7C15
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     from .wordhash import _BYTE_POWERS
 
-    return _BYTE_POWERS.to(n)
+    return _BYTE_POWERS[0].to(n)
 
 
 def _signature(ends: np.ndarray, sums: np.ndarray, down: np.ndarray, begin: int, end: int, most: int) -> str:
@@ -175,17 +174,19 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _ranged(docs: DataFrame, ranges: int) -> DataFrame:
     """``docs`` with its range p; the first document of a range also stands last in the one before."""
-    bounds = sorted(set(docs.stat.approxQuantile("rank", [i / ranges for i in range(1, ranges)], 0.2 / ranges)))
-    cuts = np.array(bounds)
+    keys = docs.select("ord", "tag").repartitionByRange(ranges, "ord", "tag").select("ord", "tag", F.spark_partition_id().alias("p"))
+    heads = sorted({(r.head.ord, r.head.tag) for r in keys.groupBy("p").agg(F.min(F.struct("ord", "tag")).alias("head")).collect()})  # a row for each range
+    bounds = np.array(heads, [("ord", "<i8"), ("tag", "<i8")])
 
     @F.pandas_udf("int")
-    def place(rank: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, rank.to_numpy(), "right").astype(np.int32))
-
-    placed = docs.withColumn("p", place("rank"))
-    heads = placed.groupBy("p").agg(F.min(F.struct("ord", "tag")).alias("head")).orderBy("p").select("p", "head.ord", "head.tag").collect()  # a row for each range
-    before = docs.sparkSession.createDataFrame([(h.ord, h.tag, heads[i - 1].p) for i, h in enumerate(heads)], "ord long, tag long, p int")
-    copies = docs.where(F.col("ord").isin([h.ord for h in heads])).join(F.broadcast(before), ["ord", "tag"])
+    def place(ord: pd.Series, tag: pd.Series) -> pd.Series:
+        rows = np.empty(len(ord), bounds.dtype)
+        rows["ord"], rows["tag"] = ord.to_numpy(), tag.to_numpy()
+        return pd.Series(np.maximum(np.searchsorted(bounds, rows, "right") - 1, 0).astype(np.int32))
+
+    placed = docs.withColumn("p", place("ord", "tag"))
+    before = docs.sparkSession.createDataFrame([(o, t, (i - 1) % len(heads)) for i, (o, t) in enumerate(heads)], "ord long, tag long, p int")
+    copies = docs.where(F.col("ord").isin([o for o, _ in heads])).join(F.broadcast(before), ["ord", "tag"])  # a row for each range
     columns = ("p", "tail", "ord", "tag", "doc_id", "text")
     return placed.withColumn("tail", F.lit(False)).select(*columns).unionByName(copies.dropDuplicates(["ord", "tag", "p"]).withColumn("tail", F.lit(True)).select(*columns))
 
@@ -196,9 +197,10 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Edited: the last quarter of the code points (rounded down) gives way to the first as many
     (or all) of the next document by doc_id; after the last comes the first.  Null texts are
     empty; rows of one doc_id follow each other by a hash of their texts; a null doc_id is
-    last.  A table of one document is its own successor; an empty one gives no rows.
+    last, and rows without an id are dealt to as many ranges as others.  Repeated rows are each
+    other's successors.  A table of one document is its own successor; an empty one gives no rows.
     """
-    source = keyed(docs, id_col, text_col).withColumn("rank", F.col("ord").cast("double"))
+    source = keyed(docs, id_col, text_col)
     ranges = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = _ranged(source, ranges).repartition("p").sortWithinPartitions("p", "tail", "ord", "tag").select("p", "tail", "text", "doc_id")
     return arrow_map(ordered, _compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

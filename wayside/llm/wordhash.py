@@ -18,8 +18,9 @@ import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
 
-_BYTE_BASE = 0x9E3779B97F4A7C15
-_WORD_BASE = 0xD6E8FEB86659FD93
+# Two independent pairs of bases: 64 bits find candidates, both together tell equal words from others.
+_BYTE_BASES = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+_WORD_BASES = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 _BYTES = np.arange(256)
 
 #: Bytes of words made of digits, ASCII letters and everything beyond ASCII.
@@ -49,7 +50,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_BYTE_POWERS, _WORD_POWERS = _Powers(_BYTE_BASE), _Powers(_WORD_BASE)
+_BYTE_POWERS, _WORD_POWERS = ([_Powers(b) for b in bases] for bases in (_BYTE_BASES, _WORD_BASES))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -79,35 +80,35 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
         self.counts = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(offsets) - 1), self.counts)
-        self._sums: np.ndarray | None = None
+        self._sums: dict[int, np.ndarray] = {}
 
     def __len__(self) -> int:
         return len(self.start)
 
-    def hashes(self) -> np.ndarray:
-        up, down = _BYTE_POWERS.to(len(self.data) + 1)
+    def hashes(self, which: int = 0) -> np.ndarray:
+        up, down = _BYTE_POWERS[which].to(len(self.data) + 1)
         sums = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
         return mix((sums[self.end] - sums[self.start]) * down[self.start])
 
-    def grams(self, n: int) -> np.ndarray:
+    def grams(self, n: int, which: int = 0) -> np.ndarray:
         """A hash for the n words from each word on; those that cross documents mean nothing."""
         if len(self) < n:
             return np.zeros(0, np.uint64)
-        s, down = self._prefix()
+        s, down = self._prefix(which)
         return mix((s[n:] - s[:-n]) * down[: len(self) + 1 - n])
 
-    def between(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    def between(self, lo: np.ndarray, hi: np.ndarray, which: int = 0) -> np.ndarray:
         """A hash for the words of each span [lo, hi); equal spans of words hash alike."""
-        s, down = self._prefix()
+        s, down = self._prefix(which)
         return mix((s[hi] - s[lo]) * down[lo])
 
-    def _prefix(self) -> tuple[np.ndarray, np.ndarray]:
-        up, down = _WORD_POWERS.to(len(self) + 1)
-        if self._sums is None:
-            self._sums = np.zeros(len(self) + 1, np.uint64)
-            np.cumsum(self.hashes() * up[:-1], out=self._sums[1:])
-        return self._sums, down
+    def _prefix(self, which: int) -> tuple[np.ndarray, np.ndarray]:
+        up, down = _WORD_POWERS[which].to(len(self) + 1)
+        if which not in self._sums:
+            self._sums[which] = np.zeros(len(self) + 1, np.uint64)
+            np.cumsum(self.hashes(which) * up[:-1], out=self._sums[which][1:])
+        return self._sums[which], down
 
     def whole(self, n: int) -> np.ndarray:
         """True where the n words from a word on lie in one document."""
@@ -131,21 +132,24 @@ def chunks(texts: pa.Array, table: np.ndarray, lower: bool = False, size: int =
         i = j
 
 
-def winnow(grams: np.ndarray, window: int, whole: np.ndarray) -> np.ndarray:
-    """Positions of the smallest hash (the last of equals) in each run of ``window`` grams.
-
-    whole: for each run's start, whether the run counts.  Every run that counts holds a
-    returned position, chosen by the run's content alone.
-    """
-    n = len(grams) + 1 - window
-    if n <= 0:
-        return np.zeros(0, np.int64)
+def least_at(grams: np.ndarray, window: int) -> np.ndarray:
+    """For each run of ``window`` grams the position of its smallest hash, the last of equals."""
+    n = max(0, len(grams) + 1 - window)
     least = grams[:n].copy()
     for k in range(1, window):
         np.minimum(least, grams[k : k + n], out=least)
     at = np.zeros(n, np.int64)
     for k in range(window):
         at[grams[k : k + n] == least] = k
-    at += np.arange(n)
-    at = at[whole[:n]]
+    return at + np.arange(n)
+
+
+def winnow(grams: np.ndarray, window: int, whole: np.ndarray) -> np.ndarray:
+    """The distinct positions of least_at() over runs that count.
+
+    whole: for each run's start, whether the run counts.  Every run that counts holds a
+    returned position, chosen by the run's content alone.
+    """
+    at = least_at(grams, window)
+    at = at[whole[: len(at)]]
     return at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
