@@ -53,14 +53,16 @@ def rows(df, *columns):
     return sorted((tuple(r) for r in (df.select(*columns) if columns else df).collect()), key=repr)
 
 
-def test_decontamination(spark, docs, texts):
+def test_decontamination(spark, docs, texts, monkeypatch):
     items = [("b", texts[5][1]), ("a", "one"), (None, "Two words"), ("c", None), ("d", "no such words anywhere")]
     benchmark = spark.createDataFrame(items, "item_id string, text string")
     want = sorted(decontaminate.brute_force(texts, items), key=repr)
     got = decontaminate.digest(decontaminate.benchmark_hits(docs, benchmark))
     assert rows(got) == want
-    in_blocks = decontaminate.digest(decontaminate.benchmark_hits(docs, benchmark, block_words=40))
-    assert rows(in_blocks) == want
+    # A bitmap of 32768 bits that is nearly full lets more windows through to the join, and no other result out of it.
+    monkeypatch.setattr(decontaminate, "_held", lambda bitmap, values: np.ones(len(values), bool))
+    assert rows(decontaminate.digest(decontaminate.benchmark_hits(docs.where("doc_id < 30"), benchmark))) == [w for w in want if w[0] < 30]
+    monkeypatch.undo()
     clean = decontaminate.drop_contaminated(docs, benchmark)
     assert clean.columns == docs.columns
     assert {r.doc_id for r in clean.collect()} == {r[0] for r in want if not r[5]}
@@ -77,7 +79,14 @@ def test_substring_dedup(docs, texts):
     assert rows(substrings.digest(substrings.remove_repeats(docs))) == sorted(substrings.brute_force(texts), key=repr)
     few = texts[:30]
     some = docs.where("doc_id < 30")
-    assert rows(substrings.digest(substrings.remove_repeats(some, window=8))) == sorted(substrings.brute_force(few, 8), key=repr)
+    for window, first in ((8, 25), (8, 2), (2, 1), (7, 3)):
+        assert rows(substrings.digest(substrings.remove_repeats(some, window, first))) == sorted(substrings.brute_force(few, window), key=repr)
+
+
+def test_levels_double_up_to_the_window():
+    assert substrings.levels(50, 25) == [25, 50]
+    assert substrings.levels(50, 6) == [7, 13, 25, 50]
+    assert substrings.levels(200, 25) == [25, 50, 100, 200]
 
 
 def test_line_dedup(docs, texts):

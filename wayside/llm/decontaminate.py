@@ -1,14 +1,16 @@
 """Benchmark decontamination by winnowing.
 
 Every window of ``window`` item words is cut into k-grams of ``(window + 1) // 2`` words; of
-each run of k-grams that fills one window, the one of smallest hash is kept.  The same words
-keep the same k-gram wherever they stand, so every shared window shows as a shared
-fingerprint.  Document fingerprints are joined with the benchmark's, and each hit is extended
-to the windows around it, which are compared by hash and then word for word.
-
-Documents are read once and not shuffled: the benchmark's side goes to the tasks in blocks of
-at most ``block_words`` words.  One block is the common case; a larger benchmark takes one
-pass for each block and a union of the hits, so what is sent never grows with either table.
+each run of k-grams that fills one window, the one of smallest hash is kept, its fingerprint.
+The same words keep the same k-gram wherever they stand, so every shared window shows as a
+shared fingerprint.
+
+The benchmark becomes a table of windows (length, fingerprint, 128 bits of hash, item), made
+and kept by Spark.  Documents are read once and not shuffled: a bitmap of the benchmark's
+fingerprints and one of its windows, of at most ``MOST_BITS`` bits each whatever the benchmark
+holds, tell which fingerprints of a document may be shared, and each of those is extended to
+the windows around it.  What is left is joined with the benchmark's windows on fingerprint and
+hashes; a bitmap that is full only lets more rows through to that join.
 """
 
 from __future__ import annotations
@@ -16,136 +18,133 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import anonymous, arrow_map, batch, keyed
-from .wordhash import ALNUM, chunks, winnow
+from .tables import anonymous, arrow_map, batch, keyed, row_key, written
+from .wordhash import ALNUM, Words, chunks, winnow
 
-BLOCK_WORDS = 1_000_000
-_SCHEMA = "doc_id long, tag long, n_words long, n_hit long, hits binary, items array<string>"
+#: Each bitmap takes 16 MB at the most; up to eight million windows have 16 bits each.
+LEAST_BITS, MOST_BITS, BITS_EACH = 1 << 15, 1 << 27, 16
+_WINDOW = ["n", "g", "w1", "w2"]
+_SPOTS = "struct<n:int, g:long, w1:long, w2:long, at:int>"
 
 
-class _Length:
-    """The benchmark windows of one length: fingerprints, and windows by hash."""
+def _gram(length: int) -> int:
+    return (length + 1) // 2
 
-    def __init__(self, length: int) -> None:
-        self.length, self.gram = length, (length + 1) // 2
-        self.run = length - self.gram + 1
-        self.windows: dict[int, dict[bytes, set[str]]] = defaultdict(dict)
-        self.prints: set[int] = set()
 
-    def close(self) -> None:
-        self.by_print = np.array(sorted(self.prints), np.uint64)
-        self.by_window = np.array(sorted(self.windows), np.uint64)
+def _signs(words: Words, starts: np.ndarray, length: int) -> list[np.ndarray]:
+    """Fingerprint and both hashes of the windows that begin at ``starts``."""
+    gram = _gram(length)
+    grams = words.grams(gram)
+    picks = np.min([grams[starts + k] for k in range(length - gram + 1)], axis=0) if len(starts) else np.zeros(0, np.uint64)
+    return [picks, *(words.grams(length, k)[starts] for k in (0, 1))]
 
 
-def _held(values: np.ndarray, table: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(table, values)
-    at[at == len(table)] = 0
-    return table[at] == values if len(table) else np.zeros(len(values), bool)
-
-
-def index_items(items: Iterable[tuple[object, str | None]], window: int) -> list[_Length]:
-    """Fingerprints and windows of benchmark items; an item of fewer words is one window."""
-    found: dict[int, _Length] = {}
-    for item_id, text in items:
-        name = "" if item_id is None else str(item_id)
-        for _, _, words in chunks(pa.array([text], pa.string()), ALNUM, lower=True):
-            if not len(words):
-                continue
-            length = min(window, len(words))
-            at = found.setdefault(length, _Length(length))
-            whole = words.whole(length)
-            grams = words.grams(at.gram)
-            at.prints.update(grams[winnow(grams, at.run, whole)].tolist())
-            for i, h in enumerate(words.grams(length).tolist()):
-                spelled = b" ".join(words.word(j) for j in range(i, i + length))
-                at.windows[h].setdefault(spelled, set()).add(name)
-    for at in found.values():
-        at.close()
-    return [found[n] for n in sorted(found)]
-
-
-def _matches(words, index: list[_Length]) -> tuple[np.ndarray, dict[int, set[str]]]:
-    """Which words are hit, and the items of each document that has any."""
-    edge, items = np.zeros(len(words) + 1, np.int64), defaultdict(set)
-    for at in index:
-        grams, whole = words.grams(at.gram), words.whole(at.length)
-        picked = winnow(grams, at.run, whole)
-        picked = picked[_held(grams[picked], at.by_print)]
-        if not len(picked):
-            continue
-        starts = np.unique((picked[:, None] - np.arange(at.run)).ravel())
-        starts = starts[(starts >= 0) & (starts < len(whole))]
-        starts = starts[whole[starts]]
-        hashes = words.grams(at.length)[starts]
-        same = _held(hashes, at.by_window)
-        for p, h in zip(starts[same].tolist(), hashes[same].tolist(), strict=True):
-            names = at.windows[h].get(b" ".join(words.word(j) for j in range(p, p + at.length)))
-            if names:
-                edge[p] += 1
-                edge[p + at.length] -= 1
-                items[int(words.doc[p])] |= names
-    return np.cumsum(edge[:-1]) > 0, items
-
-
-def _pass(index: list[_Length]):
+def _index(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, words in chunks(b.column("text"), ALNUM, lower=True):
-                hit, items = _matches(words, index)
-                n_hit = np.add.reduceat(np.append(hit, False).astype(np.int64), words.first[:-1]) * (words.counts > 0)
-                bits = [zlib.compress(np.packbits(hit[words.first[k] : words.first[k + 1]]).tobytes()) if n_hit[k] else None for k in range(j - i)]
-                yield batch(doc_id=b.column("doc_id").slice(i, j - i), tag=b.column("tag").slice(i, j - i), n_words=words.counts, n_hit=n_hit, hits=pa.array(bits, pa.binary()), items=pa.array([sorted(items.get(k, ())) for k in range(j - i)], pa.list_(pa.string())))
+                lengths = np.minimum(window, words.counts)
+                for n in np.unique(lengths[lengths > 0]).tolist():
+                    starts = np.flatnonzero(words.whole(n))
+                    starts = starts[lengths[words.doc[starts]] == n]
+                    item = b.column("item").take(pa.array(i + words.doc[starts]))
+                    g, w1, w2 = (x.view(np.int64) for x in _signs(words, starts, n))
+                    yield batch(n=np.full(len(starts), n, np.int32), g=g, w1=w1, w2=w2, item=item)
 
     return run
 
 
-def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row of several passes over the same document: its hit words taken together."""
-    for b in batches:
-        merged = []
-        for row in b.column("all_hits").to_pylist():
-            parts = [np.frombuffer(zlib.decompress(x), np.uint8) for x in row]
-            merged.append(np.bitwise_or.reduce(parts) if parts else np.zeros(0, np.uint8))
-        yield batch(doc_id=b.column("doc_id"), tag=b.column("tag"), n_words=b.column("n_words"), n_hit=np.array([int(np.bitwise_count(x).sum()) for x in merged], np.int64), hits=pa.array([zlib.compress(x.tobytes()) for x in merged], pa.binary()), items=b.column("items"), copies=b.column("copies"))
+def index_items(benchmark: DataFrame, window: int = 10, item_col: str = "item_id") -> DataFrame:
+    """n, g, w1, w2 and item of each window of benchmark items; an item of fewer words is one window of n words."""
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text"))
+    return written(arrow_map(items, _index(window), "n int, g long, w1 long, w2 long, item string").distinct(), "windows")
+
+
+def _bitmap(values: DataFrame, column: str, bits: int) -> np.ndarray:
+    """``bits`` bits, of which those are set that the column's values name modulo ``bits``; made by Spark, 4 KB a row."""
+    place = F.col(column).bitwiseAND(F.lit(bits - 1).cast("long")) + 1
+    rows = values.select(F.bitmap_bucket_number(place).alias("k"), F.bitmap_bit_position(place).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("bytes")).collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for r in rows:
+        out[4096 * (r.k - 1) : 4096 * r.k] = np.frombuffer(r.bytes, np.uint8)
+    return out
 
 
-def _blocks(benchmark: DataFrame, window: int, block_words: int, item_col: str) -> list[list[_Length]]:
-    """The benchmark's windows in blocks of about ``block_words`` words, each an index to send to the tasks."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    letters = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-(letters // 2) // block_words))  # a word takes two letters at least, with the gap
-    return [index_items(((r[0], r[1]) for r in items.where(F.pmod(F.hash("item_id", "text"), F.lit(blocks)) == k).toLocalIterator()), window) for k in range(blocks)]
+def _held(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = (values & np.uint64(8 * len(bitmap) - 1)).astype(np.int64)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _clean(index: list[_Length], text_name: str):
+def _spots(words: Words, lengths: list[int], prints: np.ndarray, windows: np.ndarray) -> list[np.ndarray]:
+    """n, g, w1, w2 and start of the windows that may be the benchmark's."""
+    found = []
+    for n in lengths:
+        gram, whole = _gram(n), words.whole(n)
+        run, grams = n - gram + 1, words.grams(gram)
+        picked = winnow(grams, run, whole)
+        picked = picked[_held(prints, grams[picked])]
+        if not len(picked):
+            continue
+        starts = np.unique((picked[:, None] - np.arange(run)).ravel())
+        starts = starts[(starts >= 0) & (starts < len(whole))]
+        starts = starts[whole[starts] & _held(windows, words.grams(n)[starts])]
+        if len(starts):
+            found.append([np.full(len(starts), n, np.int64), *(x.view(np.int64) for x in _signs(words, starts, n)), starts])
+    return [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 5
+
+
+def _probe(lengths: list[int], prints: np.ndarray, windows: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            clean = np.ones(b.num_rows, bool)
-            for i, _, words in chunks(b.column(text_name), ALNUM, lower=True):
-                _, items = _matches(words, index)
-                clean[[i + k for k in items]] = False
-            yield b.filter(pa.array(clean))
+            for i, j, words in chunks(b.column("text"), ALNUM, lower=True):
+                n, g, w1, w2, at = _spots(words, lengths, prints, windows)
+                doc = words.doc[at] if len(at) else np.zeros(0, np.int64)
+                order = np.argsort(doc, kind="stable")
+                struct = pa.StructArray.from_arrays([pa.array(n[order], pa.int32()), pa.array(g[order]), pa.array(w1[order]), pa.array(w2[order]), pa.array((at - words.first[doc])[order] if len(at) else at, pa.int32())], ["n", "g", "w1", "w2", "at"])
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=j - i))]).astype(np.int32)
+                yield batch(**{c: b.column(c).slice(i, j - i) for c in ("doc_id", "ord", "tag")}, n_words=words.counts, spots=pa.ListArray.from_arrays(pa.array(offsets), struct))
 
     return run
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which no benchmark window occurs, with their columns; one filter a block."""
-    plain, names, fields = anonymous(docs)
-    text = names[docs.columns.index(text_col)]
-    for index in _blocks(benchmark, window, block_words, item_col):
-        plain = arrow_map(plain, _clean(index, text), fields)
-    return plain.toDF(*docs.columns)
+def _met(docs: DataFrame, benchmark: DataFrame, window: int, item_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A row for each document (doc_id, ord, tag, n_words), its windows that are the benchmark's, and the benchmark's windows.
+
+    docs: doc_id, ord, tag, text.
+    """
+    index = index_items(benchmark, window, item_col)
+    about = index.agg(F.count(F.lit(1)).alias("n"), F.collect_set("n").alias("lengths")).first()  # at most ``window`` lengths
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * about.n).bit_length()))
+    probe = _probe(sorted(about.lengths), _bitmap(index, "g", bits), _bitmap(index, "w1", bits))
+    rows = written(arrow_map(docs, probe, f"doc_id long, ord long, tag long, n_words long, spots array<{_SPOTS}>"), "spots")
+    spots = rows.where(F.size("spots") > 0).select("ord", "tag", F.explode("spots").alias("s")).select("ord", "tag", *(f"s.{c}" for c in (*_WINDOW, "at")))
+    return rows.drop("spots"), spots.join(index.select(*_WINDOW).distinct(), _WINDOW), index
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS, item_col: str = "item_id", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of words as a deflated bitmap, and how many words they cover."""
+    for b in batches:
+        maps, n_hit = [], []
+        for n, spans in zip(b.column("n_words").to_pylist(), b.column("spans").to_pylist(), strict=True):
+            edge = np.zeros(n + 1, np.int64)
+            if spans:
+                at, size = np.array([s["at"] for s in spans]), np.array([s["n"] for s in spans])
+                np.add.at(edge, at, 1)
+                np.add.at(edge, at + size, -1)
+            hit = np.cumsum(edge[:-1]) > 0
+            n_hit.append(int(hit.sum()))
+            maps.append(zlib.compress(np.packbits(hit).tobytes()) if spans else None)
+        yield batch(doc_id=b.column("doc_id"), n_words=b.column("n_words"), n_hit=np.array(n_hit, np.int64), hits=pa.array(maps, pa.binary()), items=b.column("items"))
+
+
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, item_col: str = "item_id", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's words inside occurrences of benchmark windows.
 
     Returns doc_id, n_words, n_hit, hits (deflated bitmap over the words, null if none) and
@@ -153,19 +152,25 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, bloc
 
     A word is ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lowered.  Null and
     empty texts have no words; an item without words has no windows; rows of one item_id are
-    one item and a null item_id counts as ''.  With an empty benchmark nothing is hit.
+    one item and a null item_id counts as ''.  With an empty benchmark nothing is hit; an empty
+    table gives an empty one; repeated rows have the same hits each.
     """
-    left = keyed(docs, id_col, text_col).select("doc_id", "tag", "text")
-    parts = [arrow_map(left, _pass(index), _SCHEMA) for index in _blocks(benchmark, window, block_words, item_col)]
-    blocks = len(parts)
-    if blocks == 1:
-        return parts[0].drop("tag")
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    found = every.groupBy("doc_id", "tag", "n_words").agg(F.collect_list("hits").alias("all_hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count(F.lit(1)) / blocks).cast("int").alias("copies"))
-    merged = arrow_map(found, _union, _SCHEMA + ", copies int")
-    return merged.withColumn("copies", F.explode(F.sequence(F.lit(1), "copies"))).select("doc_id", "n_words", "n_hit", F.when(F.col("n_hit") > 0, F.col("hits")).alias("hits"), "items")
+    rows, met, index = _met(keyed(docs, id_col, text_col), benchmark, window, item_col)
+    # Sets, as rows that agree in id and text bring the same windows.
+    spans = met.groupBy("ord", "tag").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
+    items = met.select("ord", "tag", *_WINDOW).distinct().join(index, _WINDOW).select("ord", "tag", "item").distinct().groupBy("ord", "tag").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    hit = rows.join(spans, ["ord", "tag"], "left").join(items, ["ord", "tag"], "left")
+    named = hit.select("doc_id", "n_words", "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return arrow_map(named, _marked, "doc_id long, n_words long, n_hit long, hits binary, items array<string>")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, item_col: str = "item_id", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which no benchmark window occurs, with their columns; rules as in benchmark_hits()."""
+    _, met, _ = _met(keyed(docs, id_col, text_col), benchmark, window, item_col)
+    hit = written(met.select("ord", "tag").distinct(), "contaminated")
+    plain, names, _ = anonymous(docs)
+    doc_id, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    return plain.withColumns(row_key(F.col(doc_id), F.col(text))).join(hit, ["ord", "tag"], "left_anti").select(*names).toDF(*docs.columns)
 
 
 def digest(hits: DataFrame) -> DataFrame:
