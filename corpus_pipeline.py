@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayside.llm import decontaminate, langid, linededup, packing, records, simhash
+from wayside.llm import decontaminate, langid, linededup, packing, simhash, tables
 
 #: Near copies: 5-word shingles, of which 0.8 are common.  Of 128 bits of fingerprint such texts differ in 19, give or take 4.
 SHINGLE, LEAST, WORDS, RADIUS, MINIMA = 5, 0.8, 2, 32, 6
@@ -57,7 +57,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; the rows of the last."""
-    folder = records.scratch(spark, "pipeline")
+    folder = tables.scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
