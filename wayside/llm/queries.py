@@ -85,7 +85,7 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
 FROM words LEFT JOIN kept USING (doc_id)""",
     "op4_temporal_url_filter": r"""
 WITH captures AS (SELECT page_id, url, 1704067200 + (page_id * 7919 % 365) * 86400 + page_id % 86400 AS fetched_at,
-    regexp_replace(lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '\.$', '') AS host,
+    regexp_replace(lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)', 1)), '\.$', '') AS host,
     list_filter(string_split(lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)), '/'), lambda s: s <> '') AS segments FROM pages),
 hosts AS (SELECT host AS value, ('0x' || substr(md5(host), 1, 8))::BIGINT AS k FROM (SELECT DISTINCT host FROM captures WHERE host <> '')),
 parents AS (SELECT value, ('0x' || substr(md5(value), 1, 8))::BIGINT AS k FROM (SELECT DISTINCT array_to_string(string_split(value, '.')[-2:], '.') AS value FROM hosts)),
@@ -101,7 +101,7 @@ timed AS (SELECT *, 1704067200 + day * 86400 AS valid_from, 1704067200 + 86400 *
 valid AS (SELECT *, CASE kind WHEN 'path' THEN 3 WHEN 'host' THEN 2 ELSE 1 END AS rank FROM timed WHERE event = 'add'),
 keys AS (
   SELECT page_id, url, host, fetched_at, 'host' AS kind, host AS value FROM captures
-  UNION ALL SELECT page_id, url, host, fetched_at, 'domain', unnest(list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.'))) FROM captures
+  UNION ALL SELECT page_id, url, host, fetched_at, 'domain', unnest(list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.'))) FROM captures WHERE NOT regexp_matches(host, '^([0-9.]+|\[.*)$')
   UNION ALL SELECT page_id, url, host, fetched_at, 'path', unnest(list_transform(range(1, len(segments) + 1), lambda i: host || '/' || array_to_string(segments[1:i], '/'))) FROM captures),
 met AS (SELECT page_id, rank, valid.action, list, valid.kind, valid.value, valid_from FROM keys JOIN valid ON keys.kind = valid.kind AND keys.value = valid.value
   WHERE fetched_at >= valid_from AND (valid_to IS NULL OR fetched_at < valid_to)),

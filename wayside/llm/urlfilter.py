@@ -3,8 +3,9 @@
 List entries are events: at a time, an entry is added to a list or removed from it.  Each
 addition holds until the next event of the same entry, which makes validity intervals.  A
 capture asks for the entries that cover its URL and were valid when it was fetched: its host,
-each parent domain and each leading part of its path are candidate keys, joined with the
-intervals on key and month and narrowed by time.  The most specific valid entry decides.
+each parent domain and each leading part of its path are candidate keys (no more labels and
+folders than the longest entry has), joined with the intervals on key and month and narrowed by
+time.  The most specific valid entry decides.
 
 Everything is DataFrame expressions.  Captures of a hot host spread by month and are left to
 the skew handling of joins; the successor of an event is sought within its month first, and
@@ -16,9 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import written
+
 BUCKET = 30 * 86400
-#: Longer hosts cannot be resolved; they have no candidate keys.
-LONGEST_HOST = 253
 _KEY = ("list", "kind", "value")
 _RANK = {"domain": 1, "host": 2, "path": 3}
 
@@ -37,36 +38,43 @@ def _segments(path: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda s: s != "")
 
 
-def intervals(entries: DataFrame) -> DataFrame:
-    """list, kind, value, action, valid_from, valid_to (null: open) of each addition.
+def events_of(entries: DataFrame) -> DataFrame:
+    """list, kind, value, listed_at, event and action: one event for each entry and time, as a written table.
 
-    entries: list, kind (domain, host, path), value, action (block, allow), event (add,
-    remove), listed_at (seconds).  Of several events of an entry at one time a removal wins,
-    else an addition that blocks.  Rows with a null in kind, value, event or listed_at are no
-    events; a null list is a list like others.
+    Of several events of an entry at one time a removal wins, else an addition that blocks.
+    Rows with a null in kind, value, event or listed_at are no events; a null list is a list
+    like others, a null action blocks.
     """
-    named = entries.select(F.coalesce(F.col("list"), F.lit("")).alias("list"), "kind", F.lower("value").alias("value"), "action", "event", F.col("listed_at").cast("long").alias("listed_at")).dropna(subset=["kind", "value", "event", "listed_at"])
-    month = F.floor(F.col("listed_at") / BUCKET)
-    once = named.groupBy(*_KEY, "listed_at").agg(F.max("event").alias("event"), F.max("action").alias("action")).withColumn("month", month)
+    named = entries.select(F.coalesce(F.col("list"), F.lit("")).alias("list"), "kind", F.lower("value").alias("value"), F.coalesce("action", F.lit("block")).alias("action"), "event", F.col("listed_at").cast("long").alias("listed_at")).dropna(subset=["kind", "value", "event", "listed_at"])
+    return written(named.groupBy(*_KEY, "listed_at").agg(F.max("event").alias("event"), F.max("action").alias("action")), "entries")
+
+
+def intervals(events: DataFrame) -> DataFrame:
+    """list, kind, value, action, valid_from, valid_to (null: open) of each addition among events_of()."""
+    once = events.withColumn("month", F.floor(F.col("listed_at") / BUCKET))
     firsts = once.groupBy(*_KEY, "month").agg(F.min("listed_at").alias("first"))
     later = firsts.select(*_KEY, "month", F.lead("first").over(Window.partitionBy(*_KEY).orderBy("month")).alias("later"))
     own = F.lead("listed_at").over(Window.partitionBy(*_KEY, "month").orderBy("listed_at"))
     dated = once.withColumn("own", own).join(later, [*_KEY, "month"])
-    return dated.where(F.col("event") == "add").select(*_KEY, F.coalesce("action", F.lit("block")).alias("action"), F.col("listed_at").alias("valid_from"), F.coalesce("own", "later").alias("valid_to"))
+    return dated.where(F.col("event") == "add").select(*_KEY, "action", F.col("listed_at").alias("valid_from"), F.coalesce("own", "later").alias("valid_to"))
 
 
 def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """page_id, url, host, fetched_at, n_active, verdict, entry_kind, entry_value, valid_from.
 
-    A row for each capture (page_id, url, fetched_at in seconds).  n_active: entries that
+    captures: page_id, url, fetched_at in seconds; a row comes out for each.  entries: list,
+    kind (domain, host, path), value, action (block, allow), event (add, remove), listed_at
+    (seconds); other columns of both are not read.  n_active: entries that
     cover the URL and were valid then (valid_from <= fetched_at < valid_to).  verdict: the
     action of the most specific of them (path over host over domain, then the longer value,
-    then block, then the list's name), else ``none``.  A null or relative URL, an overlong
-    host or a null time has no candidates.  Repeated captures each have their row.
+    then block, then the list's name), else ``none``.  A null or relative URL has no
+    candidates, a null time no active entry; numeric hosts and IPv6 addresses are hosts
+    without parent domains.  Repeated captures each have their row, an empty table gives none.
     """
-    valid = intervals(entries)
+    events = events_of(entries)
+    valid = intervals(events)
     span = captures.agg(F.min("fetched_at"), F.max("fetched_at")).first()  # two numbers
-    depth = entries.where(F.col("kind") == "path").agg(F.max(F.size(_segments(F.concat(F.lit("/"), "value"))))).first()[0] or 1
+    depth, deepest = (events.agg(F.max(F.when(F.col("kind") == "path", F.size(F.split("value", "/")))), F.max(F.when(F.col("kind") == "domain", F.size(F.split("value", r"\."))))).first())  # two numbers
     low, high = (int((t or 0) // BUCKET) for t in span)
     months = F.sequence(F.greatest(F.floor(F.col("valid_from") / BUCKET), F.lit(low)), F.least(F.floor(F.coalesce(F.col("valid_to") - 1, F.lit(high * BUCKET)) / BUCKET), F.lit(high)))
     living = valid.where((F.floor(F.col("valid_from") / BUCKET) <= high) & (F.coalesce(F.col("valid_to"), F.lit((high + 1) * BUCKET)) > low * BUCKET)).where(F.coalesce(F.col("valid_to"), F.lit(1 << 62)) > F.col("valid_from"))
@@ -76,11 +84,11 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     source = captures.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.col("fetched_at").cast("long").alias("fetched_at"), host_of(url).alias("host"), path_of(url).alias("path"))
     source = source.groupBy("page_id", "url", "fetched_at", "host", "path").agg(F.count(F.lit(1)).alias("copies"))
     labels = F.split("host", r"\.")
-    known = (F.col("host") != "") & (F.length("host") <= LONGEST_HOST)
+    known = F.col("host") != ""
     numeric = F.col("host").rlike(r"^([0-9.]+|\[.*)$")
     own = F.array(F.struct(F.lit("host").alias("kind"), F.col("host").alias("value")))
-    domains = F.when(numeric, F.array()).otherwise(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("value"))))
-    segments = F.slice(_segments(F.lower("path")), 1, depth)
+    domains = F.when(numeric, F.array()).otherwise(F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) + 1 - (deepest or 1)), F.size(labels)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("value"))))
+    segments = F.slice(_segments(F.lower("path")), 1, depth or 1)
     paths = F.when(F.size(segments) > 0, F.transform(F.sequence(F.lit(1), F.size(segments)), lambda i: F.struct(F.lit("path").alias("kind"), F.concat_ws("/", F.col("host"), F.slice(segments, F.lit(1), i)).alias("value")))).otherwise(F.array())
     keys = F.when(known, F.concat(own, domains, paths)).otherwise(F.array(F.struct(F.lit("").alias("kind"), F.lit("").alias("value"))))
     asked = source.select("page_id", "url", "host", "fetched_at", "copies", F.explode(keys).alias("key")).select("page_id", "url", "host", "fetched_at", "copies", "key.kind", "key.value", F.floor(F.col("fetched_at") / BUCKET).alias("month"))
@@ -116,25 +124,24 @@ def entries_of(pages: DataFrame) -> DataFrame:
     Hosts are blocked and partly freed and blocked again, some are allowed, some have one
     folder blocked; whole domains are blocked for a time.
     """
-    hosts = pages.select(host_of(F.col("url")).alias("value")).where("value != ''").distinct().withColumn("k", _number(F.col("value")))
     labels = F.split("value", r"\.")
-    parents = hosts.select(F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 1), F.lit(2)), ".").alias("value")).distinct().withColumn("k", _number(F.col("value")))
-
-    def event(rows: DataFrame, name: str, kind: str, action: str, what: str, day: Column, value: Column | None = None) -> DataFrame:
-        return rows.select(F.lit(name).alias("list"), F.lit(kind).alias("kind"), (F.col("value") if value is None else value).alias("value"), F.lit(action).alias("action"), F.lit(what).alias("event"), (DAY_ZERO + day * _DAY).alias("listed_at"))
-
-    k = F.col("k")
-    blocked = hosts.where(k % 3 == 0)
-    parts = [
-        event(blocked, "hosts", "host", "block", "add", k % 200),
-        event(blocked.where(k % 2 == 0), "hosts", "host", "block", "remove", k % 200 + 40),
-        event(blocked.where(k % 10 == 0), "hosts", "host", "block", "add", k % 200 + 90),
-        event(hosts.where(k % 7 == 2), "exceptions", "host", "allow", "add", k % 300),
-        event(hosts.where(k % 4 == 1), "folders", "path", "block", "add", k % 100, F.concat("value", F.lit("/en"))),
-        event(parents.where(k % 2 == 0), "domains", "domain", "block", "add", k % 150),
-        event(parents.where(k % 2 == 0), "domains", "domain", "block", "remove", k % 150 + 60),
-    ]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    return every
+    parent = F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 1), F.lit(2)), ".")
+    hosts = pages.select(host_of(F.col("url")).alias("value")).where("value != ''").distinct()
+    both = F.array(F.struct(F.lit(False).alias("whole"), F.col("value").alias("value")), F.struct(F.lit(True).alias("whole"), parent.alias("value")))
+    k, own = F.col("k"), ~F.col("whole")
+    named = hosts.select(F.explode(both).alias("n")).select("n.*").distinct().withColumn("k", _number(F.col("value")))
+
+    def event(test: Column, name: str, kind: str, action: str, what: str, day: Column, value: Column | None = None) -> Column:
+        fields = {"list": F.lit(name), "kind": F.lit(kind), "value": F.col("value") if value is None else value, "action": F.lit(action), "event": F.lit(what), "listed_at": DAY_ZERO + day * _DAY}
+        return F.when(test, F.struct(*(c.alias(f) for f, c in fields.items())))
+
+    events = F.array(
+        event(own & (k % 3 == 0), "hosts", "host", "block", "add", k % 200),
+        event(own & (k % 6 == 0), "hosts", "host", "block", "remove", k % 200 + 40),
+        event(own & (k % 30 == 0), "hosts", "host", "block", "add", k % 200 + 90),
+        event(own & (k % 7 == 2), "exceptions", "host", "allow", "add", k % 300),
+        event(own & (k % 4 == 1), "folders", "path", "block", "add", k % 100, F.concat("value", F.lit("/en"))),
+        event(~own & (k % 2 == 0), "domains", "domain", "block", "add", k % 150),
+        event(~own & (k % 2 == 0), "domains", "domain", "block", "remove", k % 150 + 60),
+    )
+    return named.select(F.explode(F.filter(events, lambda e: e.isNotNull())).alias("e")).select("e.*")
