@@ -11,7 +11,9 @@ equal parts of two fingerprints agrees, so each part's value is a cell and only
 cell are compared (``cells='parts'``).  For larger radii, where parts would be too short to
 tell anything apart, the cells are minima of hash functions over the shingles, which two texts
 share with a probability equal to their similarity each (``cells='minima'``).  A cell of many
-rows is dealt to tiles by hash, and each pair of tiles is a task of its own.
+rows is cut into tiles along the population count of its fingerprints, so that a pair of tiles
+whose counts lie further apart than the radius is not even shipped; each other pair is a task
+of its own.
 
 A task returns links that connect what its matches connect, not the matches themselves, so a
 group of n near copies gives n - 1 links a task instead of n * n.
@@ -29,7 +31,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -212,14 +214,35 @@ def links(classes: DataFrame, radius: int, words: int = 1, cells: str = "parts")
         keys = F.col("minima")
     prints = [f"f{k}" for k in range(words)]
     rows = classes.select("node", *prints, F.posexplode(keys).alias("part", "cell"))
-    counted = rows.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("n"))
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    rows = rows.join(counted.where("n > 1").select("part", "cell", tiles.alias("m")), ["part", "cell"]).withColumn("t", F.pmod(F.hash("node"), F.col("m")))
-    tasks = rows.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select("part", "cell", F.least("t", "u").alias("ti"), F.greatest("t", "u").alias("tj"), F.when(F.col("t") == F.col("u"), 2).when(F.col("t") < F.col("u"), 0).otherwise(1).alias("side"), "node", *prints)
+    counted = rows.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = rows.join(counted, ["part", "cell"])
+    alone = met.where(F.col("n") <= TILE).select("part", "cell", F.lit(0).cast("long").alias("ti"), F.lit(0).cast("long").alias("tj"), F.lit(2).alias("side"), "node", *prints)
+    many = met.where(F.col("n") > TILE).withColumn("population", sum((F.bit_count(p) for p in prints), start=F.lit(0)))
+    tasks = alone.unionByName(_tiled(many, radius, prints))
     key = ("part", "cell", "ti", "tj")
     return arrow_map(tasks.repartition(*key).sortWithinPartitions(*key), _compare(words, radius), "a long, b long")
 
 
+def _tiled(rows: DataFrame, radius: int, prints: list[str]) -> DataFrame:
+    """Rows of large cells, a copy for each pair of tiles that they take part in: part, cell, ti, tj, side, node and fingerprint.
+
+    Rows of a cell are numbered along their population count (a count of many rows is dealt to
+    several tiles by hash), so a tile spans few counts and meets only tiles within ``radius``.
+    """
+    cell = ["part", "cell"]
+    sizes = rows.groupBy(*cell, "population").agg(F.count(F.lit(1)).alias("k"))
+    # At most as many rows a cell as a fingerprint has bits.
+    before = F.coalesce(F.sum("k").over(Window.partitionBy(*cell).orderBy("population").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    plan = sizes.select(*cell, "population", F.floor(before / TILE).alias("base"), F.ceil(F.col("k") / TILE).alias("spread"))
+    spans = plan.select(*cell, "population", F.explode(F.sequence("base", F.col("base") + F.col("spread") - 1)).alias("tile")).groupBy(*cell, "tile").agg(F.min("population").alias("low"), F.max("population").alias("high"))
+    a, b = (spans.select(*cell, *(F.col(c).alias(f"{side}_{c}") for c in ("tile", "low", "high"))) for side in "ab")
+    pairs = a.join(b, cell).where((F.col("a_tile") <= F.col("b_tile")) & (F.col("b_low") - F.col("a_high") <= radius) & (F.col("a_low") - F.col("b_high") <= radius))
+    side = F.when(F.col("a_tile") == F.col("b_tile"), F.array(F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1)))
+    ways = pairs.withColumn("side", F.explode(side)).select(*cell, F.when(F.col("side") == 1, F.col("b_tile")).otherwise(F.col("a_tile")).alias("tile"), F.col("a_tile").alias("ti"), F.col("b_tile").alias("tj"), "side")
+    placed = rows.join(plan, [*cell, "population"]).withColumn("tile", F.col("base") + F.pmod(F.hash("node"), F.col("spread")))
+    return placed.join(ways, [*cell, "tile"]).select(*cell, "ti", "tj", "side", "node", *prints)
+
+
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
