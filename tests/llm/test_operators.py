@@ -143,6 +143,25 @@ def test_tiles_find_what_a_full_comparison_finds():
     assert {tuple(sorted(x)) for x in links.tolist()} == {(i, i + 100) for i in range(100)}
 
 
+def test_large_cells_in_tiles_along_the_population(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    # All share one part, so one cell holds them; many have one population count.
+    prints = (rng.integers(0, 1 << 47, 240).astype(np.uint64) << np.uint64(16)) | np.uint64(0x1234)
+    prints[200:] = prints[:40] ^ np.uint64(1 << 60 | 1 << 20)
+    signed = [int(x) for x in prints.view(np.int64)]
+    classes = spark.createDataFrame([(i, p, []) for i, p in enumerate(signed)], "node long, f0 long, minima array<long>")
+    want = {(i, j) for i in range(240) for j in range(i + 1, 240) if (int(prints[i]) ^ int(prints[j])).bit_count() <= 3}
+    for tile in (7, 60):
+        monkeypatch.setattr(simhash, "TILE", tile)
+        got = {tuple(sorted(map(int, r))) for r in simhash.links(classes, 3).collect()}
+        assert got <= want and dict(rows(components.components(spark.createDataFrame(sorted(got), "a long, b long")))) == dict(rows(components.components(spark.createDataFrame(sorted(want), "a long, b long"))))
+        many = classes.select("node", "f0", F.lit(0).alias("part"), F.lit(0).cast("long").alias("cell"), F.bit_count("f0").alias("population"))
+        shipped = simhash._tiled(many, 3, ["f0"])
+        spans = shipped.groupBy("ti", "tj", "side").agg(F.min(F.bit_count("f0")).alias("low"), F.max(F.bit_count("f0")).alias("high")).collect()
+        of = {(r.ti, r.tj, r.side): (r.low, r.high) for r in spans}
+        assert all(of[i, j, 1][0] - of[i, j, 0][1] <= 3 for i, j, side in of if side == 0)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (7, 7)]
     found = dict(rows(components.components(spark.createDataFrame(chain, "a long, b long"))))
@@ -251,6 +270,8 @@ def test_language_id_cases(spark, docs, empty):
     none = langid.train(empty)
     assert {r.lang_pred for r in langid.predict(docs, none).collect()} == {"und"}
     assert langid.keep_known(docs, model).columns == docs.columns
+    # Without languages to learn from, texts with a letter stay.
+    assert {r.doc_id for r in langid.keep_known(docs, none).collect()} == {i for i, p in got.items() if p != "und"}
 
 
 @pytest.mark.parametrize(
@@ -323,9 +344,28 @@ def test_url_intervals_and_verdicts(spark):
     got = urlfilter.evaluate(spark.createDataFrame(captures, "page_id long, url string, fetched_at long"), spark.createDataFrame(entries, "list string, kind string, value string, action string, event string, listed_at long"))
     assert rows(got, "page_id", "n_active", "verdict") == sorted([(1, 2, "block"), (2, 2, "block"), (3, 1, "allow"), (4, 3, "allow"), (5, 0, "none"), (6, 0, "none"), (7, 0, "none"), (8, 1, "block"), (8, 1, "block")], key=repr)
     none = spark.createDataFrame([], "list string, kind string, value string, action string, event string, listed_at long")
+    empty = spark.createDataFrame([], "page_id long, url string, fetched_at long")
+    assert urlfilter.evaluate(empty, spark.createDataFrame(entries, none.schema)).count() == 0
+    clashing = spark.createDataFrame(captures, empty.schema).withColumns({"kind": F.lit(1), "value": F.lit("x"), "month": F.lit(0), "copies": F.lit(9)})
+    assert urlfilter.evaluate(clashing, spark.createDataFrame(entries, none.schema)).where("n_active > 0").count() == 6
     assert urlfilter.evaluate(spark.createDataFrame(captures, "page_id long, url string, fetched_at long"), none).where("verdict != 'none'").count() == 0
 
 
+def test_urls_of_odd_hosts_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    hosts = ["[2001:db8::1]", "[::1]:8080", "10.0.0.7", "192.168.1.1:80", "a" * 300 + ".example.org", ".".join(["x"] * 200) + ".example.net", "u:p@WWW.Example.org.", "example.org", "-", "."]
+    urls = [f"http://{h}/{p}" for h in hosts for p in ("", "en", "en/" + "deep/" * 300, "EN?q#f")] + [None, "", "no url", "http://", "http:///en"]
+    spark.createDataFrame(list(enumerate(urls * 3)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    mine = queries.op4_temporal_url_filter(spark, str(tmp_path))
+    theirs = con.execute(queries.ORACLE_SQL["op4_temporal_url_filter"])
+    columns = [c[0] for c in theirs.description]
+    want = sorted((tuple(v if c != "host" else v or "" for c, v in zip(columns, r, strict=True)) for r in theirs.fetchall()), key=repr)
+    assert rows(mine.select(*columns)) == want
+
+
 def test_null_ids_repeated_rows_and_clashing_columns(spark):
     few = [(None, "some text of a few words"), (None, None), (3, "some text of a few words"), (3, "some text of a few words"), (3, "another text"), (2, "Some text of a few words")]
     docs = spark.createDataFrame(few, "doc_id long, text string").withColumns({k: F.lit(v) for k, v in CLASHES.items()})
