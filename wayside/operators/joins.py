@@ -6,10 +6,15 @@ into equi-joins on the tolerance's buckets, so no join here is a nested loop.
 
 from __future__ import annotations
 
-import pandas as pd
+from bisect import bisect_left, insort
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import by_run
+
 
 def _tagged(left: DataFrame, right: DataFrame, by: list[str], lt: str, rt: str) -> DataFrame:
     """Both sides in one table: by, _t, _side (1 left), _l and _r structs."""
@@ -42,12 +47,19 @@ def asof_dual_clock(left: DataFrame, right: DataFrame, by: list[str], value: str
     return met.withColumn("_m", both).select("_l.*", F.col("_m.header").alias("r_header"), F.col("_m.value").alias("r_value"))
 
 
+def _neighbours(every: DataFrame, by: list[str]) -> DataFrame:
+    """Left rows with _p and _n, the last right row at or before their time and the first at or after it.
+
+    Both frames grow row by row from one end of the key, so a key is read once each way.
+    """
+    ways = {"_p": F.col("_t").asc(), "_n": F.col("_t").desc()}
+    seen = {c: F.last("_r", ignorenulls=True).over(Window.partitionBy(*by).orderBy(o, "_side").rowsBetween(Window.unboundedPreceding, 0)) for c, o in ways.items()}
+    return every.withColumn("_p", seen["_p"]).withColumn("_n", seen["_n"]).where("_side = 1")
+
+
 def nearest(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, tolerance: int, prefix: str = "r_") -> DataFrame:
     """Each left row with the right row nearest in time, within ``tolerance`` (inclusive); of two as near the later."""
-    w = Window.partitionBy(*by).orderBy("_t", "_side")
-    back = Window.partitionBy(*by).orderBy("_t", F.desc("_side"))
-    every = _tagged(left, right, by, left_time, right_time)
-    met = every.withColumn("_p", F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.first("_r", ignorenulls=True).over(back.rowsBetween(0, Window.unboundedFollowing))).where("_side = 1")
+    met = _neighbours(_tagged(left, right, by, left_time, right_time), by)
     before, after = F.col("_t") - F.col(f"_p.{right_time}"), F.col(f"_n.{right_time}") - F.col("_t")
     chosen = F.when(F.col("_n").isNull() | (before < after), F.col("_p")).otherwise(F.col("_n"))
     near = met.withColumn("_m", chosen).withColumn("_m", F.when(F.abs(F.col(f"_m.{right_time}") - F.col("_t")) <= tolerance, F.col("_m")))
@@ -56,9 +68,7 @@ def nearest(left: DataFrame, right: DataFrame, by: list[str], left_time: str, ri
 
 def interpolate(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, value: str) -> DataFrame:
     """Each left row with ``value`` of the right side at its time: linear between rows, level beyond the ends."""
-    w = Window.partitionBy(*by).orderBy("_t", "_side")
-    every = _tagged(left, right.select(*by, right_time, value), by, left_time, right_time)
-    met = every.withColumn("_p", F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.first("_r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))).where("_side = 1")
+    met = _neighbours(_tagged(left, right.select(*by, right_time, value), by, left_time, right_time), by)
     t0, t1, v0, v1 = (F.col(f"{s}.{c}") for c in (right_time, value) for s in ("_p", "_n"))
     at = F.when(F.col("_p").isNull(), v1).when(F.col("_n").isNull() | (t0 == t1), v0).otherwise(v0 + (v1 - v0) * (F.col("_t") - t0) / (t1 - t0))
     return met.select("_l.*", at.alias(f"{value}_at"))
@@ -93,50 +103,88 @@ def mismatches(left: DataFrame, right: DataFrame, key: list[str], values: list[s
     return a.join(b, key, "full").where(~F.col("_a").eqNullSafe(F.col("_b"))).select(*key, F.col("_a").alias("left"), F.col("_b").alias("right"))
 
 
-class ApproximateSync:
-    """One-use pairs of two streams whose stamps differ by less than ``slop``.
+class Waiting:
+    """Messages of one side that wait for a partner, by stamp; ``most`` at a time."""
 
-    Messages come in arrival order.  The nearest waiting message of the other side is taken,
-    the first inserted of equals; a queue over ``queue`` loses its smallest stamp; a stamp
-    that waits already is overwritten.
-    """
+    def __init__(self, most: int) -> None:
+        self.most, self.stamps, self.held, self.taken = most, [], {}, 0
+        self.overwritten = self.overflow = 0
+
+    def put(self, stamp: int, item: object) -> None:
+        """A stamp that waits already gets the new item and keeps its turn; beyond ``most`` the smallest stamp goes."""
+        if stamp in self.held:
+            self.overwritten += 1
+            self.held[stamp] = self.held[stamp][0], item
+            return
+        self.taken += 1
+        self.held[stamp] = self.taken, item
+        insort(self.stamps, stamp)
+        if len(self.stamps) > self.most:
+            del self.held[self.stamps.pop(0)]
+            self.overflow += 1
+
+    def nearest(self, stamp: int, slop: int) -> int | None:
+        """The stamp nearest to the given one and less than ``slop`` away; of two as near, the one that came first."""
+        at = bisect_left(self.stamps, stamp)
+        around = [s for s in self.stamps[max(at - 1, 0) : at + 1] if abs(s - stamp) < slop]
+        return min(around, key=lambda s: (abs(s - stamp), self.held[s][0]), default=None)
+
+    def take(self, stamp: int) -> object:
+        del self.stamps[bisect_left(self.stamps, stamp)]
+        return self.held.pop(stamp)[1]
+
+
+class ApproximateSync:
+    """One-use pairs of two streams whose stamps differ by less than ``slop``, as messages arrive."""
 
     def __init__(self, slop: int, queue: int = 100) -> None:
-        self.slop, self.queue, self.waiting = slop, queue, ({}, {})
-        self.overwritten = self.overflow = 0
+        self.slop, self.sides = slop, (Waiting(queue), Waiting(queue))
 
     def add(self, side: int, stamp: int, item: object) -> tuple[object, object] | None:
-        own, other = self.waiting[side], self.waiting[1 - side]
-        self.overwritten += stamp in own
-        own[stamp] = item
-        while len(own) > self.queue:
-            del own[min(own)]
-            self.overflow += 1
-        if stamp not in own:
-            return None
-        near = [(abs(s - stamp), k, s) for k, s in enumerate(other) if abs(s - stamp) < self.slop]
-        if not near:
+        """The pair that a message completes, if any; else it waits."""
+        self.sides[side].put(stamp, item)
+        mate = self.sides[1 - side].nearest(stamp, self.slop)
+        if mate is None or stamp not in self.sides[side].held:
             return None
-        _, _, mate = min(near)
-        pair = own.pop(stamp), other.pop(mate)
-        return pair if side == 0 else pair[::-1]
+        met = {side: self.sides[side].take(stamp), 1 - side: self.sides[1 - side].take(mate)}
+        return met[0], met[1]
 
 
 def approx_sync(events: DataFrame, run: str, side: str, slop: int, queue: int = 100) -> DataFrame:
     """Pairs (run, first_id, second_id) of side 0 and side 1 messages of each run.
 
-    events: run, side, stamp, arrival, id.  The pairing depends on every earlier message of
-    the run, so a run is one ordered fold; runs are independent.
+    events: run, side, stamp, arrival, id, none of them null.  The pairing depends on every
+    earlier message of the run, so a run is read in order; what waits is bounded by ``queue``.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+    def make():
         sync = ApproximateSync(slop, queue)
-        pairs = [sync.add(s, t, i) for s, t, i in rows.sort_values(["arrival", "id", side])[[side, "stamp", "id"]].itertuples(index=False)]
-        found = [p for p in pairs if p]
-        return pd.DataFrame({run: rows[run].iloc[0], "first_id": [p[0] for p in found], "second_id": [p[1] for p in found]})
+
+        def pairs(b: pa.RecordBatch) -> pa.RecordBatch:
+            rows = zip(*(b.column(c).to_pylist() for c in (side, "stamp", "id")), strict=True)
+            found = [p for p in (sync.add(*r) for r in rows) if p]
+            ids = np.array(found, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([b.column(run).take(pa.array(np.zeros(len(ids), int))), pa.array(ids[:, 0]), pa.array(ids[:, 1])], [run, "first_id", "second_id"])
+
+        return pairs
 
     kind = events.schema[run].dataType.simpleString()
-    return events.select(run, side, "stamp", "arrival", "id").groupBy(run).applyInPandas(fold, f"{run} {kind}, first_id long, second_id long")
+    return by_run(events.select(run, side, "stamp", "arrival", "id"), run, ["arrival", "id", side], make, f"{run} {kind}, first_id long, second_id long")
+
+
+def publication_syncs(events: DataFrame, run: str, slop: int, latency: dict[str, int], queue: int = 100) -> DataFrame:
+    """Pairs of each published quantity with the commands, each quantity on its own: run, quantity, command_id, id.
+
+    events: run, kind (``command`` or a quantity of ``latency``), stamp, arrival, id.  A quantity
+    arrives later by its latency; commands take part once for each quantity.
+    """
+    asked = events.where(F.col("kind") == "command").withColumn("quantity", F.explode(F.array(*(F.lit(q) for q in latency)))).withColumn("side", F.lit(0))
+    late = F.element_at(F.create_map(*(F.lit(x) for q in latency.items() for x in q)), F.col("kind"))
+    given = events.where(F.col("kind").isin(*latency)).withColumn("quantity", F.col("kind")).withColumn("side", F.lit(1)).withColumn("arrival", F.col("arrival") + late)
+    keyed = asked.unionByName(given).withColumn("own", F.concat_ws("\x1f", F.col(run).cast("string"), "quantity"))
+    pairs = approx_sync(keyed, "own", "side", slop, queue)
+    names = keyed.select("own", run, "quantity").distinct()
+    return pairs.join(names, "own").select(run, "quantity", F.col("first_id").alias("command_id"), F.col("second_id").alias("id"))
 
 
 def merge_two_queues(left: DataFrame, right: DataFrame, by: list[str], stamp: str) -> DataFrame:
