@@ -23,6 +23,7 @@ EVENT = T.StructType(
     ]
 )
 
+# The columns of a prediction and the bits of its mask, as files hold them.
 PREDICTION_COLUMNS = ("stamp", "velocity", "bogie_velocity", "distance", "route_s", "x", "y", "z", "flags", "route", "init_rms", "mx", "my", "mz", "vx", "vy", "vz", "wx", "wy", "wz")
 PREDICTION = T.StructType([T.StructField(c, T.LongType() if c in ("stamp", "flags", "route") else T.DoubleType(), False) for c in PREDICTION_COLUMNS])
 
@@ -65,7 +66,7 @@ class Settings:
     phase_gain: float = 0.25
     phase_step: float = 5.0
     bias_decay: float = 100.0
-    bias_cap: float = 5.0
+    residual_bias: bool = True
     freshness: float = 0.35
     gap_seconds: float = 0.5
     origin_lat: float = 55.805
@@ -85,8 +86,8 @@ class Settings:
                 raise ValueError(f"{name} must be positive")
         if not 0 <= self.phase_gain <= 1 or not 0 <= self.degraded_share < 1:
             raise ValueError("phase_gain and degraded_share are shares")
-        if self.future_tolerance < 0 or self.bias_cap < 0:
-            raise ValueError("tolerances are not negative")
+        if self.future_tolerance < 0:
+            raise ValueError("the tolerance is not negative")
         if self.residual_gate > self.innovation_gate:
             raise ValueError("the residual gate lies within the innovation gate")
         if abs(self.origin_lat) > 90 or abs(self.origin_lon) > 180:
