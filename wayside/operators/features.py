@@ -44,7 +44,7 @@ def rows(front: DataFrame, rear: DataFrame, commands: DataFrame, s: Scales = Sca
     All inputs: run_id, id, header, arrival, value.  A wheel not seen yet has zeros and the
     greatest age.
     """
-    base = windows.ema(record_high(commands, ["run_id"]), ["run_id"], "value", "header", {f"command_ema_{k}": h / s.unit for k, h in enumerate(s.horizons, 1)}, s.unit)
+    base = windows.ema(record_high(commands, ["run_id"]), "run_id", "value", "header", {f"command_ema_{k}": h / s.unit for k, h in enumerate(s.horizons, 1)}, s.unit)
     for name, wheel in (("front", front), ("rear", rear)):
         base = joins.asof_dual_clock(base, _wheel(wheel, name, s), ["run_id"]).withColumnsRenamed({"r_value": f"_{name}", "r_header": f"_{name}_at"})
     got = lambda name, c: F.coalesce(F.col(f"_{name}.{c}"), F.lit(0.0))

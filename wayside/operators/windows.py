@@ -1,20 +1,18 @@
 """Windows over irregular time: horizon lags, slopes, recursions, integrals, bursts and regressions.
 
 Time columns are integers (microseconds in the tables at hand).  Whatever a frame expresses is
-a window function; the few true recursions are ordered folds of one key, written once as a
-step and used by the batch and the streaming wrappers alike.
+a window function; the few true recursions are folds, written once and used for tables and
+streams alike.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import Arrays, Fold, along
+
 
 def ordered(by: list[str], time: str = "t") -> Window:
     return Window.partitionBy(*by).orderBy(time)
@@ -132,53 +130,51 @@ def decayed(total: Column, anchor: Column, length: float) -> Column:
     return F.exp(-(total - anchor) / length)
 
 
-def ema_step(state: tuple[float, float] | None, t: float, x: float, tau: float) -> tuple[float, float]:
-    """(time, mean) after a sample; the first sample is the mean."""
-    if state is None:
-        return t, x
-    return t, state[1] + (1 - math.exp(-(t - state[0]) / tau)) * (x - state[1])
+def ema_fold(value: str, time: str, taus: dict[str, float], unit: int = 1_000_000) -> Fold:
+    """Exponential means for uneven steps, one for each time constant in seconds; the first sample is the mean."""
 
+    def start(n: int) -> Arrays:
+        return {"begun": np.zeros(n, bool), "t": np.zeros(n, np.int64), **{k: np.zeros(n) for k in taus}}
 
-def spaced_step(kept: float | None, t: float, least: float) -> bool:
-    """Whether a sample is kept: far enough from the last one that was."""
-    return kept is None or t - kept >= least
+    def step(s: Arrays, x: Arrays) -> Arrays:
+        # Whole stamps are subtracted first; only the step passes through a double.
+        dt = np.where(s["begun"], x[time] - s["t"], 0) / unit
+        for k, tau in taus.items():
+            s[k][...] = np.where(s["begun"], x[value] + np.exp(-dt / tau) * (s[k] - x[value]), x[value])
+        s["t"][...], s["begun"][...] = x[time], True
+        return {k: s[k].copy() for k in taus}
 
+    return Fold(start, step, (value, time), dict.fromkeys(taus, "double"))
 
-def fold(events: DataFrame, by: list[str], time: str, columns: dict[str, str], run: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """``run`` over each key's rows in time order; columns: what it adds, with types.
 
-    For recursions that no frame expresses: each key is one ordered pass.
-    """
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema.fields) + "".join(f", {k} {v}" for k, v in columns.items())
-    return events.groupBy(*by).applyInPandas(lambda rows: run(rows.sort_values(time, kind="stable")), schema)
+def ema(events: DataFrame, by: str, value: str, time: str, taus: dict[str, float], unit: int = 1_000_000) -> DataFrame:
+    return along(events, by, [time], ema_fold(value, time, taus, unit))
 
 
-def ema(events: DataFrame, by: list[str], value: str, time: str, taus: dict[str, float], unit: int = 1_000_000) -> DataFrame:
-    """Exponential means for uneven steps, one column for each time constant in seconds."""
+def spacing_fold(time: str, least: int) -> Fold:
+    """Keeps rows at least ``least`` after the last kept one; the first is kept."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        t, x = rows[time].to_numpy(), rows[value].to_numpy(np.float64)
-        keep = {name: np.append(0.0, np.exp(-np.diff(t) / unit / tau)) for name, tau in taus.items()}
-        for name, k in keep.items():
-            y, out = x[0], np.empty(len(x))
-            for i, (a, v) in enumerate(zip(k.tolist(), x.tolist(), strict=True)):
-                y = v + a * (y - v)
-                out[i] = y
-            rows[name] = out
-        return rows
+    def step(s: Arrays, x: Arrays) -> Arrays:
+        take = ~s["begun"] | (x[time] - s["kept"] >= least)
+        s["kept"][...] = np.where(take, x[time], s["kept"])
+        s["begun"][...] = True
+        return {"take": take}
 
-    return fold(events, by, time, dict.fromkeys(taus, "double"), run)
+    return Fold(lambda n: {"begun": np.zeros(n, bool), "kept": np.zeros(n, np.int64)}, step, (time,), {"take": "boolean"}, "take")
 
 
-def greedy_spacing(events: DataFrame, by: list[str], time: str, least: int) -> DataFrame:
+def greedy_spacing(events: DataFrame, by: str, time: str, least: int) -> DataFrame:
     """Rows at least ``least`` after the last kept row of their key; the first is kept."""
+    return along(events, by, [time], spacing_fold(time, least))
+
+
+def record_high_fold(header: str = "header") -> Fold:
+    """Rows whose header exceeds all before; late and repeated ones go.  For streams; tables have a window for it."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        kept, mask = None, []
-        for t in rows[time].tolist():
-            take = spaced_step(kept, t, least)
-            kept = t if take else kept
-            mask.append(take)
-        return rows[mask]
+    def step(s: Arrays, x: Arrays) -> Arrays:
+        take = ~s["begun"] | (x[header] > s["last"])
+        s["last"][...] = np.where(take, x[header], s["last"])
+        s["begun"][...] = True
+        return {"take": take}
 
-    return fold(events, by, time, {}, run)
+    return Fold(lambda n: {"begun": np.zeros(n, bool), "last": np.zeros(n, np.int64)}, step, (header,), {"take": "boolean"}, "take")

@@ -194,7 +194,7 @@ SELECT run_id, id, round(y, 6) AS ema FROM e"""
 
 def _ema(n: int, tau: float) -> None:
     def ema(spark: SparkSession, d: str) -> DataFrame:
-        found = windows.ema(events(spark, d, "purchase"), ["run_id"], "value", "arrival", {"ema": tau})
+        found = windows.ema(events(spark, d, "purchase"), "run_id", "value", "arrival", {"ema": tau})
         return found.select("run_id", "id", r6("ema").alias("ema"))
 
     ema.__name__ = f"ema_{n}"
@@ -246,7 +246,7 @@ k AS (SELECT run_id, min(t) AS t FROM c GROUP BY run_id UNION ALL SELECT k.run_i
 SELECT c.run_id, c.id FROM k JOIN c ON c.run_id = k.run_id AND c.t = k.t"""
 )
 def greedy_spacing(spark: SparkSession, d: str) -> DataFrame:
-    return windows.greedy_spacing(events(spark, d), ["run_id"], "arrival", 2 * DAY).select("run_id", "id")
+    return windows.greedy_spacing(events(spark, d), "run_id", "arrival", 2 * DAY).select("run_id", "id")
 
 
 @query(BASE + "SELECT run_id, id, least(count(*) OVER (PARTITION BY run_id ORDER BY arrival RANGE BETWEEN 259200000000 PRECEDING AND CURRENT ROW), count(*) OVER (PARTITION BY run_id ORDER BY arrival ROWS BETWEEN 7 PRECEDING AND CURRENT ROW))::BIGINT AS held FROM base")

@@ -1,29 +1,43 @@
-"""Keyed state for streams: the batch operators' steps, carried across micro-batches.
+"""Keyed state for streams: the folds of tables, carried across micro-batches.
 
-Rows of a key are sorted by arrival within each micro-batch, and a step sees nothing but its
+Rows of a key are sorted by arrival within each micro-batch, and a fold sees nothing but its
 state and the next row, so results do not depend on where batches end (as long as batches
-themselves come in arrival order, which a log or a folder of files in order provides).
+themselves come in arrival order, which a log or a folder of files in order provides).  A
+state is a row of typed columns, one for each number that the fold remembers.
 """
 
 from __future__ import annotations
 
-import json
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
-from dataclasses import asdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators import observer, windows
+from ..operators.folds import Arrays, Fold, advance
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_TYPES = {"f": "double", "i": "long", "b": "boolean"}
 
-#: A fold takes a state (None at first) and rows in order, and returns the next state and its output.
-Fold = Callable[[dict | None, pd.DataFrame], tuple[dict, pd.DataFrame]]
+
+def state_schema(fold: Fold) -> str:
+    """Columns for one run's state; arrays of two are two columns."""
+    return ", ".join(f"{k}_{i} {_TYPES[a.dtype.kind]}" for k, a in fold.start(1).items() for i in range(a.size))
+
+
+def to_row(state: Arrays) -> tuple:
+    return tuple(v for a in state.values() for v in a.ravel().tolist())
+
+
+def from_row(fold: Fold, row: tuple) -> Arrays:
+    state, at = fold.start(1), 0
+    for a in state.values():
+        a[...] = np.array(row[at : at + a.size], a.dtype).reshape(a.shape)
+        at += a.size
+    return state
 
 
 class KeyedFold(StatefulProcessor):
@@ -31,13 +45,17 @@ class KeyedFold(StatefulProcessor):
         self.fold, self.order = fold, order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "json string")
+        self.state = handle.getValueState("state", state_schema(self.fold))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         every = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        before = json.loads(self.state.get()[0]) if self.state.exists() else None
-        after, out = self.fold(before, every)
-        self.state.update((json.dumps(after),))
+        before = from_row(self.fold, tuple(self.state.get())) if self.state.exists() else None
+        x = {c: every[c].to_numpy() for c in self.fold.reads}
+        given, after = advance(self.fold, x, np.zeros(1, int), np.array([len(every)]), before)
+        self.state.update(to_row(after))
+        out = every.assign(**{k: v for k, v in given.items() if k != self.fold.keep})
+        if self.fold.keep:
+            out = out[given[self.fold.keep]]
         if len(out):
             yield out
 
@@ -45,9 +63,9 @@ class KeyedFold(StatefulProcessor):
         pass
 
 
-def keyed(stream: DataFrame, key: list[str], fold: Fold, schema: str, order: tuple[str, ...] = ("arrival", "id")) -> DataFrame:
+def keyed(stream: DataFrame, key: list[str], fold: Fold, order: tuple[str, ...] = ("arrival", "id")) -> DataFrame:
     """``fold`` over each key of a stream or a table, rows in ``order`` within a micro-batch."""
-    return stream.groupBy(*key).transformWithStateInPandas(KeyedFold(fold, list(order)), outputStructType=schema, outputMode="Append", timeMode="None")
+    return stream.groupBy(*key).transformWithStateInPandas(KeyedFold(fold, list(order)), outputStructType=fold.schema(stream), outputMode="Append", timeMode="None")
 
 
 @contextmanager
@@ -61,52 +79,6 @@ def rocksdb(spark: SparkSession):
         spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
 
 
-def record_high_fold(header: str = "header") -> Fold:
-    """Rows whose header exceeds all before; late and repeated ones go."""
-
-    def fold(state: dict | None, rows: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
-        h = rows[header]
-        before = h.cummax().shift()
-        last = None if state is None else state["last"]
-        prior = before if last is None else before.fillna(last).clip(lower=last)
-        kept = prior.isna() | (h > prior)
-        return {"last": int(h.max() if last is None else max(last, h.max()))}, rows[kept]
-
-    return fold
-
-
-def ema_fold(tau: float, value: str = "value", time: str = "arrival", unit: float = 1e6) -> Fold:
-    def fold(state: dict | None, rows: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
-        s = None if state is None else (state["t"], state["y"])
-        out = []
-        for t, x in zip(rows[time].tolist(), rows[value].tolist(), strict=True):
-            # Whole stamps are subtracted first; only the step passes through a double.
-            s = (t, x) if s is None else (t, windows.ema_step((0.0, s[1]), (t - s[0]) / unit, x, tau)[1])
-            out.append(s[1])
-        return {"t": s[0], "y": s[1]}, rows.assign(ema=out)
-
-    return fold
-
-
-def observer_fold(time: str = "header", unit: float = 1e6, rules: observer.Rules = observer.Rules()) -> Fold:
-    """The speed observer; times count from the key's first row, as in the batch fold."""
-
-    def fold(state: dict | None, rows: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
-        first = int(rows[time].iloc[0]) if state is None else state["first"]
-        s = observer.State() if state is None else _revived(state["s"])
-        based = rows.assign(**{time: rows[time] - first})
-        xs = observer.samples(pd.concat([based.iloc[:1].assign(**{time: 0}), based]), time, unit)[1:]
-        out = pd.DataFrame([observer.step(s, x, rules=rules) for x in xs], columns=list(observer.COLUMNS), index=rows.index)
-        return {"first": first, "s": asdict(s)}, pd.concat([rows, out], axis=1)
-
-    return fold
-
-
-def _revived(state: dict) -> observer.State:
-    wheels = [observer.Wheel(**{k: -math.inf if k == "source" and v is None else v for k, v in w.items()}) for w in state["wheels"]]
-    return observer.State(**(state | {"wheels": wheels}))
-
-
 def run_once(stream: DataFrame, path: str, checkpoint: str) -> None:
     """All that is available now, appended to Parquet; a restart goes on from the checkpoint."""
     with rocksdb(stream.sparkSession):
