@@ -18,9 +18,8 @@ import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
 
-# Two independent pairs of bases: 64 bits find candidates, both together tell equal words from others.
-_BYTE_BASES = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-_WORD_BASES = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+_BYTE_BASE = 0x9E3779B97F4A7C15
+_WORD_BASE = 0xD6E8FEB86659FD93
 _BYTES = np.arange(256)
 
 #: Bytes of words made of digits, ASCII letters and everything beyond ASCII.
@@ -50,7 +49,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_BYTE_POWERS, _WORD_POWERS = ([_Powers(b) for b in bases] for bases in (_BYTE_BASES, _WORD_BASES))
+_BYTE_POWERS, _WORD_POWERS = _Powers(_BYTE_BASE), _Powers(_WORD_BASE)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -60,6 +59,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+# Two independent hashes, by two values for each byte: 64 bits find candidates, both together tell equal words from others.
+_VALUES = [_BYTES.astype(np.uint64) + np.uint64(1), mix(_BYTES.astype(np.uint64) + np.uint64(0xC2B2AE3D27D4EB4F))]
+
+
 class Words:
     """The words of a chunk of documents.
 
@@ -86,9 +89,9 @@ class Words:
         return len(self.start)
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        up, down = _BYTE_POWERS[which].to(len(self.data) + 1)
+        up, down = _BYTE_POWERS.to(len(self.data) + 1)
         sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+        np.cumsum(_VALUES[which][self.data] * up[:-1], out=sums[1:])
         return mix((sums[self.end] - sums[self.start]) * down[self.start])
 
     def grams(self, n: int, which: int = 0) -> np.ndarray:
@@ -104,7 +107,7 @@ class Words:
         return mix((s[hi] - s[lo]) * down[lo])
 
     def _prefix(self, which: int) -> tuple[np.ndarray, np.ndarray]:
-        up, down = _WORD_POWERS[which].to(len(self) + 1)
+        up, down = _WORD_POWERS.to(len(self) + 1)
         if which not in self._sums:
             self._sums[which] = np.zeros(len(self) + 1, np.uint64)
             np.cumsum(self.hashes(which) * up[:-1], out=self._sums[which][1:])
