@@ -1,15 +1,20 @@
 """Rules that the event operators keep, on small hand-written streams."""
 
 import dataclasses
+import math
 import sqlite3
 import struct
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from wayside.operators import joins, ordering
+from wayside.functions import route
+from wayside.operators import folds, fusion, joins, observer, ordering, windows
 from wayside.plans import registry, streaming  # noqa: F401
 from wayside.schema import Settings
 from wayside.sources import bags, manifests, texts
+from wayside.streaming import state
 
 MS = 1_000_000
 
@@ -40,6 +45,117 @@ def test_sync_uses_each_message_once_within_a_strict_slop():
     assert not sync.add(1, 141, 5)  # both partners are gone
 
 
+def test_neighbours_of_a_long_run_are_found_in_one_pass_each_way(spark):
+    n = 100_000
+    left = spark.range(n).select(F.lit(1).alias("run_id"), (F.col("id") * 10).alias("t"))
+    right = spark.range(n).select(F.lit(1).alias("run_id"), (F.col("id") * 10 + 3).alias("u"), F.col("id").cast("double").alias("v"))
+    found = joins.nearest(left, right, ["run_id"], "t", "u", 4)
+    assert found.agg(F.count("r_v"), F.count_if(F.col("r_v") * 10 != F.col("t"))).first() == (n, 0)
+    at = joins.interpolate(left, right, ["run_id"], "t", "u", "v")
+    assert at.where("t > 0").agg(F.max(F.abs(F.col("v_at") - (F.col("t") - 3) / 10))).first()[0] < 1e-6
+
+
+def test_quantities_are_paired_on_their_own(spark):
+    events = spark.createDataFrame([("r", "command", 100, 100, 1), ("r", "velocity", 101, 90, 2), ("r", "position", 102, 95, 3), ("r", "position", 99, 300, 4)], "run_id string, kind string, stamp long, arrival long, id long")
+    pairs = joins.publication_syncs(events, "run_id", 10, {"velocity": 5, "position": 50})
+    assert rows(pairs, "quantity", "command_id", "id") == [("position", 1, 3), ("velocity", 1, 2)]
+
+
+def plain_ema(t, x, tau):
+    out = [x[0]]
+    for k in range(1, len(t)):
+        out.append(out[-1] + (1 - math.exp(-(t[k] - t[k - 1]) / tau)) * (x[k] - out[-1]))
+    return out
+
+
+def test_folds_go_on_over_batches_and_runs(spark):
+    rng = np.random.default_rng(2)
+    runs = {f"r{k}": np.sort(rng.choice(10_000, n, replace=False)) for k, n in enumerate((1, 700, 3, 40))}
+    values = {r: rng.random(len(t)) for r, t in runs.items()}
+    table = spark.createDataFrame([(r, int(t), float(v)) for r in runs for t, v in zip(runs[r], values[r], strict=True)], "run_id string, t long, x double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = windows.ema(table, "run_id", "x", "t", {"m": 50.0}, 1).collect()
+        spaced = windows.greedy_spacing(table, "run_id", "t", 25).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for r, t in runs.items():
+        assert np.allclose([row.m for row in sorted((g for g in got if g.run_id == r), key=lambda g: g.t)], plain_ema(t, values[r], 50.0))
+        kept = [t[0]]
+        for u in t[1:]:
+            if u - kept[-1] >= 25:
+                kept.append(u)
+        assert sorted(g.t for g in spaced if g.run_id == r) == kept
+
+
+def test_slip_is_latched_until_it_runs_out_with_a_wheel_missing():
+    n = 400
+    t = np.arange(n) * 50_000
+    x = {c: np.zeros(n) for c in observer.FEATURES} | {"t": t, "usable": np.ones(n, bool)}
+    v = 5 + np.clip(np.arange(n) - 100, 0, 40) * 0.15
+    x |= {"front": v, "rear": v, "front_ahead": v, "rear_ahead": v}
+    x["front_slope_1"] = x["rear_slope_1"] = np.gradient(v, 0.05)
+    x["rear_age"] = np.where(np.arange(n) >= 120, 1.0, 0.0)
+    rules = observer.Rules(slip_accel=1.5, slip_decel=3.2, longest_slip=4.0)
+    got, _ = folds.advance(observer.observer("t", rules=rules), x, np.zeros(1, int), np.array([n]))
+    slipping = np.flatnonzero(got["slip"])
+    assert slipping[0] in range(99, 104) and (np.diff(slipping) == 1).all()
+    assert 3.9 <= (slipping[-1] - slipping[0] + 1) * 0.05 <= 4.1
+    assert (got["flags"][slipping] == 3).all() and got["slip_ratio"][slipping[-1]] == got["slip_ratio"][120] > 0
+
+
+def test_state_of_a_fold_survives_as_a_row():
+    fold = observer.observer("t")
+    s = fold.start(1)
+    s["source"][0, 1], s["v"][0], s["turned"][0] = 2.5, 3.25, True
+    again = state.from_row(fold, state.to_row(s))
+    assert all((again[k] == v).all() for k, v in s.items()) and state.state_schema(fold).startswith("begun_0 boolean, first_0 long")
+
+
+def test_corrections_follow_a_shifted_track_and_refuse_the_rest():
+    way = route.Route(np.array([[0.0, 0, 0], [100, 0, 0], [2000, 0, 0]]))
+    n = 60
+    d = np.arange(n) * 10.0 + 20
+    x = {"stamp": np.arange(n) * 1_000_000, "arrival": np.arange(n) * 1_000_000 + 200_000, "begin": np.zeros(n, np.int64), "distance": d, "ahead": np.zeros(n), "x": d + 8.0, "y": np.full(n, 2.0)}
+    x["y"][10], x["arrival"][11], x["stamp"][12] = 500.0, x["arrival"][11] + 5_000_000, x["stamp"][11]
+    got, _ = folds.advance(fusion.corrections_fold(way), x, np.zeros(1, int), np.array([n]))
+    assert not got["taken"][[10, 11, 12]].any() and got["taken"].sum() == n - 3
+    assert got["rejected"][-1] == 2  # a stamp that does not rise is no fix
+    assert abs(got["offset"][-1] - 8) < 0.01 and 0 < got["bias_y"][-1] <= 2
+
+
+def test_files_of_routes_predictions_and_records_come_back(spark, tmp_path):
+    line = spark.createDataFrame([(float(k), float(k), 2.0 * k, 0.5) for k in range(20)], "s double, x double, y double, z double")
+    texts.write_route(line, f"{tmp_path}/route")
+    assert rows(texts.read_route(spark, f"{tmp_path}/route"), "s", "x", "y", "z") == rows(line, "s", "x", "y", "z")
+    (tmp_path / "bad.csv").write_text("s,x,y,z\n1,0,0,0\n1,0,0,0\n")
+    with pytest.raises(Exception, match="rises"):
+        texts.read_route(spark, str(tmp_path / "bad.csv")).collect()
+    (tmp_path / "p.txt").write_text(" ".join(["1700000000000000001", *(f"{k}.5" for k in range(7)), "3", "0", *("0.25",) * 10]) + "\n\n")
+    got = texts.read_predictions(spark, str(tmp_path / "p.txt")).first()
+    assert (got.stamp, got.velocity, got.flags, got.wz) == (1700000000000000001, 0.5, 3, 0.25)
+    features = np.zeros(3, texts.FEATURE_RECORD)
+    features["t"], features["x"] = [1, 2, 3], np.arange(78).reshape(3, 26)
+    (tmp_path / "f.bin").write_bytes(features.tobytes())
+    assert [(r.place, r.t, r.x[25]) for r in texts.read_feature_records(spark, str(tmp_path / "f.bin")).orderBy("place").collect()] == [(0, 1.0, 25.0), (1, 2.0, 51.0), (2, 3.0, 77.0)]
+    (tmp_path / "short.bin").write_bytes(features.tobytes()[:-1])
+    with pytest.raises(Exception, match="ends within a record"):
+        texts.read_feature_records(spark, str(tmp_path / "short.bin")).collect()
+    events = np.array([(1, 5, 2.5)], texts.EVENT_RECORD)
+    (tmp_path / "e.bin").write_bytes(events.tobytes())
+    assert rows(texts.read_event_records(spark, str(tmp_path / "e.bin")), "kind", "stamp", "value") == [(1, 5, 2.5)]
+    texts.write_report(spark.createDataFrame([(1, float("nan"))], "a int, b double"), f"{tmp_path}/report")
+    assert spark.read.json(f"{tmp_path}/report").collect() == [(1,)]
+
+
+def test_manifests_guard_what_is_read(spark):
+    manifest = spark.createDataFrame([("a", "train", "x"), ("b", "holdout", "y")], "run_id string, part string, sha256 string")
+    data = spark.createDataFrame([("a", "x"), ("b", "z"), ("c", "q")], "run_id string, sha256 string")
+    assert rows(manifests.of_part(data, manifest, "train"), "run_id") == [("a",)]
+    assert rows(manifests.strangers(data, manifest), "run_id") == [("b",), ("c",)]
+    assert {r.name: r.rows for r in manifests.provenance({"one": data, "two": manifest}).collect()} == {"one": 3, "two": 2}
+
+
 def test_sync_prefers_the_nearest_then_the_earliest():
     sync = joins.ApproximateSync(50)
     for stamp, i in ((100, 1), (120, 2), (140, 3)):

@@ -141,10 +141,24 @@ def project_top8(spark: SparkSession, d: str) -> DataFrame:
     return points(spark, d).withColumn("m", routes.project(way, F.col("px"), F.col("py"), F.col("pz"))).select("id", F.round("m.distance", 5).alias("distance"))
 
 
-@query()
+#: Segments of the ring are longer than the chord, so the rear pivot is on the front's segment or on the one before.
+_POSE = f"""{_RING}, g AS (SELECT *, coalesce(lag(k) OVER (ORDER BY k), (SELECT max(k) FROM seg WHERE s1 IS NOT NULL)) AS k0 FROM seg WHERE s1 IS NOT NULL),
+q AS (SELECT event_id AS id, value * 37.3 - (SELECT max(s) FROM r) * floor(value * 37.3 / (SELECT max(s) FROM r)) AS way FROM events),
+f AS (SELECT q.id, g.*, way - s0 AS into_it, (x1 - x0) / (s1 - s0) AS wx, (y1 - y0) / (s1 - s0) AS wy, (z1 - z0) / (s1 - s0) AS wz FROM q ASOF JOIN g ON q.way >= g.s0),
+h AS (SELECT f.*, x0 + into_it * wx AS px, y0 + into_it * wy AS py, z0 + into_it * wz AS pz FROM f),
+b AS (SELECT h.id, px, py, pz, into_it, h.wx, h.wy, h.wz, p.x0 AS ax, p.y0 AS ay, p.z0 AS az, (p.x1 - p.x0) / (p.s1 - p.s0) AS ux, (p.y1 - p.y0) / (p.s1 - p.s0) AS uy, (p.z1 - p.z0) / (p.s1 - p.s0) AS uz FROM h JOIN g p ON p.k = h.k0),
+c AS (SELECT *, (px - ax) * ux + (py - ay) * uy + (pz - az) * uz AS m, (px - ax) ** 2 + (py - ay) ** 2 + (pz - az) ** 2 AS sq FROM b),
+d AS (SELECT *, m - sqrt(greatest(0, m * m - sq + 7.55 ** 2)) AS u FROM c),
+e AS (SELECT id, px, py, pz, CASE WHEN into_it >= 7.55 THEN wx ELSE (px - ax - u * ux) / 7.55 END AS fx, CASE WHEN into_it >= 7.55 THEN wy ELSE (py - ay - u * uy) / 7.55 END AS fy, CASE WHEN into_it >= 7.55 THEN wz ELSE (pz - az - u * uz) / 7.55 END AS fz FROM d)
+"""
+
+
+@query(_POSE + "SELECT id, round(px, 4) AS x, round(py, 4) AS y, round(pz, 4) AS z, round(fx, 6) AS fx, round(fy, 6) AS fy, round(fz, 6) AS fz FROM e")
 def pose_bisect(spark: SparkSession, d: str) -> DataFrame:
+    """Front pivot and direction; the name is the survey's, the root is in closed form."""
     way = routes.Route.of(ring(spark, d), closed=True)
-    return events(spark, d).withColumn("p", routes.pose_at(way, F.col("value") * 37.3)).select("id", "p.*")
+    placed = events(spark, d).withColumn("p", routes.pose_at(way, F.col("value") * 37.3))
+    return placed.select("id", *(F.round(f"p.{c}", 6 if c[0] == "f" else 4).alias(c) for c in ("x", "y", "z", "fx", "fy", "fz")))
 
 
 @query()
@@ -213,7 +227,14 @@ def off_map_modes(spark: SparkSession, d: str) -> DataFrame:
     return fusion.departures(pairs, "run_id")
 
 
-@query()
+@query(
+    """WITH e AS (SELECT event_id AS id, user_id AS run_id, (event_type = 'error')::INT AS side, epoch_us(ts) AS arrival, epoch_us(ts) - json_extract(props, '$.k')::BIGINT * 3600000000 AS stamp FROM events WHERE event_type IN ('signup', 'error')),
+n AS (SELECT *, row_number() OVER (PARTITION BY run_id, side ORDER BY arrival, id) AS k FROM e),
+c AS (SELECT a.run_id, a.id, b.id AS mate_id, abs(a.stamp - b.stamp) AS gap, b.k, max(b.k) OVER (PARTITION BY a.run_id, a.id) AS newest, a.arrival - b.stamp AS old, a.id AS own
+  FROM n a JOIN n b ON a.run_id = b.run_id AND a.side <> b.side AND (b.arrival < a.arrival OR (b.arrival = a.arrival AND b.id < a.id))),
+m AS (SELECT *, row_number() OVER (PARTITION BY run_id, id ORDER BY gap, k) AS place FROM c WHERE k > newest - 64 AND gap <= 86400000000 AND old BETWEEN 0 AND 864000000000)
+SELECT e.run_id, e.id, mate_id FROM e LEFT JOIN m ON m.run_id = e.run_id AND m.id = e.id AND place = 1"""
+)
 def live_mates(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d, "signup", "error")
     fixes = e.select("run_id", "id", "arrival", F.col("header").alias("stamp"), (F.col("channel") == "error").cast("int").alias("side"))

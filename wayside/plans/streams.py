@@ -104,6 +104,13 @@ def approx_sync(spark: SparkSession, d: str) -> DataFrame:
     return joins.approx_sync(both, "run_id", "side", 6 * HOUR)
 
 
+@query()
+def publication_syncs(spark: SparkSession, d: str) -> DataFrame:
+    """Commands paired with two published quantities, each on its own and late by its latency."""
+    e = events(spark, d, "purchase", "signup", "error").withColumn("kind", F.when(F.col("channel") == "purchase", "command").when(F.col("channel") == "signup", "velocity").otherwise("position"))
+    return joins.publication_syncs(e.withColumn("stamp", F.col("header")), "run_id", 6 * HOUR, {"velocity": HOUR, "position": 2 * HOUR})
+
+
 @query(
     BASE
     + """SELECT run_id, id, status, prediction FROM (SELECT c.run_id, c.id, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'duplicate' WHEN late THEN 'unordered' ELSE 'ok' END AS status, prediction
@@ -134,12 +141,15 @@ def anti_guard(spark: SparkSession, d: str) -> DataFrame:
     return errors.join(first, (errors.run_id == first.run_id) & (first["first"] < errors.arrival), "left_anti").select("id")
 
 
-@query("SELECT 0::BIGINT AS mismatches")
+@query(BASE + f"SELECT count(*)::BIGINT AS compared, count(h)::BIGINT AS answered, 0::BIGINT AS mismatches FROM (SELECT p.id, max(c.header) AS h FROM {_PURCHASES} p LEFT JOIN {_CLICKS} c ON p.run_id = c.run_id AND c.arrival <= p.arrival AND c.header <= p.header GROUP BY p.run_id, p.id)")
 def rerun_equality(spark: SparkSession, d: str) -> DataFrame:
-    """The same rows by two plans: a window and its join twin must agree on every key."""
-    first = ordering.record_high(events(spark, d, "click"), ["run_id"]).select("run_id", "id", "header")
-    second = ordering.record_high(events(spark, d, "click").repartition(7, "id"), ["run_id"]).select("run_id", "id", "header")
-    return joins.mismatches(first, second, ["run_id", "id"], ["header"]).agg(F.count(F.lit(1)).alias("mismatches"))
+    """The dual-clock join as two windows, and as an equi-join with a filter and a maximum: every key must agree."""
+    asked, known = events(spark, d, "purchase"), kept(spark, d, "click")
+    first = joins.asof_dual_clock(asked, known, ["run_id"]).select("run_id", "id", F.col("r_header").alias("h"))
+    both = asked.select("run_id", "id", F.col("arrival").alias("a"), F.col("header").alias("b")).join(known.select("run_id", "arrival", "header"), "run_id", "left")
+    second = both.groupBy("run_id", "id").agg(F.max(F.when((F.col("arrival") <= F.col("a")) & (F.col("header") <= F.col("b")), F.col("header"))).alias("h"))
+    apart = joins.mismatches(first, second, ["run_id", "id"], ["h"]).agg(F.count(F.lit(1)).alias("mismatches")).withColumn("k", F.lit(1))
+    return first.agg(F.count(F.lit(1)).alias("compared"), F.count("h").alias("answered")).withColumn("k", F.lit(1)).join(apart, "k").drop("k")
 
 
 def _windowed(spark: SparkSession, d: str) -> DataFrame:
@@ -326,9 +336,37 @@ def feature_row(spark: SparkSession, d: str) -> DataFrame:
     return feature_table(spark, d).select("run_id", "id", "front", "rear", r6("front_age").alias("front_age"), r6("rear_age").alias("rear_age"), F.round("front_slope_1", 9).alias("front_slope_1"), "front_lag_2", r6("front_ahead").alias("front_ahead"))
 
 
-@query()
+def _full_feature_sql() -> str:
+    """All 26 features: wheels by windows, the dual-clock join by conditions, the means by recursion."""
+    taus = [h / 1e6 for h in SCALES.horizons]
+    by = "(PARTITION BY run_id, channel ORDER BY header)"
+    lag = lambda c, h: f"coalesce(last_value({c}) OVER (PARTITION BY run_id, channel ORDER BY header RANGE BETWEEN UNBOUNDED PRECEDING AND {h} PRECEDING), first_value({c}) OVER {by})"
+    slope = lambda t, v: f"CASE WHEN (header - {t}) / 1e6 > 1e-6 THEN greatest(-4, least(4, (value - {v}) / ((header - {t}) / 1e6))) ELSE 0 END"
+    lags = ", ".join(f"{lag('value', h)} AS lag_{k}, {lag('header', h)} AS at_{k}" for k, h in enumerate(SCALES.horizons, 1))
+    slopes = ", ".join(f"{slope(f'at_{k}', f'lag_{k}')} AS slope_{k}" for k in (1, 2, 3))
+    wheel = []
+    for name, w in (("front", "f"), ("rear", "r")):
+        age = f"least(coalesce((q.header - {w}.met) / 1e6, 864000), 864000)"
+        wheel += [f"coalesce({w}.value, 0) AS {name}", f"{age} AS {name}_age", f"coalesce({w}.slope, 0) AS {name}_slope"]
+        wheel += [f"coalesce({w}.slope_{k}, 0) AS {name}_slope_{k}" for k in (1, 2, 3)] + [f"coalesce({w}.lag_{k}, 0) AS {name}_lag_{k}" for k in (2, 3)]
+        wheel.append(f"greatest(0, coalesce({w}.value, 0) + least({age}, 21600) * coalesce({w}.slope_1, 0)) AS {name}_ahead")
+    out = {n: n for n in features.NAMES} | {"mean": "(front + rear) / 2", "difference": "front - rear", "abs_difference": "abs(front - rear)", "mean_ahead": "(front_ahead + rear_ahead) / 2"}
+    columns = ", ".join(f"round({c}, {9 if 'slope' in n else 6})::DOUBLE + 0 AS {n}" for n, c in out.items())
+    means = ", ".join(f"e.m{k} + (1 - exp(-((q.header - e.header) / 1e6) / {t})) * (q.value - e.m{k}) AS m{k}" for k, t in enumerate(taus, 1))
+    return f"""{BASE.replace('WITH', 'WITH RECURSIVE', 1)}, q AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY header) AS n FROM kept WHERE channel = 'purchase'),
+e AS (SELECT run_id, id, n, header, value AS m1, value AS m2, value AS m3 FROM q WHERE n = 1 UNION ALL SELECT q.run_id, q.id, q.n, q.header, {means} FROM e JOIN q ON q.run_id = e.run_id AND q.n = e.n + 1),
+seen AS (SELECT q.run_id, q.id, w.channel, max(w.header) AS met FROM q JOIN kept w ON w.run_id = q.run_id AND w.channel IN ('click', 'view') AND w.arrival <= q.arrival AND w.header <= q.header GROUP BY ALL),
+lagged AS (SELECT run_id, channel, header, value, lag(value) OVER {by} AS v0, lag(header) OVER {by} AS t0, {lags} FROM kept WHERE channel IN ('click', 'view')),
+wheel AS (SELECT run_id, channel, header AS met, value, lag_2, lag_3, {slope('t0', 'v0')} AS slope, {slopes} FROM lagged),
+known AS (SELECT seen.id, wheel.* FROM seen JOIN wheel USING (run_id, channel, met)),
+found AS (SELECT q.run_id, q.id, q.header, q.arrival, q.value AS command, m1 AS command_ema_1, m2 AS command_ema_2, m3 AS command_ema_3, {', '.join(wheel)}
+  FROM q JOIN e ON e.run_id = q.run_id AND e.id = q.id LEFT JOIN known f ON f.run_id = q.run_id AND f.id = q.id AND f.channel = 'click' LEFT JOIN known r ON r.run_id = q.run_id AND r.id = q.id AND r.channel = 'view')
+SELECT run_id, id, header, arrival, {columns} FROM found"""
+
+
+@query(_full_feature_sql())
 def feature_row_26(spark: SparkSession, d: str) -> DataFrame:
-    return feature_table(spark, d)
+    return feature_table(spark, d).select("run_id", "id", "header", "arrival", *((F.round(n, 9 if "slope" in n else 6) + 0).alias(n) for n in features.NAMES))
 
 
 def _observed(variant: str) -> None:
