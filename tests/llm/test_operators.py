@@ -1,6 +1,7 @@
 """The document operators against brute force, exact round trips and held-out accuracy."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -245,6 +246,83 @@ def test_piecewise_fingerprints(docs, texts):
     assert ctph.likeness(prints[5], prints[5]) == 1
 
 
+def plain_mix(h):
+    m = (1 << 64) - 1
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & m
+    h = (h ^ h >> 27) * 0x94D049BB133111EB & m
+    return h ^ h >> 31
+
+
+def plain_hash(data):
+    return plain_mix(sum((b + 1) * pow(0x9E3779B97F4A7C15, j, 1 << 64) for j, b in enumerate(data)) & ((1 << 64) - 1))
+
+
+def plain_fingerprint(data):
+    """Piecewise hashing byte by byte: a chunk ends where seven bytes hash to block size - 1 modulo block size."""
+    if not data:
+        return "3::"
+    rolled = {i: plain_hash(data[i - 6 : i + 1]) >> 33 for i in range(6, len(data))}
+
+    def ends(block):
+        return [i + 1 for i, r in rolled.items() if r % block == block - 1]
+
+    def signature(cuts, most):
+        edges = [0, *cuts[: most - 1]]
+        edges += [len(data)] if edges[-1] < len(data) else []
+        letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+        return "".join(letters[plain_hash(data[a:b]) >> 58] for a, b in zip(edges, edges[1:]))
+
+    block = 3
+    while block * 64 < len(data):
+        block *= 2
+    while block > 3 and len(ends(block)) + 1 < 32:
+        block //= 2
+    return f"{block}:{signature(ends(block), 64)}:{signature(ends(2 * block), 32)}"
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, above = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + 2 * (x != y)))
+    return row[-1]
+
+
+def test_piecewise_fingerprints_byte_by_byte():
+    rng = random.Random(12)
+    made = ["", "a", "abcdefg", "x" * 500, words(rng, 20), words(rng, 90, 900), words(rng, 400, 9000), "é" * 90 + words(rng, 60)]
+    made += [made[6][:900] + " new words here " + made[6][900:], made[6][300:]]
+    found = ctph.fingerprints([t.encode() for t in made])
+    assert found == [plain_fingerprint(t.encode()) for t in made]
+    for p in found:
+        for q in found:
+            (m, a1, a2), (n, b1, b2) = p.split(":"), q.split(":")
+            met = {(1, 1): [(a1, b1), (a2, b2)], (2, 1): [(a1, b2)], (1, 2): [(a2, b1)]}
+            best = 0.0
+            for (x, y), pairs in met.items():
+                for a, b in pairs if int(m) * y == int(n) * x else []:
+                    short = min(len(a), len(b))
+                    run = min(short, 2 if short <= 8 else 3 if short <= 24 else 4)
+                    if run and any(a[i : i + run] in b for i in range(len(a) + 1 - run)):
+                        best = max(best, 1 - plain_distance(a, b) / (len(a) + len(b)))
+            assert ctph.likeness(p, q) == pytest.approx(1.0 if p == q else best)
+
+
+def test_many_rows_without_an_id_are_dealt_to_several_ranges(spark):
+    rng = random.Random(3)
+    texts = sorted(((None, words(rng, 12, 9000)) for _ in range(300)), key=repr)
+    docs = spark.createDataFrame([*texts, (1, "first of all"), (1, "first again"), (1, "first again")], "doc_id long, text string")
+    from wayside.llm import tables
+
+    keyed = tables.keyed(docs)
+    assert ctph._ranged(keyed, 8).select("p").distinct().count() >= 6
+    order = [r.text for r in keyed.orderBy("ord", "tag").collect()]
+    prints = [plain_fingerprint(t.encode()) for t in order]
+    got = sorted((r.fingerprint, round(r.near_next, 9)) for r in ctph.compare_with_next(docs).collect())
+    assert got == sorted((p, round(ctph.likeness(p, q), 9)) for p, q in zip(prints, prints[1:] + prints[:1]))
+
+
 def test_piecewise_fingerprints_hold_through_edits():
     rng = random.Random(9)
     for n in (400, 4000):
@@ -263,6 +341,29 @@ def test_language_id_on_held_out_rows(spark):
     assert sum(r.lang == r.lang_pred for r in held) / len(held) >= 0.98
 
 
+def test_language_id_by_plain_loops(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = langid.train(docs)
+    few = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").limit(12).collect() if r.text]
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(few, "doc_id long, text string"), model).collect()}
+    for i, text in few:
+        data = text.encode()
+        b = [c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in data] + [32, 32]
+        sums = model.weights[-1].astype(float).copy()
+        for x, y, z in zip(b, b[1:], b[2:]):
+            sums += (model.weights[((x << 8 | y) * 0x85EBCA6B & 0xFFFFFFFF) >> 20] + model.weights[4096 + (((x << 16 | y << 8 | z) * 0x9E3779B1 & 0xFFFFFFFF) >> 20)]) / len(data)
+        margin = {key: sums[k] for key, k in model.column.items()}
+        ranked = sorted(model.families, key=lambda f: -margin["family", f])
+        names = model.languages[ranked[0]]
+        votes = {v: 0.0 for v in names}
+        for (kind, *pair), m in margin.items():
+            if kind == "pair" and pair[0] in names:
+                votes[pair[0] if m >= 0 else pair[1]] += 1
+        assert got[i].lang_pred == max(names, key=votes.get)
+        sure = 1 / (1 + math.exp(margin["family", ranked[1]] - margin["family", ranked[0]]))
+        assert got[i].score <= sure + 1e-6
+
+
 def test_language_id_cases(spark, docs, empty):
     model = langid.train(docs)
     got = {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()}
@@ -331,6 +432,54 @@ def test_surge_and_dive_decide_in_articles():
     assert htmltext.main_text(page) == "\n".join(["Title", "By me", PARAGRAPH.strip(), "Short."])
 
 
+def plain_line_blocks(lines, window=3, surge=86):
+    """From the first line of the first window whose lengths reach the threshold to where a window is empty after the last such one."""
+    length = [0 if furniture else len(t) for t, furniture in lines]
+    sums = [sum(length[i : i + window]) for i in range(len(lines))]
+    if not any(sums):
+        return ""
+    surges = [i for i, x in enumerate(sums) if x >= min(surge, max(sums))]
+    end = surges[-1]
+    while end < len(lines) and sums[end]:
+        end += 1
+    return "\n".join(t for (t, _), n in list(zip(lines, length))[surges[0] : end] if n)
+
+
+def random_pages(count):
+    rng = random.Random(21)
+    for _ in range(count):
+        lines = []
+        for _ in range(rng.randrange(1, 25)):
+            furniture = rng.random() < 0.5
+            lines.append((words(rng, rng.choice((1, 2, 3, 12, 40)) if not furniture else 1), furniture))
+        yield lines, "".join(f"<div class=ad>{t}</div>" if f else f"<p>{t}</p>" for t, f in lines)
+
+
+def test_line_windows_against_plain_loops():
+    pages = [(lines, html) for lines, html in random_pages(300) if 3 * sum(len(t) for t, f in lines if f) < sum(len(t) for t, _ in lines)]
+    assert len(pages) > 100
+    for lines, html in pages:
+        assert htmltext.main_text(html) == plain_line_blocks(lines)
+
+
+def test_without_surge_and_dive_pages_have_other_texts(monkeypatch):
+    pages = [html for _, html in random_pages(300)]
+    in_article = [f"<article>{html}</article>" for html in pages]
+    before = [[htmltext.main_text(h) for h in some] for some in (pages, in_article)]
+    monkeypatch.setattr(htmltext, "SURGE", 1)
+    for some, texts in zip((pages, in_article), before, strict=True):
+        assert sum(htmltext.main_text(h) != t for h, t in zip(some, texts, strict=True)) > 20
+
+
+def test_extraction_of_odd_pages(spark):
+    long = "<p>" + "word " * 400_000 + "</p>"
+    few = [(1, "u", long), (1, "u", long), (None, None, None), (2, "v", ""), (3, None, "<p>Only this.")]
+    pages = spark.createDataFrame(few, "page_id long, url string, html string").withColumns({"text": F.lit("x"), "n_chars": F.lit(1)})
+    got = htmltext.extract(pages)
+    assert rows(got, "page_id", "url", "n_chars") == sorted([(1, "u", 1_999_999)] * 2 + [(None, None, 0), (2, "v", 0), (3, None, 10)], key=repr)
+    assert htmltext.extract(pages.where("page_id > 9")).count() == 0
+
+
 def test_pages_have_articles_without_furniture(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet").limit(50).collect()
     for r in pages:
@@ -430,6 +579,27 @@ def passage(rng):
     return words(rng, 20, 9000)
 
 
+def test_rows_repeated_thousands_of_times(spark):
+    rng = random.Random(17)
+    text = words(rng, 200, 9000) + "\nand a line that all of them hold"
+    docs = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(text).alias("text")).unionByName(spark.createDataFrame([(8, text), (9, "other")], "doc_id long, text string"))
+    assert rows(substrings.remove_repeats(docs).groupBy("doc_id", "n_removed").count()) == [(7, 0, 3000), (8, 208, 1), (9, 0, 1)]
+    assert rows(linededup.dedup_lines(docs).groupBy("doc_id", "n_dropped").count()) == [(7, 0, 3000), (8, 2, 1), (9, 0, 1)]
+    benchmark = spark.createDataFrame([("q", text[:300])], "item_id string, text string")
+    assert decontaminate.benchmark_hits(docs, benchmark).where("n_hit > 0").count() == 3001
+
+
+def test_buckets_and_batches(spark, docs, tmp_path):
+    packed = packing.pack(docs, batch_tokens=4096, with_ids=True)
+    packing.write_buckets(packed, f"{tmp_path}/buckets")
+    back = spark.read.parquet(f"{tmp_path}/buckets")
+    assert back.where("length != cast(pow(2, bucket) as int) or length(ids) != 4 * length").count() == 0
+    assert rows(back, "doc_id", "start", "ids_crc32") == rows(packed, "doc_id", "start", "ids_crc32")
+    batches = packed.groupBy("bucket", "batch_id").agg(F.sum("length").alias("n"), F.countDistinct("length").alias("k"))
+    assert batches.where("n > 4096 or k != 1").count() == 0
+    assert batches.where("n = 4096").count() > 0
+
+
 def test_empty_tables(spark, empty, docs, tmp_path):
     benchmark = spark.createDataFrame([], "item_id string, text string")
     assert decontaminate.benchmark_hits(docs, benchmark).where("n_hit > 0").count() == 0

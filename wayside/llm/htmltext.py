@@ -2,12 +2,14 @@
 
 Markup is stripped to lines, one for each block element's run of text.  Lines of page
 furniture (menus, forms, asides, adverts, comments and the like, told by element, role, class
-or id) and lines that are mostly links count as empty; a mark on most of the page's text does not
-hold, and long text under a class or id amid the main text stays, at a lower weight.  Text lengths are summed over sliding
-windows of ``WINDOW`` lines; a region surges where that sum reaches the threshold and dives
-where it falls to nothing, and the lines of its regions, less the furniture in between, are
-the text, as are short lines between regions.  Where the lines of a page's articles hold at least half of its length, they alone are
-looked at, and a region begins where lengths begin instead of where they surge.
+or id) and lines that are mostly links count as empty; a mark on most of the page's text does
+not hold, and long text under a class or id amid the main text stays, at a lower weight.
+
+Text lengths are summed over sliding windows of ``WINDOW`` lines; a region surges where that
+sum reaches the threshold and dives where it falls to nothing, and the lines of its regions,
+less the furniture in between, are the text, as are short lines between regions.  Where the
+lines of a page's articles hold at least half of its length, they alone are looked at; surge
+and dive decide among them alike, but for an article's first line, which is its title.
 """
 
 from __future__ import annotations
@@ -216,7 +218,7 @@ def main_text(page: str | None) -> str:
     weight = np.where(furniture | linked, 0, length)
     # A teaser's article holds less than the rest of its page, and then all lines are looked at alike.
     article = 2 * int(weight[inside].sum()) >= int(weight.sum())
-    at = np.flatnonzero(inside & ~furniture) if article else np.arange(len(weight))
+    at = np.flatnonzero(inside) if article else np.arange(len(weight))
     own = weight[at]
     if not own.any():
         return ""
@@ -229,11 +231,11 @@ def main_text(page: str | None) -> str:
             j += 1
         surges = i + np.flatnonzero(sums[i:j] >= threshold)
         if len(surges):
-            # An article's short first lines (title, author) belong to its text; elsewhere they may be anything.
-            begin = i if article else int(surges[0])
-            begin += int(np.flatnonzero(own[begin:j])[0])
+            begin = int(surges[0]) + int(np.flatnonzero(own[surges[0] : j])[0])
             kept[at[begin:j]] = True
         i = j + 1
+    if article:  # An article's short first lines (title, author) belong to its text; elsewhere they may be anything.
+        kept[at[np.flatnonzero(own)[0]]] = True
     # Between the first surge and the last dive, short lines stay, and marked ones that surge with their lowered weight.
     first, last = np.flatnonzero(kept)[[0, -1]]
     less = np.convolve(np.where(lowered & ~linked, length // LOWERED, 0), np.ones(WINDOW, np.int64)) >= SURGE
@@ -259,7 +261,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """page_id, url, text and n_chars (its code points) for each row of ``pages``; nothing is shuffled.
 
     Null and empty pages have the empty text.  Character references are decoded, white space
-    within a block becomes one blank, nothing of a region is dropped or shortened.
+    within a block becomes one blank, nothing of a region is dropped or shortened, however long
+    the page.  Repeated rows have the same text each, an empty table gives an empty one; columns
+    besides the three are not read.
     """
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return arrow_map(source, _extract, "page_id long, url string, text string, n_chars long")
