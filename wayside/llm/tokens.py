@@ -55,7 +55,7 @@ def _byte_letters() -> dict[int, int]:
 class Encoder:
     """A tokenizer file's ids for whole texts; at most 2 * ``limit`` words are held."""
 
-    def __init__(self, path: str, limit: int = 250_000) -> None:
+    def __init__(self, path: str, limit: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
