@@ -9,7 +9,7 @@ that a batch ends in waits for the next one; no run is ever held as a whole.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,12 @@ class Fold:
     gives: dict[str, str]
     keep: str | None = None
 
+    def renamed(self, names: dict[str, str]) -> Fold:
+        """The same fold with other names for some of what it gives."""
+        after = lambda k: names.get(k, k)
+        step = lambda state, x: {after(k): v for k, v in self.step(state, x).items()}
+        return replace(self, step=step, gives={after(k): v for k, v in self.gives.items()}, keep=after(self.keep))
+
     def schema(self, rows: DataFrame) -> str:
         """The columns of ``rows`` and what the fold gives."""
         mine = [f"{k} {v}" for k, v in self.gives.items() if k != self.keep]
