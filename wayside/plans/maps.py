@@ -223,7 +223,7 @@ def off_map_modes(spark: SparkSession, d: str) -> DataFrame:
     e = points(spark, d)
     way = routes.Route.of(ring(spark, d), closed=True)
     m = e.withColumn("m", routes.project(way, F.col("px"), F.col("py"), F.col("pz"), flat=True))
-    pairs = m.select("run_id", "id", (F.col("arrival") / 86400).cast("long").alias("stamp"), (F.col("id") * 4.0).alias("distance"), F.col("px").alias("x"), F.col("py").alias("y"), F.col("m.distance").alias("apart"), F.lit(1.0).alias("cx"), F.lit(0.0).alias("cy"), F.when(F.col("id") % 11 == 0, 0.9).otherwise(0.0).alias("base_error"))
+    pairs = m.select("run_id", "id", (F.col("arrival") / 86400).cast("long").alias("stamp"), (F.col("id") * 4.0).alias("distance"), F.col("px").alias("x"), F.col("py").alias("y"), F.col("m.distance").alias("apart"), F.lit(1.0).alias("cx"), F.lit(0.0).alias("cy"), F.lit(1.0).alias("hx"), F.lit(0.0).alias("hy"), F.col("m.s").alias("place"), F.lit(way.end).alias("turn"), F.when(F.col("id") % 11 == 0, 0.9).otherwise(0.0).alias("base_error"))
     return fusion.departures(pairs, "run_id")
 
 
