@@ -175,10 +175,25 @@ def huber_ml(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(t, float(b)) for t, b in zip(_TERMS, model.coefficients, strict=True)], "term string, coefficient double")
 
 
+def _priced(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").withColumn("l_linenumber", F.col("l_linenumber").cast("double"))
+
+
 @query()
 def gbt_score(spark: SparkSession, d: str) -> DataFrame:
-    """Trees fitted on the rows of one half of the orders score the other half, from their node table."""
-    rows = table(spark, d, "lineitem").withColumn("l_linenumber", F.col("l_linenumber").cast("double"))
-    model = models.fit_trees(rows.where("l_orderkey % 2 = 0"), _TERMS, "l_extendedprice", trees=10, rate=0.3)
-    scored = rows.where("l_orderkey % 2 = 1").withColumn("predicted", models.score(models.node_table(model), [F.col(c) for c in _TERMS]))
+    """Each half of the orders is scored, from a node table, by trees fitted on the other half."""
+    rows, scored = _priced(spark, d).withColumn("half", F.col("l_orderkey") % 2), None
+    for k in (0, 1):
+        nodes = models.node_table(models.fit_trees(rows.where(F.col("half") != k), _TERMS, "l_extendedprice"))
+        one = rows.where(F.col("half") == k).withColumn("predicted", models.score(nodes, [F.col(c) for c in _TERMS]))
+        scored = one if scored is None else scored.unionByName(one)
     return aggregates.error_metric(scored.withColumn("error", F.col("predicted") - F.col("l_extendedprice")), ["l_returnflag"])
+
+
+@query("SELECT l_returnflag, count(*)::BIGINT AS n, true AS exact FROM lineitem GROUP BY 1")
+def tree_export(spark: SparkSession, d: str) -> DataFrame:
+    """The node table gives what the fitted model gives, to 1e-10 of it, on every row."""
+    rows = _priced(spark, d)
+    model = models.fit_trees(rows, _TERMS, "l_extendedprice", trees=20)
+    gaps = models.export_gap(model, models.node_table(model), rows, _TERMS, ["l_returnflag"])
+    return gaps.select("l_returnflag", "n", (F.col("gap") < 1e-10).alias("exact"))
