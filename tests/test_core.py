@@ -10,11 +10,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayside.functions import route
+from wayside.functions.route import join_seam
 from wayside.operators import folds, fusion, joins, observer, ordering, windows
+from wayside.operators.rescore import rescore
 from wayside.plans import registry, streaming  # noqa: F401
 from wayside.schema import Settings
-from wayside.sources import bags, manifests, texts
-from wayside.streaming import state
+from wayside.sources import bags, manifests, runs, texts
+from wayside.streaming import lookup, state
 
 MS = 1_000_000
 
@@ -156,6 +158,67 @@ def test_manifests_guard_what_is_read(spark):
     assert {r.name: r.rows for r in manifests.provenance({"one": data, "two": manifest}).collect()} == {"one": 3, "two": 2}
 
 
+def test_cached_runs_are_read_without_the_rest(spark, tmp_path):
+    every = spark.range(5000).select((F.col("id") % 50).alias("run_id"), F.col("id").alias("arrival"), (F.col("id") * 0.5).alias("value"))
+    path = f"{tmp_path}/runs"
+    runs.save(every, path, "run_id", "arrival")
+    names = ("run_id", "arrival", "value")
+    assert rows(runs.load(spark, path, "run_id"), *names) == rows(every, *names)
+    few = runs.load(spark, path, "run_id", [7, 9])
+    assert rows(few, *names) == rows(every.where("run_id in (7, 9)"), *names)
+    assert len(few.inputFiles()) == len(spark.read.parquet(path).inputFiles()) and few._jdf.queryExecution().executedPlan().toString().count("PartitionFilters: []") == 0
+    assert runs.load(spark, path, "run_id", []).count() == 0
+    assert rows(runs.load_like(spark, path, "run_id", spark.createDataFrame([(7,), (7,), (99,)], "run_id long")), *names) == rows(every.where("run_id = 7"), *names)
+    with pytest.raises(Exception, match="(?i)exists"):
+        runs.save(every, path, "run_id", "arrival")
+
+
+def test_saved_predictions_are_scored_again_but_not_over_a_report(spark, tmp_path):
+    saved = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 5.0), ("b", 3, 1.0)], "run_id string, id long, prediction double")
+    truth = spark.createDataFrame([(1, 1.0), (2, 2.0)], "id long, truth double")
+    rescore(saved, truth, ["id"], ["run_id"], f"{tmp_path}/out")
+    report = {r.run_id: r for r in spark.read.json(f"{tmp_path}/out/report").collect()}
+    assert (report["a"].n, report["a"].max_abs, report["a"].unscored) == (2, 3.0, 0)
+    assert (report["b"].n, report["b"].unscored) == (None, 1)
+    named = {r.name: r.sha256 for r in spark.read.json(f"{tmp_path}/out/provenance").collect()}
+    assert named == {"saved": manifests.fingerprint(saved).first().sha256, "reference": manifests.fingerprint(truth).first().sha256}
+    with pytest.raises(Exception, match="(?i)exists"):
+        rescore(saved, truth, ["id"], ["run_id"], f"{tmp_path}/out")
+
+
+def test_path_graphs_come_back_through_their_transform(spark, tmp_path):
+    (tmp_path / "graph.json").write_text('{"points": [{"x": 11.0, "y": 20.0, "z": 1.0}, {"x": 10.0, "y": 22.0, "z": 1.5}]}')
+    got = texts.read_pathgraph(spark, f"{tmp_path}/graph.json", yaw=np.pi / 2, translation=(10.0, 20.0, 1.0)).orderBy("place").collect()
+    assert np.allclose([tuple(r) for r in got], [(0, 0, -1, 0), (1, 2, 0, 0.5)])
+
+
+def test_a_seam_keeps_both_ends_tangents():
+    first, second = np.array([[0.0, 0, 0], [10, 0, 0]]), np.array([[30.0, 10, 0], [30, 20, 0]])
+    seam = join_seam(first, second)
+    whole = np.vstack([first, seam, second])
+    steps = np.diff(whole, axis=0)
+    turn = steps[:, :2] / np.linalg.norm(steps[:, :2], axis=1, keepdims=True)
+    ends = (turn[1:] * turn[:-1]).sum(axis=1)[[0, -1]]  # a seam bends within itself, not where it meets a line
+    assert ends.min() > 0.99
+    assert np.linalg.norm(steps[1:-1], axis=1).max() < 2
+
+
+def test_late_samples_from_the_future_wait_for_their_question(spark, tmp_path):
+    """Micro-batches of one row each give what one batch of all gives."""
+    # id, ask, stamp, arrival, value: an ask before its sample, a sample ahead, one refused, one that falls back, an old one.
+    told = [(1, False, 10, 20, 1.0), (2, True, 15, 21, 0.0), (3, False, 30, 22, 2.0), (4, True, 25, 23, 0.0), (5, True, 31, 24, 0.0), (6, False, 90, 25, 3.0), (7, False, 28, 26, 4.0), (8, True, 29, 27, 0.0), (9, True, 60, 40, 0.0), (10, True, 95, 85, 0.0)]
+    kind = "run_id string, id long, ask boolean, stamp long, arrival long, value double"
+    want = [(2, 10, 1.0), (4, 10, 1.0), (5, 30, 2.0), (9, None, None), (10, None, None)]
+    for size in (1, 3, len(told)):
+        folder = f"{tmp_path}/{size}"
+        for n, k in enumerate(range(0, len(told), size)):
+            spark.createDataFrame([("a", *r) for r in told[k : k + size]], kind).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+            stream = spark.readStream.schema(kind).parquet(f"{folder}/in")
+            state.run_once(lookup.lookup(stream, ["run_id"], 20, 20), f"{folder}/out", f"{folder}/checkpoint")
+        got = spark.read.parquet(f"{folder}/out").orderBy("id").select("id", "seen", "value").collect()
+        assert [tuple(r) for r in got] == want, size
+
+
 def test_sync_prefers_the_nearest_then_the_earliest():
     sync = joins.ApproximateSync(50)
     for stamp, i in ((100, 1), (120, 2), (140, 3)):
@@ -238,7 +301,7 @@ def test_nothing_else_imports_the_corpus_operators():
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and "llm" in p.read_text()]
 
 
-@pytest.mark.parametrize("name", ["stream_record_high", "stream_ema", "stream_tumbling", "stream_sliding", "stream_sessions"])
+@pytest.mark.parametrize("name", ["stream_record_high", "stream_ema", "stream_lookup", "stream_tumbling", "stream_sliding", "stream_sessions"])
 def test_streams_do_not_depend_on_how_the_table_is_stored(spark, tmp_path, name):
     small = "/root/testdata/sf0.001"
     want = registry.QUERIES[name](spark, small)

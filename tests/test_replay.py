@@ -2,9 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wayside.functions.route import Atlas, Route
 from wayside.operators import folds, fusion, replay
+from wayside.plans import perturbations, trips
 from wayside.schema import FLAGS, PREDICTION, Settings
 
 S = Settings()
@@ -121,3 +123,27 @@ def test_an_atlas_corrects_each_run_by_its_own_map():
 
 def test_empty_inputs_give_no_rows(spark):
     assert run_all(spark, [([], [])], [RING]) == {}
+
+
+def test_invariants_see_a_poisoned_replay(spark):
+    """Negative controls: each fault is found by the invariant that is there for it, and by no other."""
+    kinds = {f.name: f.dataType for f in PREDICTION.fields}
+    first = {c: 0 if kinds[c].simpleString() == "bigint" else 0.0 for c in PREDICTION.names}
+    clean = [(arm, 1, *({**first, "stamp": trips.BEGIN + k * 10_000_000}.values())) for arm in perturbations.ARMS for k in range(3)]
+    schema = "arm string, run_id long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in PREDICTION.fields)
+    made = spark.createDataFrame(clean, schema).cache()
+    late = (F.col("arm") == "outlier") & (F.col("stamp") == trips.BEGIN + 20_000_000)
+    found = lambda df: {(r.arm, r.invariant) for r in trips.invariants(df).where("violations > 0").collect()}
+    assert found(made) == set()
+    assert found(made.withColumn("velocity", F.when(late, 9.0).otherwise(F.col("velocity")))) == {("outlier", "motion"), ("outlier", "rejected")}
+    assert found(made.withColumn("flags", F.when(late, F.lit(8)).otherwise(F.col("flags")))) == {("outlier", "initialized"), ("outlier", "rejected")}
+    assert found(made.withColumn("x", F.when(late, 9.0).otherwise(F.col("x")))) == {("outlier", "rejected")}
+    assert found(made.withColumn("x", F.when((F.col("arm") == "bias") & (F.col("stamp") == trips.BEGIN), 9.0).otherwise(F.col("x")))) == {("bias", "early")}
+    assert ("outlier", "stamps") in found(made.where(~late)) and ("outlier", "stamps") in found(made.unionByName(made.where(late)))
+
+
+def test_arms_do_change_where_a_trip_is(spark):
+    made = trips.replay_arms(spark, "/root/testdata/sf0.001").where("arm in ('provided', 'no_late', 'bias')")
+    wide = made.groupBy("run_id", "stamp").pivot("arm", ["provided", "no_late", "bias"]).agg(F.first(F.struct("x", "y")))
+    far = lambda arm: F.max(F.hypot(F.col(f"{arm}.x") - F.col("provided.x"), F.col(f"{arm}.y") - F.col("provided.y"))).alias(arm)
+    assert all(1 < v < 20 for v in wide.agg(far("no_late"), far("bias")).first())

@@ -55,3 +55,8 @@ def gap_islands(stamp: str, by: list[str], gap: int) -> tuple[Column, Window]:
     w = Window.partitionBy(*by).orderBy(stamp)
     begins = F.when(F.col(stamp) - F.lag(stamp).over(w) > gap, 1).otherwise(0)
     return begins, w.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def prefix(rows: DataFrame, cuts: DataFrame, run: str, time: str) -> DataFrame:
+    """What was known at each run's ``cut``: its rows with a time up to then; runs without a cut have none."""
+    return rows.join(cuts.select(run, F.col("cut").alias("_cut")), run).where(F.col(time) <= F.col("_cut")).drop("_cut")

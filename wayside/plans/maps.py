@@ -239,3 +239,18 @@ def live_mates(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d, "signup", "error")
     fixes = e.select("run_id", "id", "arrival", F.col("header").alias("stamp"), (F.col("channel") == "error").cast("int").alias("side"))
     return fusion.live_mates(fixes, "run_id", 86400.0, 864000.0)
+
+
+@query(
+    f"""{_RING}, e AS (SELECT k, (x1 - x0) / (s1 - s0) AS ux, (y1 - y0) / (s1 - s0) AS uy FROM seg WHERE s1 IS NOT NULL),
+t AS (SELECT r.*, a.ux + b.ux AS tx, a.uy + b.uy AS ty, least(1, greatest(0, (s - 500) / 1000)) AS u FROM r JOIN e a ON a.k = r.k % 25 JOIN e b ON b.k = (r.k + 24) % 25),
+w AS (SELECT *, CASE WHEN s BETWEEN 500 AND 1500 THEN 16 * u * u * (1 - u) * (1 - u) * (2 - (2 * u - 1) + 0.5 * (3 * (2 * u - 1) ** 2 - 1) / 2) ELSE 0 END AS m, sqrt(tx * tx + ty * ty) AS l FROM t),
+v AS (SELECT k, x - m * ty / l AS x, y + m * tx / l AS y, z FROM w),
+d AS (SELECT *, coalesce(sqrt((x - lag(x) OVER o) ** 2 + (y - lag(y) OVER o) ** 2 + (z - lag(z) OVER o) ** 2), 0) AS step FROM v WINDOW o AS (ORDER BY k))
+SELECT k, round(x, 6) + 0 AS x, round(y, 6) + 0 AS y, round(sum(step) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING), 6) AS s FROM d"""
+)
+def deformed_ring(spark: SparkSession, d: str) -> DataFrame:
+    """A stretch of the ring moved aside by a curve that is flat at both its ends."""
+    corners = ring(spark, d)
+    way = routes.Route.of(corners, closed=True)
+    return routes.deformed(corners, way, ["route"], "k", 500.0, 1500.0, [2.0, -1.0, 0.5]).select("k", *((F.round(c, 6) + 0).alias(c) for c in ("x", "y", "s")))

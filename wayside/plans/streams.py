@@ -436,3 +436,62 @@ SELECT id, round(p, 9) AS b0, round(n, 9) AS b1, round(p * p, 9) AS b2, round(n
 def drive_basis(spark: SparkSession, d: str) -> DataFrame:
     terms = signals.drive_basis(F.col("k") % 31 - 15, F.col("value"))
     return events(spark, d).select("id", *(F.round(t, 9).alias(k) for k, t in terms.items()))
+
+
+@query(
+    f"""SELECT run_id, id FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY arrival, id) AS place FROM
+(SELECT *, (header - min(header) OVER (PARTITION BY run_id)) / 1e6 AS elapsed FROM ({_full_feature_sql()})) f
+WHERE front_age / 864000 < 0.3 AND rear_age / 864000 < 0.3 AND abs(difference) / 100 < 0.15 AND abs(front_slope_2 - rear_slope_2) * 1000 < 0.25 AND mean > 0.3 AND abs(front_slope_2) * 1000 < 1.8 AND elapsed > 5) WHERE (place - 1) % 5 = 0"""
+)
+def training_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every fifth of the rows from which a drive model may learn; ages and slopes in the scale of days."""
+    f = feature_row_26(spark, d).withColumn("elapsed", (F.col("header") - F.min("header").over(Window.partitionBy("run_id"))) / 1e6)
+    slope, other = F.col("front_slope_2") * 1000, F.col("rear_slope_2") * 1000
+    good = signals.training_row(F.col("front_age") / 864000, F.col("rear_age") / 864000, F.col("difference") / 100, slope - other, F.col("mean"), slope, F.col("elapsed"))
+    return ordering.every_nth(f.where(good), ["run_id"], 5, ("arrival", "id")).select("run_id", "id")
+
+
+@query("SELECT event_id AS id, round(value / 3.6, 9) AS speed, 11 + value / 40 > 11.9 AND 11 + value / 40 < 12.9 AND json_extract(props, '$.k')::INT <= 50 AS pair_ok FROM events")
+def units_and_baselines(spark: SparkSession, d: str) -> DataFrame:
+    """Raw readings in metres a second, and which antenna pairs are as far apart as they are mounted."""
+    pair = signals.baseline_good(11 + F.col("value") / 40, F.col("k") * 1000, 1_000_000)
+    return events(spark, d).select("id", F.round(signals.metres_per_second(F.col("value")), 9).alias("speed"), pair.alias("pair_ok"))
+
+
+@query(
+    BASE
+    + """, p AS (SELECT run_id, value - 50 AS error, (arrival - min(arrival) OVER (PARTITION BY run_id)) / 86400000000 AS elapsed, k <= 50 AS ready FROM base),
+q AS (SELECT 'every' AS phase, * FROM p UNION ALL SELECT 'startup', * FROM p WHERE elapsed < 3 UNION ALL SELECT 'after_startup', * FROM p WHERE elapsed >= 3 UNION ALL SELECT 'initialized', * FROM p WHERE ready
+  UNION ALL SELECT 'initialized_after_startup', * FROM p WHERE ready AND elapsed >= 3)
+SELECT phase, count(*)::BIGINT AS n, round(sqrt(avg(error * error)), 6) AS rmse FROM q GROUP BY 1"""
+)
+def phase_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Errors in each phase of a run, all phases in one pass."""
+    e = events(spark, d)
+    elapsed = (F.col("arrival") - F.min("arrival").over(Window.partitionBy("run_id"))) / DAY
+    flags = signals.mask({"not_initialized": F.col("k") > 50})
+    inside = F.array_compact(F.array(*(F.when(t, F.lit(n)) for n, t in signals.phases(F.col("elapsed"), F.col("flags")).items())))
+    phased = e.withColumn("elapsed", elapsed).withColumn("flags", flags).select(F.explode(inside).alias("phase"), (F.col("value") - 50).alias("error"))
+    return aggregates.error_metric(phased, ["phase"]).select("phase", "n", F.round("rmse", 6).alias("rmse"))
+
+
+@query(
+    BASE
+    + f""", cuts AS (SELECT run_id, (min(arrival) + max(arrival)) // 2 AS cut FROM base GROUP BY run_id)
+SELECT run_id, count(*)::BIGINT AS held, 0::BIGINT AS violations FROM {_PURCHASES} p JOIN cuts USING (run_id) WHERE p.arrival <= cut GROUP BY run_id"""
+)
+def causal_prefix(spark: SparkSession, d: str) -> DataFrame:
+    """What a command knows does not change with what comes after half of a run."""
+    every = events(spark, d)
+    cuts = every.groupBy("run_id").agg(F.expr("(min(arrival) + max(arrival)) div 2").alias("cut"))
+
+    def known(rows: DataFrame) -> DataFrame:
+        wheel = ordering.record_high(rows.where("channel = 'click'"), KEY)
+        lagged = wheel.withColumn("value", F.struct("value", windows.slope_horizon(KEY, "value", "header", DAY, 4.0).alias("slope")))
+        return joins.asof_dual_clock(rows.where("channel = 'purchase'"), lagged, ["run_id"]).select("run_id", "id", "arrival", "r_header", "r_value")
+
+    early, whole = known(ordering.prefix(every, cuts, "run_id", "arrival")), ordering.prefix(known(every), cuts, "run_id", "arrival")
+    what = F.struct("r_header", "r_value")
+    both = early.select("run_id", "id", what.alias("a"), F.lit(True).alias("_e")).join(whole.select("run_id", "id", what.alias("b"), F.lit(True).alias("_w")), ["run_id", "id"], "full")
+    same = F.col("_e").eqNullSafe(F.col("_w")) & F.col("a").eqNullSafe(F.col("b"))
+    return both.groupBy("run_id").agg(F.count_if(same).alias("held"), F.count_if(~same).alias("violations"))
