@@ -113,7 +113,8 @@ def format_chat(turns: DataFrame, visitor: Visitor | None = None, trained: tuple
     source = turns.select(F.col("conv_id").alias("conv"), F.col("turn").alias("turn"), role.alias("role"), F.coalesce(F.col("parts").cast(f"array<{PART}>"), F.array().cast(f"array<{PART}>")).alias("parts"))
     number = F.row_number().over(Window.partitionBy("conv").orderBy("turn", "role", "parts")) - 1
     seen = F.transform("parts", visitor.visit)
-    each = source.select("conv", number.alias("n"), "role", F.size("parts").alias("size"), F.posexplode_outer(seen).alias("i", "part"))
+    numbered = source.withColumn("n", number)  # apart from the next step, which would number parts instead
+    each = numbered.select("conv", "n", "role", F.size("parts").alias("size"), F.posexplode_outer(seen).alias("i", "part"))
     first, last = F.coalesce("i", F.lit(0)) == 0, F.coalesce("i", F.lit(0)) == F.greatest(F.col("size"), F.lit(1)) - 1
     opening = F.when(first, F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))).otherwise("")
     cut = each.select("conv", "n", F.coalesce("i", F.lit(0)).alias("i"), F.col("role").isin(*trained).alias("trained"), opening.alias("opening"), F.coalesce("part.shown", F.lit("")).alias("shown"), F.when(last, END).otherwise("").alias("closing"), F.coalesce("part.kind", F.lit("text")).alias("kind"), "part.ref", F.coalesce("part.tokens", F.lit(0).cast("long")).alias("tokens"))
