@@ -5,7 +5,9 @@ addition holds until the next event of the same entry, which makes validity inte
 capture asks for the entries that cover its URL and were valid when it was fetched: its host,
 each parent domain and each leading part of its path are candidate keys (no more labels and
 folders than the longest entry has), joined with the intervals on key and month and narrowed by
-time.  The most specific valid entry decides.
+time.  An interval has a row for each month in which a capture asks for its key, so neither its
+length nor the span of fetch times counts, be they seconds, milliseconds or nonsense.  The most
+specific valid entry decides.
 
 Everything is DataFrame expressions.  Captures of a hot host spread by month and are left to
 the skew handling of joins; the successor of an event is sought within its month first, and
@@ -20,6 +22,9 @@ from pyspark.sql import functions as F
 from .tables import written
 
 BUCKET = 30 * 86400
+_OPEN = 1 << 62
+#: Copies of a capture that are written out at a time.
+_RUN = 10_000
 _KEY = ("list", "kind", "value")
 _RANK = {"domain": 1, "host": 2, "path": 3}
 
@@ -68,17 +73,12 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     cover the URL and were valid then (valid_from <= fetched_at < valid_to).  verdict: the
     action of the most specific of them (path over host over domain, then the longer value,
     then block, then the list's name), else ``none``.  A null or relative URL has no
-    candidates, a null time no active entry; numeric hosts and IPv6 addresses are hosts
+    candidates, a null time no active entry, negative and far-off times are times like others; numeric hosts and IPv6 addresses are hosts
     without parent domains.  Repeated captures each have their row, an empty table gives none.
     """
     events = events_of(entries)
     valid = intervals(events)
-    span = captures.agg(F.min("fetched_at"), F.max("fetched_at")).first()  # two numbers
     depth, deepest = (events.agg(F.max(F.when(F.col("kind") == "path", F.size(F.split("value", "/")))), F.max(F.when(F.col("kind") == "domain", F.size(F.split("value", r"\."))))).first())  # two numbers
-    low, high = (int((t or 0) // BUCKET) for t in span)
-    months = F.sequence(F.greatest(F.floor(F.col("valid_from") / BUCKET), F.lit(low)), F.least(F.floor(F.coalesce(F.col("valid_to") - 1, F.lit(high * BUCKET)) / BUCKET), F.lit(high)))
-    living = valid.where((F.floor(F.col("valid_from") / BUCKET) <= high) & (F.coalesce(F.col("valid_to"), F.lit((high + 1) * BUCKET)) > low * BUCKET)).where(F.coalesce(F.col("valid_to"), F.lit(1 << 62)) > F.col("valid_from"))
-    dated = living.withColumn("month", F.explode(months))
 
     url = F.col("url").cast("string")
     source = captures.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.col("fetched_at").cast("long").alias("fetched_at"), host_of(url).alias("host"), path_of(url).alias("path"))
@@ -92,6 +92,10 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     paths = F.when(F.size(segments) > 0, F.transform(F.sequence(F.lit(1), F.size(segments)), lambda i: F.struct(F.lit("path").alias("kind"), F.concat_ws("/", F.col("host"), F.slice(segments, F.lit(1), i)).alias("value")))).otherwise(F.array())
     keys = F.when(known, F.concat(own, domains, paths)).otherwise(F.array(F.struct(F.lit("").alias("kind"), F.lit("").alias("value"))))
     asked = source.select("page_id", "url", "host", "fetched_at", "copies", F.explode(keys).alias("key")).select("page_id", "url", "host", "fetched_at", "copies", "key.kind", "key.value", F.floor(F.col("fetched_at") / BUCKET).alias("month"))
+    # Intervals stand in those months alone in which their entry is asked for, however long they are.
+    months = asked.where(F.col("month").isNotNull() & (F.col("kind") != "")).select("kind", "value", "month").distinct()
+    until = F.coalesce(F.col("valid_to"), F.lit(_OPEN))
+    dated = valid.where(until > F.col("valid_from")).join(months, ["kind", "value"]).where(F.col("month").between(F.floor(F.col("valid_from") / BUCKET), F.floor((until - 1) / BUCKET)))
     held = (F.col("fetched_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to")))
     a, d = asked.alias("a"), dated.alias("d")
     met = a.join(d, (F.col("a.kind") == F.col("d.kind")) & (F.col("a.value") == F.col("d.value")) & (F.col("a.month") == F.col("d.month")) & held, "left")
@@ -99,7 +103,9 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     best = F.struct(rank.alias("rank"), F.length("d.value").alias("size"), F.col("d.action").alias("action"), F.col("d.list").alias("list"), F.col("d.kind").alias("kind"), F.col("d.value").alias("value"), F.col("d.valid_from").alias("since"))
     key = ("page_id", "url", "host", "fetched_at", "copies")
     each = met.groupBy(*(F.col(f"a.{c}").alias(c) for c in key)).agg(F.count("d.kind").alias("n_active"), F.max(F.when(F.col("d.kind").isNotNull(), best)).alias("best"))
-    repeated = each.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    runs = F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / _RUN))
+    rest = F.least(F.lit(_RUN), F.col("copies") - F.col("run") * _RUN)
+    repeated = each.withColumn("run", F.explode(runs)).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), rest)))
     return repeated.select("page_id", "url", "host", "fetched_at", "n_active", F.coalesce("best.action", F.lit("none")).alias("verdict"), F.col("best.kind").alias("entry_kind"), F.col("best.value").alias("entry_value"), F.col("best.since").alias("valid_from"))
 
 
