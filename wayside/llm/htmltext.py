@@ -2,8 +2,9 @@
 
 Markup is stripped to lines, one for each block element's run of text.  Lines of page
 furniture (menus, forms, asides, adverts, comments and the like, told by element, role, class
-or id) and lines that are mostly links count as empty; a mark on most of the page's text does
-not hold, and long text under a class or id amid the main text stays, at a lower weight.
+or id) and lines that are mostly links count as empty.  Marks hold however long their text is
+wherever unmarked text surges; only on a page without, a mark on most of the text yields.
+Long text amid the main text stays, at a lower weight, under words that may name anything.
 
 Text lengths are summed over sliding windows of ``WINDOW`` lines; a region surges where that
 sum reaches the threshold and dives where it falls to nothing, and the lines of its regions,
@@ -16,7 +17,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +48,11 @@ HIDDEN = ":hidden"
 # Words that say of a class what the page has beside the element, not what the element is.
 LAYOUT = frozenset("has no non not with without".split())
 NAMES = frozenset(f"<{name}" for name in FURNITURE if name != "form")
+HEADERS = frozenset(("header", "<header"))
+TITLES = frozenset(f"h{k}" for k in range(1, 7))
 COMMENTS = frozenset("comment comments commentlist disqus respond".split())
+# Marks that also name wrappers of main text.
+LOOSE = frozenset("widget widgets search share sharing social".split())
 LOWERED = 4
 
 _TOKEN = re.compile(
@@ -61,11 +68,12 @@ _ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden)(?:\s*=
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _marked(attributes: str) -> set[str]:
+@lru_cache(4096)
+def _marked(attributes: str) -> frozenset[str]:
     """Why an element is furniture: ``hidden``, a role (with a colon before it) or words of its classes and id."""
     out: set[str] = set()
     if not attributes.strip(" /"):
-        return out
+        return frozenset()
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -77,18 +85,24 @@ def _marked(attributes: str) -> set[str]:
                 found = [w.lower() for w in _WORD.findall(token)]
                 if not LAYOUT.intersection(found):
                     out |= MARKS.intersection(found)
-    return out
+    return frozenset(out)
 
 
 class _Lines:
-    """The lines of one page: text, letters that stand in links, its furniture elements, whether in the article."""
+    """The lines of one page: text, letters that stand in links, innermost furniture element, whether in the article, whether a title.
+
+    Furniture elements are a forest: each has its reasons and its parent (-1: none).  A line
+    names its innermost one, so deep or unclosed elements cost no more than flat ones.
+    """
 
     def __init__(self) -> None:
         self.text: list[str] = []
         self.linked: list[int] = []
-        self.zones: list[tuple[int, ...]] = []
-        self.reasons: list[set[str]] = []  # of each furniture element
+        self.zone: list[int] = []
         self.inside: list[bool] = []
+        self.title: list[bool] = []
+        self.reasons: list[frozenset[str]] = []
+        self.parent: list[int] = []
         self._parts: list[str] = []
         self._in_links = 0
 
@@ -97,28 +111,71 @@ class _Lines:
         if link:
             self._in_links += len("".join(text.split()))
 
-    def end(self, zones: tuple[int, ...], inside: bool) -> None:
+    def end(self, zone: int, inside: bool, title: bool) -> None:
         text = " ".join("".join(self._parts).split()) if self._parts else ""
         if text:
             self.text.append(text)
             self.linked.append(self._in_links)
-            self.zones.append(zones)
+            self.zone.append(zone)
             self.inside.append(inside)
+            self.title.append(title)
         self._parts, self._in_links = [], 0
 
 
+class _Zones:
+    """The furniture elements that are open, outermost first: name, how many of it are open, number.  All steps take constant time but for what they close."""
+
+    def __init__(self, lines: _Lines) -> None:
+        self.lines, self.open = lines, []
+        self.places: dict[str, list[int]] = {}
+        self.strict = 0  # open ones that are more than headers
+
+    def push(self, name: str, reasons: frozenset[str]) -> None:
+        self.lines.parent.append(self.innermost())
+        self.places.setdefault(name, []).append(len(self.open))
+        self.open.append([name, 1, len(self.lines.reasons)])
+        self.lines.reasons.append(reasons)
+        self.strict += not reasons <= HEADERS
+
+    def pop(self) -> None:
+        name, _, number = self.open.pop()
+        self.places[name].pop()
+        self.strict -= not self.lines.reasons[number] <= HEADERS
+
+    def innermost(self) -> int:
+        return self.open[-1][2] if self.open else -1
+
+    def holds(self, name: str) -> bool:
+        return bool(self.places.get(name))
+
+    def again(self, name: str) -> None:
+        self.open[self.places[name][-1]][1] += 1
+
+    def close(self, name: str) -> None:
+        k = self.places[name][-1]
+        self.open[k][1] -= 1
+        if not self.open[k][1]:
+            while len(self.open) > k:
+                self.pop()
+
+    def keep_hidden(self) -> None:
+        hidden = [(z[0], self.lines.reasons[z[2]]) for z in self.open if HIDDEN in self.lines.reasons[z[2]]]
+        while self.open:
+            self.pop()
+        for name, reasons in hidden:
+            self.push(name, reasons)
+
+
 def lines_of(page: str) -> _Lines:
     """A page's lines; unclosed and unopened elements are read as they stand."""
     out = _Lines()
-    zones: list[list] = []  # the furniture elements we are in: name, how many of it are open, number
+    zones = _Zones(out)
     articles: list[str] = []
-    links = heading = 0
+    opened: Counter[str] = Counter()  # of articles, by name
+    links = heading = title = 0
 
     def end() -> None:
-        out.end(() if heading else tuple(z[2] for z in zones), bool(articles))
-
-    def innermost(name: str) -> int:
-        return next((k for k in range(len(zones) - 1, -1, -1) if zones[k][0] == name), -1)
+        out.end(-1 if heading else zones.innermost(), bool(articles), bool(title))
 
     for m in _TOKEN.finditer(page):
         if m["text"] is not None:
@@ -136,73 +193,93 @@ def lines_of(page: str) -> _Lines:
             links = 0 if closing else 1
             continue
         block = name in BLOCKS or name in FURNITURE
-        title = re.fullmatch("h[1-6]", name) is not None
-        reasons = _marked(attributes) if not closing and name not in VOID and name not in ("body", "html") else set()
-        if title:
-            reasons.discard("header")
-        if block or reasons or innermost(name) >= 0:
+        is_title = name in TITLES
+        reasons = _marked(attributes) if not closing and name not in VOID and name not in ("body", "html") else frozenset()
+        if is_title:
+            reasons -= {"header"}
+        if block or reasons or zones.holds(name):
             end()
         if block:
-            links = 0
-        if articles and zones and title and all(out.reasons[z[2]] <= {"header", "<header"} for z in zones):
+            links = title = 0
+        if is_title:
+            title = 0 if closing else 1
+        if articles and zones.open and is_title and not zones.strict:
             heading = 0 if closing else 1
         if closing:
-            k = innermost(name)
-            if k >= 0:
-                zones[k][1] -= 1
-                if not zones[k][1]:
-                    del zones[k:]
-            if name in _OPENED and name in articles:
-                del articles[len(articles) - 1 - articles[::-1].index(name) :]
+            if zones.holds(name):
+                zones.close(name)
+            if opened[name]:
+                while True:
+                    opened[last := articles.pop()] -= 1
+                    if last == name:
+                        break
             continue
         if name in VOID or attributes.rstrip().endswith("/") and name not in BLOCKS:
             continue
         if name in _OPENED and not reasons:
-            if not articles and not any(z[0] in _OPENED for z in zones):
-                zones = [z for z in zones if HIDDEN in out.reasons[z[2]]]
+            if not articles and not any(zones.holds(n) for n in _OPENED):
+                zones.keep_hidden()
             articles.append(name)
-        if zones and zones[-1][0] == "p" and block:  # a paragraph ends where another block begins
+            opened[name] += 1
+        if block and zones.open and zones.open[-1][0] == "p":  # a paragraph ends where another block begins
             zones.pop()
         if name in FURNITURE:
-            reasons.add(f"<{name}")
+            reasons |= {f"<{name}"}
         if reasons:
-            zones.append([name, 1, len(out.reasons)])
-            out.reasons.append(reasons)
-        elif (k := innermost(name)) >= 0:
-            zones[k][1] += 1
+            zones.push(name, reasons)
+        elif zones.holds(name):
+            zones.again(name)
     end()
     return out
 
 
-def _furniture(lines: _Lines, unlinked: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which lines are furniture, and which of them by nothing but words of classes and ids.
+def _yielding(lines: _Lines, zone: np.ndarray, unlinked: np.ndarray, length: np.ndarray) -> dict[int, set[str]]:
+    """Reasons that do not hold, by furniture element.
 
-    A mark does not hold on an element with most of the page's unlinked text, or on any where
-    the elements of that mark have most of it together.  Comments may have most of it, unless
-    no unmarked text surges, and elements told by name, except forms, unless there is none.
+    All hold where unmarked text surges.  Elsewhere a mark does not hold on an element with most
+    of the page's unlinked text, or on any where the elements of that mark have most of it
+    together, but for comments beside unmarked text in an article, and elements told by name,
+    except forms, beside any unmarked text.
     """
-    at, number = [], []
-    for k, zones in enumerate(lines.zones):
-        at += [k] * len(zones)
-        number += zones
-    shown = [not any(HIDDEN in lines.reasons[z] for z in zones) for zones in lines.zones]
-    total = int(unlinked[shown].sum())
-    held = np.zeros(len(lines.reasons), np.int64)
-    np.add.at(held, np.array(number, int), unlinked[np.array(at, int)])
-    plain = np.where([not z for z in lines.zones], np.where(unlinked * 2 >= length, length, 0), 0)
-    surges = bool((np.convolve(plain, np.ones(WINDOW, np.int64)) >= SURGE).any())
-    left = [set(x) for x in lines.reasons]
-    for mark in set().union(*lines.reasons) - {HIDDEN} - (COMMENTS if surges else set()) - (NAMES if plain.any() else set()):
-        marked = [z for z, x in enumerate(lines.reasons) if mark in x]
+    plain = np.where((zone < 0) & (unlinked * 2 >= length), length, 0)
+    if (np.convolve(plain, np.ones(WINDOW, np.int64)) >= SURGE).any():
+        return {}
+    n = len(lines.reasons)
+    hidden = [False] * n
+    for z in range(n):
+        hidden[z] = HIDDEN in lines.reasons[z] or lines.parent[z] >= 0 and hidden[lines.parent[z]]
+    held = np.bincount(zone[zone >= 0], unlinked[zone >= 0], n).astype(np.int64).tolist()
+    total = int(unlinked.sum()) - sum(h for h, x in zip(held, hidden, strict=True) if x)
+    own = list(held)
+    for z in range(n - 1, -1, -1):
+        if lines.parent[z] >= 0:
+            held[lines.parent[z]] += held[z]
+    told = bool(plain[np.array(lines.inside) & ~np.array(lines.title)].any())
+    fixed = {HIDDEN} | (COMMENTS if told else frozenset()) | (NAMES if plain.any() else frozenset())
+    out: dict[int, set[str]] = {}
+    for mark in set().union(*set(lines.reasons)) - fixed:
+        marked = [z for z in range(n) if mark in lines.reasons[z]]
         most = [z for z in marked if 2 * held[z] > total]
         if not most:
-            together = [k for k, zones in enumerate(lines.zones) if any(mark in lines.reasons[z] for z in zones)]
-            most = marked if 2 * int(unlinked[together].sum()) > total else []
+            under = [False] * n
+            for z in range(n):
+                under[z] = mark in lines.reasons[z] or lines.parent[z] >= 0 and under[lines.parent[z]]
+            most = marked if 2 * sum(h for h, x in zip(own, under, strict=True) if x) > total else []
         for z in most:
-            left[z].discard(mark)
-    furniture = np.array([any(left[z] for z in zones) for zones in lines.zones])
-    words = np.array([all(left[z] <= MARKS for z in zones) for zones in lines.zones])
-    return furniture, furniture & words
+            out.setdefault(z, set()).add(mark)
+    return out
+
+
+def _furniture(lines: _Lines, unlinked: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines are furniture, and which of them by nothing but loose words of classes and ids."""
+    zone = np.array(lines.zone)
+    yielding = _yielding(lines, zone, unlinked, length)
+    furniture, loose = np.zeros(len(lines.reasons) + 1, bool), np.ones(len(lines.reasons) + 1, bool)
+    for z, reasons in enumerate(lines.reasons):  # a line outside of all has number -1, the last place
+        left = reasons - yielding[z] if z in yielding else reasons
+        furniture[z] = bool(left) or furniture[lines.parent[z]]
+        loose[z] = left <= LOOSE and loose[lines.parent[z]]
+    return furniture[zone], furniture[zone] & loose[zone]
 
 
 def main_text(page: str | None) -> str:
@@ -260,7 +337,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars (its code points) for each row of ``pages``; nothing is shuffled.
 
-    Null and empty pages have the empty text.  Character references are decoded, white space
+    Null and empty pages have the empty text; of lines that weigh the same the first is a tie's
+    winner, as windows are read in page order.  Character references are decoded, white space
     within a block becomes one blank, nothing of a region is dropped or shortened, however long
     the page.  Repeated rows have the same text each, an empty table gives an empty one; columns
     besides the three are not read.
