@@ -11,6 +11,9 @@ fingerprints and one of its windows, of at most ``MOST_BITS`` bits each whatever
 holds, tell which fingerprints of a document may be shared, and each of those is extended to
 the windows around it.  What is left is joined with the benchmark's windows on fingerprint and
 hashes; a bitmap that is full only lets more rows through to that join.
+
+Windows that many items share lead to a set of items, and documents to lists of such sets, so a
+passage in n items and m documents costs n + m rows and not their product.
 """
 
 from __future__ import annotations
@@ -114,8 +117,21 @@ def _probe(lengths: list[int], prints: np.ndarray, windows: np.ndarray):
     return run
 
 
-def _met(docs: DataFrame, benchmark: DataFrame, window: int, item_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A row for each document (doc_id, ord, tag, n_words), its windows that are the benchmark's, and the benchmark's windows.
+def _item_sets(index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The set of items of each window (n, g, w1, w2, s), and the items of each set (s, item).
+
+    Windows of one passage have the same items, so sets are few where windows are many.  A set is
+    told by its size and two sums of hashes of its items, which combine before they are shuffled.
+    """
+    sums = index.groupBy(*_WINDOW).agg(F.count(F.lit(1)).alias("size"), *(F.sum(F.xxhash64("item", F.lit(k)).cast("decimal(20,0)")).alias(f"s{k}") for k in (0, 1)))
+    sums = written(sums, "sums")
+    first = sums.groupBy("size", "s0", "s1").agg(F.min(F.struct(*_WINDOW)).alias("first")).select("size", "s0", "s1", "first.*")
+    sets = written(first.withColumn("s", F.monotonically_increasing_id()), "sets")
+    return sums.join(sets.select("size", "s0", "s1", "s"), ["size", "s0", "s1"]).select(*_WINDOW, "s"), index.join(sets.select(*_WINDOW, "s"), _WINDOW).select("s", "item")
+
+
+def _spotted(docs: DataFrame, benchmark: DataFrame, window: int, item_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A row for each document (doc_id, ord, tag, n_words), its windows that may be the benchmark's, and the benchmark's windows.
 
     docs: doc_id, ord, tag, text.
     """
@@ -125,7 +141,7 @@ def _met(docs: DataFrame, benchmark: DataFrame, window: int, item_col: str) -> t
     probe = _probe(sorted(about.lengths), _bitmap(index, "g", bits), _bitmap(index, "w1", bits))
     rows = written(arrow_map(docs, probe, f"doc_id long, ord long, tag long, n_words long, spots array<{_SPOTS}>"), "spots")
     spots = rows.where(F.size("spots") > 0).select("ord", "tag", F.explode("spots").alias("s")).select("ord", "tag", *(f"s.{c}" for c in (*_WINDOW, "at")))
-    return rows.drop("spots"), spots.join(index.select(*_WINDOW).distinct(), _WINDOW), index
+    return rows.drop("spots"), spots, index
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +157,26 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hit = np.cumsum(edge[:-1]) > 0
             n_hit.append(int(hit.sum()))
             maps.append(zlib.compress(np.packbits(hit).tobytes()) if spans else None)
-        yield batch(doc_id=b.column("doc_id"), n_words=b.column("n_words"), n_hit=np.array(n_hit, np.int64), hits=pa.array(maps, pa.binary()), items=b.column("items"))
+        yield batch(doc_id=b.column("doc_id"), n_words=b.column("n_words"), n_hit=np.array(n_hit, np.int64), hits=pa.array(maps, pa.binary()), item_sets=b.column("item_sets"))
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, window: int, item_col: str, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n_words, n_hit, hits and item_sets of each row of ``docs``; and the items of each such list of sets.
+
+    A document meets windows, windows lead to sets of items, and documents with the same sets
+    share one list of items, so items are written out once for each different list and not for
+    each document.
+    """
+    rows, spots, index = _spotted(keyed(docs, id_col, text_col), benchmark, window, item_col)
+    windows, members = _item_sets(index)
+    met = spots.join(windows, _WINDOW)
+    # Sets, as rows that agree in id and text bring the same windows.
+    spans = met.groupBy("ord", "tag").agg(F.collect_set(F.struct("at", "n")).alias("spans"), F.array_sort(F.collect_set("s")).alias("item_sets"))
+    hit = written(rows.join(spans, ["ord", "tag"], "left").select("doc_id", "n_words", "spans", "item_sets"), "hits")
+    lists = hit.select("item_sets").where(F.col("item_sets").isNotNull()).distinct()
+    each = lists.select("item_sets", F.explode("item_sets").alias("s")).join(members, "s").select("item_sets", "item").distinct()
+    named = each.groupBy("item_sets").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    return arrow_map(hit, _marked, "doc_id long, n_words long, n_hit long, hits binary, item_sets array<long>"), named
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, item_col: str = "item_id", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,26 +190,32 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, item
     one item and a null item_id counts as ''.  With an empty benchmark nothing is hit; an empty
     table gives an empty one; repeated rows have the same hits each.
     """
-    rows, met, index = _met(keyed(docs, id_col, text_col), benchmark, window, item_col)
-    # Sets, as rows that agree in id and text bring the same windows.
-    spans = met.groupBy("ord", "tag").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
-    items = met.select("ord", "tag", *_WINDOW).distinct().join(index, _WINDOW).select("ord", "tag", "item").distinct().groupBy("ord", "tag").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    hit = rows.join(spans, ["ord", "tag"], "left").join(items, ["ord", "tag"], "left")
-    named = hit.select("doc_id", "n_words", "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
-    return arrow_map(named, _marked, "doc_id long, n_words long, n_hit long, hits binary, items array<string>")
+    hit, named = _hits(docs, benchmark, window, item_col, id_col, text_col)
+    return hit.join(named, "item_sets", "left").select("doc_id", "n_words", "n_hit", "hits", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def hit_digest(docs: DataFrame, benchmark: DataFrame, window: int = 10, item_col: str = "item_id", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """benchmark_hits() as plain columns: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    A list of items is digested once, however many documents have it.
+    """
+    hit, named = _hits(docs, benchmark, window, item_col, id_col, text_col)
+    short = written(named.select("item_sets", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")), "lists")
+    told = hit.join(short, "item_sets", "left")
+    return told.select("doc_id", "n_words", "n_hit", F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, item_col: str = "item_id", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no benchmark window occurs, with their columns; rules as in benchmark_hits()."""
-    _, met, _ = _met(keyed(docs, id_col, text_col), benchmark, window, item_col)
-    hit = written(met.select("ord", "tag").distinct(), "contaminated")
+    _, spots, index = _spotted(keyed(docs, id_col, text_col), benchmark, window, item_col)
+    hit = written(spots.join(index.select(*_WINDOW).distinct(), _WINDOW).select("ord", "tag").distinct(), "contaminated")
     plain, names, _ = anonymous(docs)
     doc_id, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
     return plain.withColumns(row_key(F.col(doc_id), F.col(text))).join(hit, ["ord", "tag"], "left_anti").select(*names).toDF(*docs.columns)
 
 
 def digest(hits: DataFrame) -> DataFrame:
-    """The hits as plain columns: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """benchmark_hits() as the columns of hit_digest()."""
     return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
