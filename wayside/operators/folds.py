@@ -71,10 +71,23 @@ def advance(fold: Fold, x: Arrays, begin: np.ndarray, size: np.ndarray, carried:
     return out, {k: v[last : last + 1].copy() for k, v in state.items()}
 
 
-def _stream(fold: Fold, run: str, names: list[str]):
+def _together(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[pa.RecordBatch]:
+    """Batches of ``held`` rows at least, so that more runs go forward together; 0: as they come."""
+    waiting, size = [], 0
+    for b in batches:
+        waiting.append(b)
+        size += b.num_rows
+        if size >= held:
+            yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+            waiting, size = [], 0
+    if waiting:
+        yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+
+
+def _stream(fold: Fold, run: str, names: list[str], held: int = 0):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, carried = None, None
-        for b in batches:
+        for b in _together(batches, held) if held else batches:
             if not b.num_rows:
                 continue
             ends = pc.run_end_encode(b.column(run)).run_ends.to_numpy()
@@ -90,10 +103,13 @@ def _stream(fold: Fold, run: str, names: list[str]):
     return go
 
 
-def along(rows: DataFrame, run: str, order: list[str], fold: Fold) -> DataFrame:
-    """``rows`` with what the fold gives, each run in the order of ``order``; what it reads must not be null."""
+def along(rows: DataFrame, run: str, order: list[str], fold: Fold, held: int = 0) -> DataFrame:
+    """``rows`` with what the fold gives, each run in the order of ``order``; what it reads must not be null.
+
+    held: rows that a task gathers before it goes on, for folds whose steps are many and whose runs are short.
+    """
     sorted_rows = rows.repartition(run).sortWithinPartitions(run, *order)
-    return sorted_rows.mapInArrow(_stream(fold, run, rows.columns), fold.schema(rows))
+    return sorted_rows.mapInArrow(_stream(fold, run, rows.columns, held), fold.schema(rows))
 
 
 def by_run(rows: DataFrame, run: str, order: list[str], make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:

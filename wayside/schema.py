@@ -23,7 +23,7 @@ EVENT = T.StructType(
     ]
 )
 
-# The columns of a prediction and the bits of its mask, as files hold them.
+# Fixed values, here and in FLAGS and the defaults of Settings: columns, bits and limits as files and vehicles have them.
 PREDICTION_COLUMNS = ("stamp", "velocity", "bogie_velocity", "distance", "route_s", "x", "y", "z", "flags", "route", "init_rms", "mx", "my", "mz", "vx", "vy", "vz", "wx", "wy", "wz")
 PREDICTION = T.StructType([T.StructField(c, T.LongType() if c in ("stamp", "flags", "route") else T.DoubleType(), False) for c in PREDICTION_COLUMNS])
 
@@ -76,6 +76,21 @@ class Settings:
     antenna_rear: float = -9.873
     antenna_height: float = 3.0
     chord: float = 7.55
+    speed_scale: float = 1.0
+    corrects: bool = True
+    allow_degraded: bool = True
+    align_initial_position: bool = False
+    output_x: float = 0.0
+    output_z: float = 0.0
+    velocity_x: float = -9.873
+    velocity_z: float = 3.0
+    compensate_lever_arm: bool = False
+    #: Metres off the map from which on a run may have left it; 0: runs never do.
+    departure: float = 0.0
+    departure_angle: float = 10.0
+    least_span: float = 5.0
+    evidence_seconds: float = 3.0
+    bridge_most: float = 100.0
 
     def __post_init__(self) -> None:
         for f in fields(self):
@@ -86,6 +101,10 @@ class Settings:
                 raise ValueError(f"{name} must be positive")
         if not 0 <= self.phase_gain <= 1 or not 0 <= self.degraded_share < 1:
             raise ValueError("phase_gain and degraded_share are shares")
+        if not 0.9 <= self.speed_scale <= 1.1:
+            raise ValueError("speed_scale lies beyond what wheels are calibrated for")
+        if min(self.departure, self.departure_angle, self.least_span, self.evidence_seconds, self.bridge_most) < 0:
+            raise ValueError("limits of departures are not negative")
         if self.future_tolerance < 0:
             raise ValueError("the tolerance is not negative")
         if self.residual_gate > self.innovation_gate:
