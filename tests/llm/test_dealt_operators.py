@@ -261,5 +261,23 @@ def test_groups_are_given(spark):
 
 
 def test_intervals():
-    a, b, shared = alignment.intervals(np.array([2, 5, 9]), np.array([3, 5, 7, 9]))
-    assert list(zip(a.tolist(), b.tolist(), shared.tolist(), strict=True)) == [(0, 0, False), (1, 0, False), (1, 1, True), (2, 2, False), (2, 3, True)]
+    found = alignment.intervals(np.array([2, 5, 9]), np.array([3, 5, 7, 9]))
+    assert list(zip(*(x.tolist() for x in found), strict=True)) == [(2, 0, 0, False), (3, 1, 0, False), (5, 1, 1, True), (7, 2, 2, False), (9, 2, 3, True)]
+
+
+def test_words_are_aligned_once_and_forgotten(monkeypatch):
+    """Words kept, forgotten, alone or in runs have the same alignments."""
+    rng = random.Random(8)
+    paths = [alignment.file_path(f) for f in (alignment.A_FILE, alignment.B_FILE)]
+    texts = ["".join(rng.choice("abé. '\n日<|▁") for _ in range(rng.randrange(1, 60))) for _ in range(300)]
+    words = sorted({w for t in texts for w in alignment._SAFE.split(t)})
+
+    def told(pair, some):
+        pair.renew(set(some))
+        return [(pair.numbers[pair.index[w]].tolist(), pair.groups[pair.index[w]], pair.links[pair.index[w]]) for w in some]
+
+    together = told(alignment.Pair(*paths), words)
+    monkeypatch.setattr(alignment, "RUN", 1)
+    monkeypatch.setattr(alignment, "WORDS", 3)
+    few = alignment.Pair(*paths)
+    assert [told(few, [w])[0] for w in words] == together and len(few.index) <= 4

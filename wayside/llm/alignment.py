@@ -10,9 +10,10 @@ To read them back for a document, the most frequent pairs, at most ``FREQUENT``
 corpus holds, go to every task as sorted arrays; a document's other pairs are joined with the
 table of counts, so hot pairs are never shuffled and none is left out.
 
-Texts are read in pieces of about ``PIECE`` characters, cut before a blank between two visible
-ASCII characters: neither tokenizer's tokens cross such a place, which the loader checks as far
-as it can be read from the vocabularies.
+No token of either side goes on after a blank that stands between two other characters, so there
+both sides share an end; the loader checks that on the vocabularies.  Texts are cut at such
+blanks, each word is aligned once and kept (at most ``WORDS`` words and ``KEPT`` bytes, then a
+worker starts anew), and a document is its words' alignments, one after another.
 """
 
 from __future__ import annotations
@@ -32,9 +33,11 @@ from .tables import arrow_map, batch, written
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 FREQUENT, PIECE, HELD = 1 << 18, 1 << 16, 1 << 21
-_SAFE = re.compile(r"(?<=[!-~]) (?=[!-~])")
-_CROSSING = re.compile(rb"[!-~] ")
+WORDS, KEPT, RUN = 500_000, 96 << 20, 64
+_SAFE = re.compile(r"(?<=\S) (?=\S)")
+_CROSSING = re.compile(r"\S ")
 _SHIFT = 32
+NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_products")
 
 
 def file_path(name: str) -> str:
@@ -58,16 +61,86 @@ class Pair:
         self.a_bytes = [bytes(letters.get(c, 63) for c in names.get(i, "")) for i in range(max(names) + 1)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        if any(_CROSSING.search(x) for k in (self.a_bytes, self.b_bytes) for x in k):
+        if any(_CROSSING.search(x.decode(errors="replace")) for k in (self.a_bytes, self.b_bytes) for x in k):
             raise ValueError("a token crosses the place before a blank: texts cannot be cut there")
         self.a_size, self.b_size = (np.array([len(x) for x in k], np.int64) for k in (self.a_bytes, self.b_bytes))
         # Ids in decimal with what follows them: a comma, or the end of a side.
         self.spelled = [f"{i}{mark}".encode() for k, end in ((self.a_bytes, "|"), (self.b_bytes, ";")) for i in range(len(k)) for mark in (",", end)]
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.numbers, self.groups, self.links, self.kept = np.zeros((1024, len(NUMBERS)), np.int64), [], [], 0
 
     def encode(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Both sides' ids of pieces that begin with a blank."""
         return [e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)], self.b.encode([p[1:] for p in pieces], num_threads=1)
 
+    def renew(self, words: set[str]) -> None:
+        """Every word of ``words`` is in ``index`` afterwards."""
+        new = [w for w in words if w not in self.index]
+        if len(self.index) + len(new) > WORDS or self.kept > KEPT:
+            self.forget()
+            new = list(words)
+        if not new:
+            return
+        begin = len(self.groups)
+        while begin + len(new) > len(self.numbers):
+            self.numbers = np.concatenate([self.numbers, np.zeros_like(self.numbers)])
+        self.index.update(zip(new, range(begin, begin + len(new))))
+        numbers, groups, links = self._align(new)
+        self.numbers[begin : begin + len(new)] = numbers
+        self.groups += groups
+        self.links += links
+        self.kept += sum(map(len, groups)) + sum(map(len, links)) + sum(map(len, new))
+
+    def _align(self, words: list[str]) -> tuple[np.ndarray, list[bytes], list[bytes]]:
+        """Of each word, after a blank: NUMBERS (-1 if a side does not give it back), its groups spelled out, its links as packed keys."""
+        numbers, groups, links = np.full((len(words), len(NUMBERS)), -1, np.int64), [b""] * len(words), [b""] * len(words)
+        whole = [j for j, w in enumerate(words) if not (w[0].isspace() or w[-1].isspace())]
+        alone = sorted(set(range(len(words))) - set(whole))
+        runs = [whole[k : k + RUN] for k in range(0, len(whole), RUN)]
+        for damaged in self._align_runs(words, runs, numbers, groups, links):
+            alone += damaged
+        self._align_runs(words, [[j] for j in alone], numbers, groups, links)
+        return numbers, groups, links
+
+    def _align_runs(self, words: list[str], runs: list[list[int]], numbers: np.ndarray, groups: list[bytes], links: list[bytes]) -> list[list[int]]:
+        """Aligns words set side by side, a run at a time; the runs that a side does not give back."""
+        if not runs:
+            return []
+        cut = [" " + " ".join([words[j] for j in r]) for r in runs]
+        a_ids, b_ids = self.encode(cut)
+        sound = [b"".join([self.a_bytes[i] for i in a]) == b"".join([self.b_bytes[i] for i in b]) == t.encode() for t, a, b in zip(cut, a_ids, b_ids, strict=True)]
+        if any(sound):
+            a, b = (np.array([i for x, ok in zip(ids, sound, strict=True) if ok for i in x], np.int64) for ids in (a_ids, b_ids))
+            self._cut_words(words, [j for r, ok in zip(runs, sound, strict=True) if ok for j in r], a, b, numbers, groups, links)
+        return [r for r, ok in zip(runs, sound, strict=True) if not ok]
+
+    def _cut_words(self, words: list[str], chosen: list[int], a: np.ndarray, b: np.ndarray, numbers: np.ndarray, groups: list[bytes], links: list[bytes]) -> None:
+        a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        word_ends = np.cumsum([len(words[j].encode()) + 1 for j in chosen])
+        ends, at_a, at_b, shared = intervals(a_ends, b_ends)
+        # Where each token stands among groups: the shared ends before its own.
+        closed = a_ends[at_a[shared]]
+        of_a, of_b = np.searchsorted(closed, a_ends), np.searchsorted(closed, b_ends)
+        size_a, size_b = np.bincount(of_a, minlength=len(closed)), np.bincount(of_b, minlength=len(closed))
+        last_a, last_b = np.append(of_a[1:] != of_a[:-1], True), np.append(of_b[1:] != of_b[:-1], True)
+        # Spelling: a group's A ids, then its B ids.
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + (np.cumsum(size_b) - size_b)[of_a]] = 2 * a + last_a
+        order[np.arange(len(b)) + np.cumsum(size_a)[of_b]] = 2 * b + last_b + 2 * len(self.a_bytes)
+        spelled = [self.spelled[i] for i in order.tolist()]
+        keys = (a[at_a] << _SHIFT | b[at_b]).astype("<i8").tobytes()
+        # Every word ends a token of both sides, a group and an interval.
+        ends_a, ends_b, groups_end, links_end = (np.searchsorted(x, word_ends) + 1 for x in (a_ends, b_ends, closed, ends))
+        products = np.concatenate([[0], np.cumsum(size_a * size_b)])[groups_end]
+        numbers[chosen] = np.stack([np.diff(x, prepend=0) for x in (ends_a, ends_b, groups_end, links_end, products)], axis=1)
+        tokens_end, link, token_at, link_at = (ends_a + ends_b).tolist(), (8 * links_end).tolist(), 0, 0
+        for j, token, end in zip(chosen, tokens_end, link, strict=True):
+            groups[j], links[j] = b"".join(spelled[token_at:token])[:-1], keys[link_at:end]
+            token_at, link_at = token, end
+
 
 def _byte_letters() -> dict[int, str]:
     """Byte-level alphabets write bytes that print as themselves and the rest from U+0100 on."""
@@ -97,27 +170,37 @@ def pieces(text: str, size: int = PIECE) -> Iterator[str]:
     yield text[begin:]
 
 
-def intervals(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each elementary interval: its token on either side, and whether both end with it."""
+def intervals(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each elementary interval: its end, its token on either side, and whether both end with it."""
     ends = np.union1d(a_ends, b_ends)
     a, b = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
-    return a, b, (a_ends[a] == ends) & (b_ends[b] == ends)
+    return ends, a, b, (a_ends[a] == ends) & (b_ends[b] == ends)
 
 
 class _Document:
     """What the pieces of one document add up to."""
 
     def __init__(self) -> None:
-        self.sound, self.sha = True, hashlib.sha256()
-        self.n_a = self.n_b = self.n_groups = self.n_links = self.n_products = 0
+        self.sound, self.sha, self.numbers = True, hashlib.sha256(), np.zeros(len(NUMBERS), np.int64)
         self.text: list[bytes] = []
         self.keys, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def add(self, n: list[int], spelled: bytes, keys: np.ndarray, times: np.ndarray, keep: bool) -> None:
-        self.sha.update(b";" + spelled if self.n_a else spelled)
+    @property
+    def empty(self) -> bool:
+        return not self.numbers[0]
+
+    def add(self, pair: Pair, words: list[str], keep: bool) -> None:
+        at = [pair.index[w] for w in words]
+        numbers = pair.numbers[at]
+        self.sound &= bool((numbers[:, 0] >= 0).all())
+        if not self.sound:
+            return
+        spelled = b";".join([pair.groups[i] for i in at])
+        self.sha.update(spelled if self.empty else b";" + spelled)
         if keep:
             self.text.append(spelled)
-        self.n_a, self.n_b, self.n_groups, self.n_links, self.n_products = (x + y for x, y in zip((self.n_a, self.n_b, self.n_groups, self.n_links, self.n_products), n, strict=True))
+        self.numbers = self.numbers + numbers.sum(axis=0)
+        keys, times = np.unique(np.frombuffer(b"".join([pair.links[i] for i in at]), "<i8"), return_counts=True)
         self.keys, self.times = _added((self.keys, self.times), (keys, times)) if len(self.keys) else (keys, times)
 
 
@@ -129,45 +212,6 @@ def _added(*lists: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarra
     return keys, total
 
 
-def _aligned(pair: Pair, cut: list[str], owner: list[int], docs: list[_Document], keep: bool) -> None:
-    """Aligns pieces and adds each to its document."""
-    a_ids, b_ids = pair.encode(cut)
-    for text, a, b, k in zip(cut, a_ids, b_ids, owner, strict=True):
-        raw = text.encode()
-        if docs[k].sound and (b"".join([pair.a_bytes[i] for i in a]) != raw or b"".join([pair.b_bytes[i] for i in b]) != raw):
-            docs[k].sound = False
-    chosen = [j for j, k in enumerate(owner) if docs[k].sound]
-    if not chosen:
-        return
-    n_a, n_b = (np.array([len(ids[j]) for j in chosen]) for ids in (a_ids, b_ids))
-    a, b = (np.concatenate([np.array(ids[j], np.int64) for j in chosen]) for ids in (a_ids, b_ids))
-    a_ends, b_ends = np.cumsum(pair.a_size[a]), np.cumsum(pair.b_size[b])
-    at_a, at_b, shared = intervals(a_ends, b_ends)
-    # Where each token stands among groups: the shared ends before its own.
-    closed = a_ends[at_a[shared]]
-    of_a, of_b = np.searchsorted(closed, a_ends), np.searchsorted(closed, b_ends)
-    size_a, size_b = np.bincount(of_a, minlength=len(closed)), np.bincount(of_b, minlength=len(closed))
-    last_a, last_b = np.append(of_a[1:] != of_a[:-1], True), np.append(of_b[1:] != of_b[:-1], True)
-    # Spelling: a group's A ids, then its B ids.
-    place_a = np.arange(len(a)) + (np.cumsum(size_b) - size_b)[of_a]
-    place_b = np.arange(len(b)) + np.cumsum(size_a)[of_b]
-    order = np.empty(len(a) + len(b), np.int64)
-    order[place_a], order[place_b] = 2 * a + last_a, 2 * b + last_b + 2 * len(pair.a_bytes)
-    spelled = [pair.spelled[i] for i in order.tolist()]
-    piece = np.repeat(np.arange(len(chosen)), n_a)  # of each A token
-    keys = a[at_a] << _SHIFT | b[at_b]
-    edges = np.concatenate([[0], np.cumsum(np.bincount(piece[at_a], minlength=len(chosen)))])
-    ends_a, ends_b = np.cumsum(n_a), np.cumsum(n_b)
-    first_group = 0
-    for m, j in enumerate(chosen):
-        last_group = int(of_a[ends_a[m] - 1]) + 1
-        tokens = slice(int(ends_a[m] - n_a[m] + ends_b[m] - n_b[m]), int(ends_a[m] + ends_b[m]))
-        own, times = np.unique(keys[edges[m] : edges[m + 1]], return_counts=True)
-        products = int((size_a[first_group:last_group] * size_b[first_group:last_group]).sum())
-        docs[owner[j]].add([int(n_a[m]), int(n_b[m]), last_group - first_group, int(edges[m + 1] - edges[m]), products], b"".join(spelled[tokens])[:-1], own, times, keep)
-        first_group = last_group
-
-
 def pack_pairs(keys: np.ndarray, times: np.ndarray) -> bytes:
     """Sorted keys and how often each occurs, deflated: bytes of one weight stand together."""
     steps = np.diff(keys, prepend=0)
@@ -190,21 +234,27 @@ def _align(a_path: str, b_path: str, with_groups: bool):
             for i in range(0, b.num_rows, 64):
                 part = b.slice(i, 64)
                 docs = [_Document() for _ in range(part.num_rows)]
-                cut, owner, held = [], [], 0
-                for k, text in enumerate(part.column("text")):
+                cut: list[tuple[_Document, list[str]]] = []
+                held = 0
+
+                def settle(cut: list[tuple[_Document, list[str]]]) -> None:
+                    pair.renew(set().union(*(words for _, words in cut)))
+                    for doc, words in cut:
+                        if doc.sound:
+                            doc.add(pair, words, with_groups)
+
+                for doc, text in zip(docs, part.column("text"), strict=True):
                     for piece in pieces(text.as_py()) if text.is_valid and text.as_py() else ():
-                        cut.append(piece)
-                        owner.append(k)
+                        cut.append((doc, _SAFE.split(piece[1:])))
                         held += len(piece)
                         if held > 4 * PIECE:
-                            _aligned(pair, cut, owner, docs, with_groups)
-                            cut, owner, held = [], [], 0
-                if cut:
-                    _aligned(pair, cut, owner, docs, with_groups)
+                            settle(cut)
+                            cut, held = [], 0
+                settle(cut)
                 docs = [d if d.sound else _Document() for d in docs]
-                numbers = {n: np.array([getattr(d, n) for d in docs], np.int64) for n in ("n_a", "n_b", "n_groups", "n_links", "n_products")}
+                numbers = dict(zip(NUMBERS, np.stack([d.numbers for d in docs], axis=1), strict=True))
                 texts = {"groups": pa.array([b";".join(d.text).decode() for d in docs], pa.string())} if with_groups else {}
-                yield batch(doc_id=part.column("doc_id"), **numbers, groups_sha256=pa.array([d.sha.hexdigest() if d.n_a else "" for d in docs], pa.string()), pairs=pa.array([pack_pairs(d.keys, d.times) if d.n_a else None for d in docs], pa.binary()), **texts)
+                yield batch(doc_id=part.column("doc_id"), **numbers, groups_sha256=pa.array(["" if d.empty else d.sha.hexdigest() for d in docs], pa.string()), pairs=pa.array([None if d.empty else pack_pairs(d.keys, d.times) for d in docs], pa.binary()), **texts)
 
     return run
 
