@@ -47,18 +47,13 @@ class Fold:
         return ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields), *mine])
 
 
-def advance(fold: Fold, x: Arrays, begin: np.ndarray, size: np.ndarray, carried: Arrays | None = None) -> tuple[Arrays, Arrays]:
-    """What the fold gives for rows of several runs, run after run, and the last run's state.
+def advance_all(fold: Fold, x: Arrays, begin: np.ndarray, size: np.ndarray, states: Arrays) -> tuple[Arrays, Arrays]:
+    """What the fold gives for rows of several runs, run after run, and the states of all after it.
 
-    begin, size: where each run stands.  carried: the state of the first run, if it goes on.
+    begin, size: where each run stands.  states: of all runs before, one row of each array a run.
     """
     order = np.argsort(-size, kind="stable")
-    place = np.empty(len(order), int)
-    place[order] = np.arange(len(order))
-    state = fold.start(len(order))
-    if carried is not None:
-        for k, v in carried.items():
-            state[k][place[0]] = v[0]
+    state = {k: v[order] for k, v in states.items()}
     out = {k: np.zeros(int(size.sum()), _TYPES[v]) for k, v in fold.gives.items()}
     longest = np.sort(size)
     for k in range(int(longest[-1])):
@@ -67,8 +62,19 @@ def advance(fold: Fold, x: Arrays, begin: np.ndarray, size: np.ndarray, carried:
         given = fold.step({n: a[:lanes] for n, a in state.items()}, {n: a[at] for n, a in x.items()})
         for n, a in out.items():
             a[at] = given[n]
-    last = place[-1]
-    return out, {k: v[last : last + 1].copy() for k, v in state.items()}
+    place = np.empty(len(order), int)
+    place[order] = np.arange(len(order))
+    return out, {k: v[place] for k, v in state.items()}
+
+
+def advance(fold: Fold, x: Arrays, begin: np.ndarray, size: np.ndarray, carried: Arrays | None = None) -> tuple[Arrays, Arrays]:
+    """What the fold gives for rows of several runs, and the last run's state; carried: the state of the first run, if it goes on."""
+    states = fold.start(len(size))
+    if carried is not None:
+        for k, v in carried.items():
+            states[k][0] = v[0]
+    out, states = advance_all(fold, x, begin, size, states)
+    return out, {k: v[-1:].copy() for k, v in states.items()}
 
 
 def _together(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[pa.RecordBatch]:

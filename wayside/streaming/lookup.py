@@ -11,63 +11,78 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
-def _rising(stamps: np.ndarray, last: int | None) -> np.ndarray:
+_NEVER = int(np.iinfo(np.int64).min)
+#: Samples of a key that wait, oldest out first.
+MOST = 2048
+
+
+def _rising(stamps: np.ndarray, last: int) -> np.ndarray:
     """Which stamps are above all before them and above ``last``."""
-    before = np.maximum.accumulate(np.concatenate([[np.iinfo(np.int64).min if last is None else last], stamps]))[:-1]
+    before = np.maximum.accumulate(np.concatenate([[last], stamps]))[:-1]
     return stamps > before
 
 
 class Lookup(StatefulProcessor):
-    """Samples from the last question's answer on wait in the state, those from its future among them.
+    """The newest ``most`` samples of a key wait in the state, those from its future among them.
 
-    Questions and samples both rise, so nothing before that answer is asked for again and the
-    state holds no more than what came between two questions or is ahead of the later one.
+    Sample number n stands in slot n modulo ``most`` of a map, so a new one overwrites the oldest
+    and nothing else is written; a key that is never asked for grows no further.  Samples before
+    the answer to the last question are not read again, as questions and samples both rise.
     """
 
-    def __init__(self, key: list[str], most_age: int) -> None:
-        self.key, self.most_age = key, most_age
+    def __init__(self, key: list[str], most_age: int, most: int) -> None:
+        self.key, self.most_age, self.most = key, most_age, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.samples = handle.getListState("samples", "stamp long, value double")
-        self.asked = handle.getValueState("asked", "stamp long")
+        self.slots = handle.getMapState("slots", "slot int", "number long, stamp long, value double")
+        self.marks = handle.getValueState("marks", "first long, count long, newest long, asked long")
+
+    def _held(self, first: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+        """Stamps and values of the samples numbered from ``first`` on, in order."""
+        rows = sorted(tuple(v) for _, v in self.slots.iterator()) if count > first else []
+        rows = [r for r in rows if first <= r[0] < count]
+        return np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], float)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         every = pd.concat(list(rows)).sort_values(["arrival", "id"], kind="stable").reset_index(drop=True)
-        held = list(self.samples.get()) if self.samples.exists() else []
-        known = np.array([r[0] for r in held], np.int64)
+        first, count, newest, asked = self.marks.get() if self.marks.exists() else (0, 0, _NEVER, _NEVER)
         ask = every["ask"].to_numpy(bool)
         new, questions = every[~ask], every[ask]
-        new = new[_rising(new["stamp"].to_numpy(np.int64), int(known[-1]) if len(known) else None)]
-        questions = questions[_rising(questions["stamp"].to_numpy(np.int64), self.asked.get()[0] if self.asked.exists() else None)]
-        stamps = np.concatenate([known, new["stamp"].to_numpy(np.int64)])
-        values = np.concatenate([np.array([r[1] for r in held], float), new["value"].to_numpy(float)])
-        came = np.concatenate([np.full(len(known), -1), new.index.to_numpy()])
-        at = questions["stamp"].to_numpy(np.int64)
-        hit = np.minimum(np.searchsorted(stamps, at, "right"), np.searchsorted(came, questions.index.to_numpy(), "left")) - 1
-        first = 0
-        if len(questions):
-            self.asked.update((int(at[-1]),))
-            first = max(int(hit[-1]), 0)
-        if len(stamps):
-            self.samples.put([(int(s), float(v)) for s, v in zip(stamps[first:], values[first:], strict=True)])
+        new = new[_rising(new["stamp"].to_numpy(np.int64), newest)]
+        questions = questions[_rising(questions["stamp"].to_numpy(np.int64), asked)]
+        stamps, values = new["stamp"].to_numpy(np.int64), new["value"].to_numpy(float)
+        total = count + len(new)
+        first = max(first, count - self.most)
+        known, past = self._held(first, count) if len(questions) else (stamps[:0], values[:0])
+        for k in range(max(0, len(new) - self.most), len(new)):
+            self.slots.updateValue((int((count + k) % self.most),), (count + k, int(stamps[k]), float(values[k])))
         if len(questions):
-            missed = hit < 0
-            if len(stamps):
-                missed |= at - stamps[np.maximum(hit, 0)] > self.most_age
-            found = lambda a, kind: pd.array([None if m else a[h] for m, h in zip(missed, hit, strict=True)], dtype=kind)
-            yield pd.DataFrame({**dict(zip(self.key, key, strict=True)), "id": questions["id"].to_numpy(), "seen": found(stamps, "Int64"), "value": found(values, "Float64")})
+            all_stamps, all_values = np.concatenate([known, stamps]), np.concatenate([past, values])
+            # What had come before a question, of that the newest ``most``, of that the last not after it.
+            came = count + np.searchsorted(new.index.to_numpy(), questions.index.to_numpy())
+            at = questions["stamp"].to_numpy(np.int64)
+            hit = np.minimum(first + np.searchsorted(all_stamps, at, "right"), came) - 1
+            missed = hit < np.maximum(first, came - self.most)
+            place = np.maximum(hit - first, 0)
+            if len(all_stamps):
+                missed |= at - all_stamps[place] > self.most_age
+            first, asked = max(first, int(hit[-1])), int(at[-1])
+            found = lambda a, kind: pd.array([None if m else a[p] for m, p in zip(missed, place, strict=True)], dtype=kind)
+            yield pd.DataFrame({**dict(zip(self.key, key, strict=True)), "id": questions["id"].to_numpy(), "seen": found(all_stamps, "Int64"), "value": found(all_values, "Float64")})
+        self.marks.update((first, total, int(stamps[-1]) if len(new) else newest, asked))
 
     def close(self) -> None:
         pass
 
 
-def lookup(stream: DataFrame, key: list[str], most_age: int, ahead: int) -> DataFrame:
+def lookup(stream: DataFrame, key: list[str], most_age: int, ahead: int, most: int = MOST) -> DataFrame:
     """key, id, seen, value: for each question the newest sample not after it, unless older than ``most_age``.
 
     stream: key, id, ask, stamp, arrival, value (null in no sample), in order of arrival.  Rows
     stamped more than ``ahead`` later than they arrive are refused, as are those that do not
-    rise; a sample from a question's future waits for a later one.
+    rise; a sample from a question's future waits for a later one.  Of more than ``most`` samples
+    that wait, the oldest go.
     """
     kinds = ", ".join(f"{k} {stream.schema[k].dataType.simpleString()}" for k in key)
     usable = stream.where(F.col("stamp") <= F.col("arrival") + ahead).select(*key, "id", "ask", "stamp", "arrival", "value")
-    return usable.groupBy(*key).transformWithStateInPandas(Lookup(key, most_age), outputStructType=f"{kinds}, id long, seen long, value double", outputMode="Append", timeMode="None")
+    return usable.groupBy(*key).transformWithStateInPandas(Lookup(key, most_age, most), outputStructType=f"{kinds}, id long, seen long, value double", outputMode="Append", timeMode="None")

@@ -8,15 +8,17 @@ state is a row of typed columns, one for each number that the fold remembers.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.folds import Arrays, Fold, advance
+from ..operators.folds import Arrays, Fold, advance, advance_all
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -40,6 +42,36 @@ def from_row(fold: Fold, row: tuple) -> Arrays:
     return state
 
 
+def to_bytes(state: Arrays) -> tuple:
+    return (zlib.compress(b"".join(np.ascontiguousarray(a).tobytes() for a in state.values()), 1),)
+
+
+def from_bytes(fold: Fold, row: tuple) -> Arrays:
+    state, at, data = fold.start(1), 0, zlib.decompress(row[0])
+    for a in state.values():
+        a[...] = np.frombuffer(data, a.dtype, a.size, at).reshape(a.shape)
+        at += a.nbytes
+    return state
+
+
+def resetting(fold: Fold, clock: str) -> Fold:
+    """``fold`` that starts anew at each row whose ``clock`` is before that of the row before it; gives also which start it was (``sub_run``)."""
+
+    def start(n: int) -> Arrays:
+        return fold.start(n) | {"_clock": np.full(n, np.iinfo(np.int64).min), "_sub_run": np.zeros(n, np.int64)}
+
+    def step(state: Arrays, x: Arrays) -> Arrays:
+        back = x[clock] < state["_clock"]
+        if back.any():
+            for k, v in fold.start(int(back.sum())).items():
+                state[k][back] = v
+        state["_clock"][...] = x[clock]
+        state["_sub_run"] += back
+        return fold.step({k: v for k, v in state.items() if k not in ("_clock", "_sub_run")}, x) | {"sub_run": state["_sub_run"].copy()}
+
+    return Fold(start, step, tuple(dict.fromkeys((*fold.reads, clock))), fold.gives | {"sub_run": "long"}, fold.keep)
+
+
 class KeyedFold(StatefulProcessor):
     def __init__(self, fold: Fold, order: list[str]) -> None:
         self.fold, self.order = fold, order
@@ -68,6 +100,40 @@ def keyed(stream: DataFrame, key: list[str], fold: Fold, order: tuple[str, ...]
     return stream.groupBy(*key).transformWithStateInPandas(KeyedFold(fold, list(order)), outputStructType=fold.schema(stream), outputMode="Append", timeMode="None")
 
 
+class LanesFold(StatefulProcessor):
+    """Runs of a bucket go forward together; the state of each is a value of its own, read and written only when it has rows."""
+
+    def __init__(self, fold: Fold, run: str, kind: str, order: list[str]) -> None:
+        self.fold, self.run, self.kind, self.order = fold, run, kind, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.states = handle.getMapState("states", f"run {self.kind}", "state binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        every = pd.concat(list(rows)).sort_values([self.run, *self.order], kind="stable").drop(columns="_bucket", errors="ignore")
+        runs, begin, size = np.unique(every[self.run].to_numpy(), return_index=True, return_counts=True)
+        lanes = [from_bytes(self.fold, tuple(self.states.getValue((r,)))) if self.states.containsKey((r,)) else self.fold.start(1) for r in runs.tolist()]
+        before = {k: np.concatenate([s[k] for s in lanes]) for k in lanes[0]}
+        given, after = advance_all(self.fold, {c: every[c].to_numpy() for c in self.fold.reads}, begin, size, before)
+        for j, r in enumerate(runs.tolist()):
+            self.states.updateValue((r,), to_bytes({k: v[j : j + 1] for k, v in after.items()}))
+        out = every.assign(**{k: v for k, v in given.items() if k != self.fold.keep})
+        if self.fold.keep:
+            out = out[given[self.fold.keep]]
+        if len(out):
+            yield out
+
+    def close(self) -> None:
+        pass
+
+
+def in_lanes(stream: DataFrame, run: str, fold: Fold, order: tuple[str, ...] = ("arrival", "id"), buckets: int = 64) -> DataFrame:
+    """keyed() for folds whose steps are many: the runs of a bucket share each step.  A run is never null."""
+    dealt = stream.withColumn("_bucket", F.pmod(F.hash(run), F.lit(buckets)))
+    processor = LanesFold(fold, run, stream.schema[run].dataType.simpleString(), list(order))
+    return dealt.groupBy("_bucket").transformWithStateInPandas(processor, outputStructType=fold.schema(stream), outputMode="Append", timeMode="None")
+
+
 @contextmanager
 def rocksdb(spark: SparkSession):
     """State in RocksDB while a stream is started; the session's own choice comes back."""
