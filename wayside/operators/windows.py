@@ -119,6 +119,28 @@ def regression(events: DataFrame, by: list[str], x: str, y: str, time: str, rows
     return events.withColumn("slope", slope).withColumn("intercept", F.avg(y).over(frame) - F.col("slope") * F.avg(x).over(frame))
 
 
+def course(events: DataFrame, by: list[str], way: str, x: str, y: str, time: str, rows: int, span: int, least_rows: int = 5, least_span: float = 5.0, gain: tuple[float, float] = (0.8, 1.2), worst: float = 1.0, rms: float = 0.5) -> DataFrame:
+    """The course that the last rows of a key agree on: the regression of place on way, and whether its tests hold.
+
+    Of at most ``rows`` rows not older than ``span``: course_n, gain_x and gain_y (metres of place for a
+    metre of way), gain (their size), rms and worst (of what the regression leaves) and sound, which asks
+    for enough rows, a way of ``least_span``, a gain near one and small residuals.  Residuals are of the
+    window's own regression, so each row looks at its window twice; null where way does not vary.
+    """
+    frame = ordered(by, time).rowsBetween(-(rows - 1), 0)
+    held = F.filter(F.collect_list(F.struct(F.col(time).alias("t"), F.col(way).cast("double").alias("d"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))).over(frame), lambda e: e["t"] >= F.col(time) - span)
+    seen = events.withColumn("_e", held).withColumn("course_n", F.size("_e"))
+    total = lambda f: F.aggregate("_e", F.lit(0.0), lambda a, e: a + f(e))
+    middle = seen.withColumns({f"_{c}": total(lambda e, c=c: e[c]) / F.col("course_n") for c in "dxy"})
+    off = lambda e, c: e[c] - F.col(f"_{c}")
+    spread = middle.withColumns({"_v": total(lambda e: off(e, "d") * off(e, "d")), **{f"_c{c}": total(lambda e, c=c: off(e, "d") * off(e, c)) for c in "xy"}})
+    fitted = spread.withColumns({f"gain_{c}": F.when(F.col("_v") > 1e-12, F.col(f"_c{c}") / F.col("_v")) for c in "xy"}).withColumn("gain", F.hypot("gain_x", "gain_y"))
+    miss = F.transform("_e", lambda e: F.hypot(off(e, "x") - F.col("gain_x") * off(e, "d"), off(e, "y") - F.col("gain_y") * off(e, "d")))
+    judged = fitted.withColumn("_m", miss).withColumns({"rms": F.sqrt(F.aggregate("_m", F.lit(0.0), lambda a, m: a + m * m) / F.col("course_n")), "worst": F.array_max("_m"), "_way": F.get("_e", F.col("course_n") - 1)["d"] - F.get("_e", F.lit(0))["d"]})
+    tests = (F.col("course_n") >= least_rows) & (F.col("_way") >= least_span) & F.col("gain").between(*gain) & (F.col("worst") <= worst) & (F.col("rms") <= rms)
+    return judged.withColumn("sound", F.coalesce(tests, F.lit(False))).drop("_e", "_d", "_x", "_y", "_v", "_cx", "_cy", "_m", "_way")
+
+
 def first_window(events: DataFrame, by: list[str], header: str, arrival: str, span: int) -> DataFrame:
     """Rows measured and arrived within ``span`` of the key's first header."""
     first = F.min(header).over(Window.partitionBy(*by))

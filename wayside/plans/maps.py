@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions import route as routes
-from ..operators import fusion
+from ..operators import fusion, matching, models, windows
 from ..schema import Settings
-from .registry import events, query, table
+from .registry import BASE, DAY, events, query, scratch, table
 
 S = Settings()
 ORIGIN = (S.origin_lat, S.origin_lon, S.origin_alt)
@@ -161,26 +163,57 @@ def pose_bisect(spark: SparkSession, d: str) -> DataFrame:
     return placed.select("id", *(F.round(f"p.{c}", 6 if c[0] == "f" else 4).alias(c) for c in ("x", "y", "z", "fx", "fy", "fz")))
 
 
-@query()
+def _pose_sql(shift: float) -> str:
+    """Front pivot and direction ``shift`` metres further on, by id."""
+    moved = _POSE.replace("value * 37.3", f"(value * 37.3 + {shift})")
+    return moved[moved.index("q AS (") :].rstrip()
+
+
+def _antenna(x: float) -> str:
+    """The place of an antenna beside a pose: ``x`` ahead, at the antennas' height."""
+    up = ("-fz * fx / h", "-fz * fy / h", "h")
+    return ", ".join(f"p{c} + {x} * f{c} + {S.antenna_height} * ({u}) AS a{c}" for c, u in zip("xyz", up, strict=True))
+
+
+def _ends_sql(columns: str) -> str:
+    """Two CTEs, lo and hi: ``columns`` of the poses 5 cm before and behind each place."""
+    parts = [_POSE[: _POSE.index("q AS (")].rstrip()]
+    for name, shift in (("lo", -0.05), ("hi", 0.05), ("mid", 0.0)):
+        own = _pose_sql(shift)
+        for cte in "qfhbcde":
+            own = own.replace(f"\n{cte} AS (", f"\n{cte}{name} AS (").replace(f"FROM {cte})", f"FROM {cte}{name})").replace(f"FROM {cte} ", f"FROM {cte}{name} ")
+        own = own.replace("q AS (", f"q{name} AS (", 1).replace("SELECT q.id", f"SELECT q{name}.id").replace("ON q.way", f"ON q{name}.way").replace("SELECT f.*", f"SELECT f{name}.*").replace("SELECT h.id", f"SELECT h{name}.id").replace("wx, h.wy", f"wx, h{name}.wy").replace("h.wx", f"h{name}.wx").replace("h.wz", f"h{name}.wz").replace("p.k = h.k0", f"p.k = h{name}.k0")
+        parts.append(f"{own},\n{name} AS (SELECT id, {columns} FROM (SELECT *, sqrt(fx * fx + fy * fy) AS h FROM e{name}))")
+    return parts[0] + "\n" + ",\n".join(parts[1:])
+
+
+@query(_ends_sql(_antenna(S.antenna_front)) + " SELECT lo.id, round(sqrt((hi.ax - lo.ax) ** 2 + (hi.ay - lo.ay) ** 2) / 0.1, 6) AS factor FROM lo JOIN hi USING (id)")
 def speed_factor(spark: SparkSession, d: str) -> DataFrame:
     way = routes.Route.of(ring(spark, d), closed=True)
-    return events(spark, d).select("id", routes.speed_factor_at(way, F.col("value") * 37.3, S.antenna_front, S.antenna_height).alias("factor"))
+    return events(spark, d).select("id", F.round(routes.speed_factor_at(way, F.col("value") * 37.3, S.antenna_front, S.antenna_height), 6).alias("factor"))
 
 
-@query()
+@query(
+    _ends_sql("px, py, pz, fx, fy, fz, h")
+    + """, d AS (SELECT lo.id, (hi.px - lo.px) * 50 AS dx, (hi.py - lo.py) * 50 AS dy, (hi.pz - lo.pz) * 50 AS dz, atan2(lo.fx * hi.fy - lo.fy * hi.fx, lo.fx * hi.fx + lo.fy * hi.fy) * 50 AS wz, mid.* EXCLUDE id
+  FROM lo JOIN hi USING (id) JOIN mid USING (id))
+SELECT id, round(dx * fx + dy * fy + dz * fz, 5) + 0 AS vx, round((dy * fx - dx * fy) / h, 5) + 0 AS vy, round((-fz * (dx * fx + dy * fy) + dz * h * h) / h, 5) + 0 AS vz, round(wz, 6) + 0 AS wz FROM d"""
+)
 def body_twist(spark: SparkSession, d: str) -> DataFrame:
     way = routes.Route.of(ring(spark, d), closed=True)
-    return events(spark, d).withColumn("t", routes.twist_at(way, F.col("value") * 37.3, F.lit(5.0))).select("id", "t.*")
+    return events(spark, d).withColumn("t", routes.twist_at(way, F.col("value") * 37.3, F.lit(5.0))).select("id", *((F.round(f"t.{c}", 6 if c == "wz" else 5) + 0).alias(c) for c in ("vx", "vy", "vz", "wz")))
 
 
-@query()
+@query(f"{_RING}, t AS (SELECT max(s) AS turn FROM r) SELECT event_id AS id, true AS there, 0::DOUBLE AS distance FROM events, t")
 def project_two_antennas(spark: SparkSession, d: str) -> DataFrame:
+    """there: whether the place found is that from which the antennas were laid out, but for laps and a millimetre; distance: to a centimetre."""
     way = routes.Route.of(ring(spark, d), closed=True)
     placed = events(spark, d).withColumn("p", routes.pose_at(way, F.col("value") * 37.3))
     position, forward = geo.vector("p.x", "p.y", "p.z"), geo.vector("p.fx", "p.fy", "p.fz")
     rear, front = (geo.antenna(position, forward, x, S.antenna_height) for x in (S.antenna_rear, S.antenna_front))
     m = routes.project_antennas(way, rear, front, S.antenna_rear, S.antenna_front, S.antenna_height)
-    return placed.withColumn("m", m).select("id", F.col("m.s").alias("s"), F.col("m.distance").alias("distance"))
+    laps = (F.col("m.s") - F.col("value") * 37.3) / way.end
+    return placed.withColumn("m", m).select("id", (F.abs(laps - F.round(laps)) * way.end < 1e-3).alias("there"), (F.round("m.distance", 2) + 0).alias("distance"))
 
 
 @query("WITH u AS (SELECT event_id AS id, least(greatest(value / 100, 0), 1) AS u FROM events), t AS (SELECT id, 2 * u - 1 AS t, 16 * u * u * (1 - u) * (1 - u) AS e FROM u) SELECT id, round(e, 9) AS l0, round(e * t, 9) AS l1, round(e * (3 * t * t - 1) / 2, 9) AS l2, round(e * (5 * t ** 3 - 3 * t) / 2, 9) AS l3 FROM t")
@@ -254,3 +287,55 @@ def deformed_ring(spark: SparkSession, d: str) -> DataFrame:
     corners = ring(spark, d)
     way = routes.Route.of(corners, closed=True)
     return routes.deformed(corners, way, ["route"], "k", 500.0, 1500.0, [2.0, -1.0, 0.5]).select("k", *((F.round(c, 6) + 0).alias(c) for c in ("x", "y", "s")))
+
+
+# A spiral of a vertex for each order, more than a task should hold, cut to sheets
+
+_SPIRAL = """WITH v AS (SELECT o_orderkey // 5000 AS route, o_orderkey AS k, (50 + o_orderkey * 0.02) * cos(o_orderkey * 0.05) AS x, (50 + o_orderkey * 0.02) * sin(o_orderkey * 0.05) AS y, 0.0 AS z FROM orders),
+seg AS (SELECT route, k, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM v WINDOW w AS (PARTITION BY route ORDER BY k)),
+s AS (SELECT *, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS l FROM seg WHERE x1 IS NOT NULL),
+p AS (SELECT event_id AS id, (value - 50) * 6 AS px, (json_extract(props, '$.k')::INT - 50) * 6.1 AS py, cos(event_id * 0.01) AS hx, sin(event_id * 0.01) AS hy FROM events),
+c AS (SELECT id, ((px - x0) * (x1 - x0) + (py - y0) * (y1 - y0)) / (l * l) AS u, * EXCLUDE id FROM p, s),
+d AS (SELECT id, (x0 + least(greatest(u, 0), 1) * (x1 - x0) - px) ** 2 + (y0 + least(greatest(u, 0), 1) * (y1 - y0) - py) ** 2 + 25 * (1 - ((x1 - x0) * hx + (y1 - y0) * hy) / l) ** 2 AS cost FROM c)
+"""
+
+
+@query(_SPIRAL + "SELECT id, round(min(cost), 4) AS best, round(list_sum(min(cost, 8)), 3) AS eight FROM d GROUP BY id")
+def match_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The cost of each event's best match on a spiral with headings, and of its best eight together, through a grid of segments."""
+    k = F.col("o_orderkey")
+    vertices = table(spark, d, "orders").select(F.floor(k / 5000).alias("route"), k.alias("k"), ((50 + k * 0.02) * F.cos(k * 0.05)).alias("x"), ((50 + k * 0.02) * F.sin(k * 0.05)).alias("y"), F.lit(0.0).alias("z"))
+    e = events(spark, d)
+    asked = e.select("id", ((F.col("value") - 50) * 6).alias("px"), ((F.col("k") - 50) * 6.1).alias("py"), F.lit(0.0).alias("pz"), F.cos(F.col("id") * 0.01).alias("hx"), F.sin(F.col("id") * 0.01).alias("hy"), F.lit(0.0).alias("hz"))
+    found = matching.match(asked, matching.segments_of(vertices), 16.0, scratch(spark, "match"))
+    return found.groupBy("id").agg(F.round(F.min("cost"), 4).alias("best"), F.round(F.sum("cost"), 3).alias("eight"))
+
+
+@query(
+    BASE
+    + """, c AS (SELECT run_id, id, header AS t, header / 3.6e9 AS d, row_number() OVER (PARTITION BY run_id ORDER BY header) AS n, (header / 3.6e9) * 0.7 + k * 0.5 AS x, (header / 3.6e9) * 0.7 - value * 0.3 AS y FROM kept WHERE channel = 'click'),
+w AS (SELECT a.run_id, a.id, b.d, b.x, b.y FROM c a JOIN c b ON a.run_id = b.run_id AND b.n BETWEEN a.n - 7 AND a.n AND b.t >= a.t - 432000000000),
+g AS (SELECT run_id, id, count(*) AS course_n, avg(d) AS md, avg(x) AS mx, avg(y) AS my, CASE WHEN var_pop(d) * count(*) > 1e-12 THEN covar_pop(x, d) / var_pop(d) END AS gx, CASE WHEN var_pop(d) * count(*) > 1e-12 THEN covar_pop(y, d) / var_pop(d) END AS gy, max(d) - min(d) AS way FROM w GROUP BY ALL),
+m AS (SELECT run_id, id, max(course_n) AS course_n, max(gx) AS gx, max(gy) AS gy, max(way) AS way, sqrt(avg((x - mx - gx * (d - md)) ** 2 + (y - my - gy * (d - md)) ** 2)) AS rms, max(sqrt((x - mx - gx * (d - md)) ** 2 + (y - my - gy * (d - md)) ** 2)) AS worst FROM w JOIN g USING (run_id, id) GROUP BY ALL)
+SELECT run_id, id, course_n::INT AS course_n, round(sqrt(gx * gx + gy * gy), 5) AS gain, round(rms, 4) AS rms, round(worst, 4) AS worst, coalesce(course_n >= 4 AND way >= 20 AND sqrt(gx * gx + gy * gy) BETWEEN 0.8 AND 1.2 AND worst <= 25 AND rms <= 16, false) AS sound FROM m"""
+)
+def course_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """The course of each click's last eight within five days, in hours, with all its tests."""
+    from .streams import kept
+
+    hours = F.col("header") / 3.6e9
+    seen = kept(spark, d).where("channel = 'click'").select("run_id", "id", "header", hours.alias("way"), (hours * 0.7 + F.col("k") * 0.5).alias("x"), (hours * 0.7 - F.col("value") * 0.3).alias("y"))
+    found = windows.course(seen, ["run_id"], "way", "x", "y", "header", 8, 5 * DAY, 4, 20.0, worst=25.0, rms=16.0)
+    return found.select("run_id", "id", "course_n", F.round("gain", 5).alias("gain"), F.round("rms", 4).alias("rms"), F.round("worst", 4).alias("worst"), "sound")
+
+
+@query("SELECT 0.4::DOUBLE AS turn, 7.0::DOUBLE AS dx, -3.0::DOUBLE AS dy, count(*) FILTER (WHERE event_id % 10 > 2) AS inliers, 0::BIGINT AS strays FROM events")
+def rigid_inliers(spark: SparkSession, d: str) -> DataFrame:
+    """A turn and a shift recovered from places of which three in ten are wrong; inliers agree to a millimetre."""
+    e = events(spark, d)
+    wild = lambda n: (F.pmod(F.xxhash64("id", F.lit(n)), F.lit(20001)) - 10000) / 50
+    x, y, wrong = F.col("value"), F.col("k") + F.col("id") * 0.001, F.col("id") % 10 < 3
+    pairs = e.select("id", x.alias("x"), y.alias("y"), wrong.alias("wrong"), F.when(wrong, wild(1)).otherwise(x * math.cos(0.4) - y * math.sin(0.4) + 7).alias("u"), F.when(wrong, wild(2)).otherwise(x * math.sin(0.4) + y * math.cos(0.4) - 3).alias("v"))
+    turn, shift, _ = models.rigid_fit(pairs, ("x", "y"), ("u", "v"))
+    miss = F.hypot(F.col("x") * math.cos(turn) - F.col("y") * math.sin(turn) + shift[0] - F.col("u"), F.col("x") * math.sin(turn) + F.col("y") * math.cos(turn) + shift[1] - F.col("v"))
+    return pairs.agg(F.lit(round(turn, 6)).alias("turn"), F.lit(round(shift[0], 4)).alias("dx"), F.lit(round(shift[1], 4)).alias("dy"), F.count_if((miss < 1e-3) & ~F.col("wrong")).alias("inliers"), F.count_if((miss < 1e-3) & F.col("wrong")).alias("strays"))
