@@ -100,3 +100,24 @@ def test_deep_elements_close_where_they_should():
     page = "<div class=menu>" * 50 + "in" + "</div>" * 50 + f"<p>{text}</p>" + "<li class='menu'>item" * 50 + "</li></ul>" + "<p>Still a list.</p>"
     assert htmltext.main_text(page) == text.strip()
     assert htmltext.main_text(f"<div class=ad><div>x</div><p>ad</p></div><p>{text}</p>") == text.strip()
+
+
+def test_copies_of_a_row_are_fingerprinted_once(spark, monkeypatch):
+    from wayside.llm import ctph
+
+    text, other = "some words of a text " * 200, "another text altogether " * 150
+    asked = []
+    counted = lambda texts, f=ctph.fingerprints: asked.append(len(texts)) or f(texts)
+    df = spark.createDataFrame([(1, text)] * 300 + [(2, other), (3, None)], "doc_id long, text string")
+    got = ctph.compare_with_next(df).collect()
+    one, two = ctph.fingerprints([text.encode(), other.encode()])
+    mine = [r for r in got if r.doc_id == 1]
+    assert len(got) == 302 and len(mine) == 300 and {r.fingerprint for r in mine} == {one}
+    # All but the last copy are followed by a copy, the last by the next document.
+    assert sorted(r.near_next for r in mine) == sorted([1.0] * 299 + [ctph.likeness(one, two)])
+    monkeypatch.setattr(ctph, "fingerprints", counted)
+    import pyarrow as pa
+
+    rows = [{"p": 0, "tail": False, "text": text, "doc_id": 1}] * 300 + [{"p": 0, "tail": True, "text": other, "doc_id": 2}]
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema([("p", pa.int32()), ("tail", pa.bool_()), ("text", pa.string()), ("doc_id", pa.int64())]))
+    assert sum(b.num_rows for b in ctph._compare(iter([batch]))) == 300 and sum(asked) < 20

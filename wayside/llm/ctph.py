@@ -15,7 +15,7 @@ also sent to the range before it.  Texts are shuffled once.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -135,25 +135,33 @@ def _edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
+def _once(f: Callable[[list], list], items: list) -> list:
+    """f(items), with repeated items computed once: copies of a document stand side by side."""
+    own = list(dict.fromkeys(items))
+    found = dict(zip(own, f(own), strict=True))
+    return [found[x] for x in items]
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by range and order; the last row of a range only serves the one before it."""
     rows: list[tuple] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
         texts = [r[2] for r in rows]
-        prints = fingerprints([t.encode() for t in texts])
+        prints = _once(fingerprints, [t.encode() for t in texts])
         pairs = [i for i in range(len(rows) - 1) if rows[i][0] == rows[i + 1][0] and not rows[i][1]]
         changed = [_edited(texts[i], texts[i + 1]).encode() for i in pairs]
         if pairs:
-            edited = fingerprints(changed)
+            edited = _once(fingerprints, changed)
+            alike = lambda them: np.array(_once(lambda some: [likeness(a, b) for a, b in some], them))
             yield batch(
                 doc_id=pa.array([rows[i][3] for i in pairs], pa.int64()),
                 n_chars=np.array([len(texts[i]) for i in pairs], np.int64),
                 edited_sha256=[hashlib.sha256(x).hexdigest() for x in changed],
                 fingerprint=[prints[i] for i in pairs],
                 edited_fingerprint=edited,
-                near_edited=np.array([likeness(prints[i], e) for i, e in zip(pairs, edited, strict=True)]),
-                near_next=np.array([likeness(prints[i], prints[i + 1]) for i in pairs]),
+                near_edited=alike([(prints[i], e) for i, e in zip(pairs, edited, strict=True)]),
+                near_next=alike([(prints[i], prints[i + 1]) for i in pairs]),
             )
         del rows[:-1]
 
