@@ -121,3 +121,64 @@ def test_copies_of_a_row_are_fingerprinted_once(spark, monkeypatch):
     rows = [{"p": 0, "tail": False, "text": text, "doc_id": 1}] * 300 + [{"p": 0, "tail": True, "text": other, "doc_id": 2}]
     batch = pa.RecordBatch.from_pylist(rows, pa.schema([("p", pa.int32()), ("tail", pa.bool_()), ("text", pa.string()), ("doc_id", pa.int64())]))
     assert sum(b.num_rows for b in ctph._compare(iter([batch]))) == 300 and sum(asked) < 20
+
+
+PIPELINE = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def run_pipeline(spark, folder, rows, items, clashes=None):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame(rows, PIPELINE)
+    docs.withColumns({c: F.lit(v) for c, v in (clashes or {}).items()}).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return corpus_pipeline.run(spark, f"file://{folder}")
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    from wayside.llm import packing, tokens
+
+    rng = random.Random(12)
+    word = lambda: rng.choice("bcdfg") + rng.choice("aeiou") + rng.choice("lmnrs")
+    prose = [" ".join(word() for _ in range(60)) for _ in range(12)]
+    leaked = f"{prose[9]} {prose[10]}"
+    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(prose[:8])]
+    rows += [(20, prose[0], None, None, None), (20, prose[0], None, None, None), (None, prose[8], "en", None, 0), (None, prose[1], "en", None, 0), (21, None, "en", "s", 0), (22, "", "en", "s", 0), (23, " 123 \n", "en", "s", 0), (24, leaked, "en", "s", 0)]
+    items = [("b", prose[10]), (None, None), ("e", "")]
+    got = run_pipeline(spark, tmp_path / "odd", rows, items, {"ord": 1, "tag": "x", "component": 3, "score": 0.5, "lang_pred": "zz", "start": 9})
+    # Copies lose their line to their first document, and of what has no words left one stays; rows without an id come last; no text, no letter and a leak go.
+    want = {(k, t) for k, t in enumerate(prose[:8])} | {(None, prose[8]), (20, "")}
+    enc = tokens.encoder(tokens.tokenizer_path())
+    sizes = sorted(((k, n) for k, t in want for n in packing.pieces(len(enc.encode([t.encode()])[0]) // 4 + 1)), key=repr)
+    assert sorted(((r.doc_id, r.length) for r in got.collect()), key=repr) == sizes
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    assert run_pipeline(spark, tmp_path / "none", [], []).count() == 0
+    assert run_pipeline(spark, tmp_path / "no_text", [(1, None, None, None, None), (2, "", "en", "s", 0)], [("b", "some words")]).count() == 0
+
+
+def test_texts_that_no_language_fits_go(spark):
+    from wayside.llm import langid
+
+    rows = [(k, " ".join(random.Random(k).choices(["the", "then", "other", "words"] if k % 2 else ["die", "dann", "andere", "worte"], k=30)), "en" if k % 2 else "de", "s", 0) for k in range(60)]
+    docs = spark.createDataFrame([*rows, (99, "the words", "en", "s", 0)], PIPELINE)
+    model = langid.train(docs)
+    scores = {r.doc_id: r.score for r in langid.predict(docs, model).collect()}
+    least = sorted(scores.values())[3]
+    kept = {r.doc_id for r in langid.keep_known(docs, model, least).collect()}
+    assert kept == {k for k, s in scores.items() if s >= least} and 0 < len(scores) - len(kept) <= 3
+
+
+def test_records_of_odd_tables(spark, tmp_path):
+    from wayside.llm import records
+
+    rows = [(3, "three words here", 1, "x"), (None, "no id", 1, "x"), (3, "three words here", 1, "x"), (1, None, 1, "x"), (None, None, 1, "x"), (2, "", 1, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, start int, shard string")
+    path = f"file://{tmp_path}/records"
+    shards = records.write_records(docs, path)
+    got = records.read_records(spark, path, shards).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [1, 2, 3, 3, None, None] and got[0].n_tokens == got[1].n_tokens == 1
+    assert got[2].n_tokens == got[3].n_tokens > 1 and got[2].ids_crc32 == got[3].ids_crc32
+    ends = [r.start + r.n_tokens for r in got]
+    assert [r.start for r in got] == [0, *ends[:-1]]
