@@ -2,7 +2,9 @@
 
 Every stage's rows are written as Parquet to the shared folder and read again by the next, so
 a lost executor costs tasks of one stage at most.  All stages but the last return the columns
-of ``documents``; the last returns the pieces of packed sequences.
+of ``documents``, under whatever names further ones have; the last returns the pieces of packed
+sequences.  Rows without an id are documents too and come after all others; repeated rows are
+copies, of which the third stage keeps one.  Empty tables pass through.
 """
 
 from __future__ import annotations
@@ -19,27 +21,30 @@ SHINGLE, LEAST, WORDS, RADIUS, MINIMA = 5, 0.8, 2, 32, 6
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts in no language: null or without a letter."""
+    """Drops texts in no language: null, without a letter, or with a prediction scored below ``langid.LEAST_SCORE``.
+
+    Where no row has a language to learn from, every text with a letter stays.
+    """
     return langid.keep_known(docs, langid.train(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that an earlier document holds; n_chars counts what is left."""
+    """Drops lines of ten characters or more that an earlier document holds; n_chars counts what is left, which may be nothing."""
     return linededup.drop_lines(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest doc_id of each group of near copies."""
+    """Keeps the document of smallest doc_id of each group of near copies; texts without words are copies of each other."""
     return simhash.keep_first(docs, simhash.groups(docs, SHINGLE, RADIUS, WORDS, repeats=False, minima=MINIMA, least=LEAST))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of a benchmark item."""
+    """Drops documents that hold a window of a benchmark item; an empty benchmark drops none."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences."""
+    """Packs what is left into sequences; an empty text is its end id alone."""
     return packing.pack(docs)
 
 
