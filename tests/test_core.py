@@ -317,3 +317,11 @@ def test_streams_do_not_depend_on_how_the_table_is_stored(spark, tmp_path, name)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_value_that_is_not_known_is_not_carried_forward(spark):
+    from wayside.operators import windows
+
+    df = spark.createDataFrame([(1, 2.0, 0.1, 1.0), (2, None, 0.1, 1.0), (3, 2.0, None, 1.0), (4, 2.0, 0.1, None), (5, 1.0, 9.0, -9.0)], "id long, v double, a double, s double")
+    got = df.select("id", windows.extrapolate(F.col("v"), F.col("a"), F.col("s"), 0.3).alias("x"))
+    assert rows(got, "id", "x") == [(1, 2.1), (2, None), (3, None), (4, None), (5, 0.0)]

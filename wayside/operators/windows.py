@@ -53,8 +53,9 @@ def slope_horizon(by: list[str], value: str, time: str, horizon: int, limit: flo
 
 
 def extrapolate(value: Column, age: Column, slope: Column, most: float) -> Column:
-    """The value carried forward by its slope for ``most`` seconds at most, never negative."""
-    return F.greatest(F.lit(0.0), value + F.least(age, F.lit(most)) * slope)
+    """The value carried forward by its slope for ``most`` seconds at most, never negative; null if any of the three is."""
+    carried = value + F.when(age.isNotNull(), F.least(age, F.lit(most))) * slope
+    return F.when(carried.isNotNull(), F.greatest(F.lit(0.0), carried))
 
 
 def trapezoid(events: DataFrame, by: list[str], value: str, time: str, out: str = "distance") -> DataFrame:
