@@ -165,6 +165,14 @@ def test_estimates_of_a_table(spark, together):
         assert np.array_equal(own["flags"], want["flags"]) and np.array_equal(own["distance"], want["distance"]) and np.array_equal(own["route_s"], want["route_s"])
         free = (want["flags"] & FLAGS["off_map"]) != 0
         assert np.allclose(own["x"][free], want["free_x"][free]) and np.allclose(own["mz"][want["route"] >= 0], 153.0)
+    # Slices of a few seconds, and batches that end anywhere, change nothing.
+    held_before = live.SLICE
+    try:
+        live.SLICE = 3
+        sliced = live.estimate(df, "run", [LINE], s, rules=rules, samples=64, opening=64, held=700).orderBy("run", "stamp").toPandas()
+    finally:
+        live.SLICE = held_before
+    assert sliced.equals(got)
     assert live.estimate(df.limit(0), "run", [LINE], s).count() == 0
     odd = df.limit(3).withColumn("stamp", F.lit(None).cast("long"))
     assert live.estimate(odd, "run", [LINE], s).count() == 0

@@ -14,7 +14,8 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 Arrays = dict[str, np.ndarray]
 _TYPES = {"double": np.float64, "int": np.int32, "long": np.int64, "boolean": np.bool_}
@@ -78,7 +79,7 @@ def advance(fold: Fold, x: Arrays, begin: np.ndarray, size: np.ndarray, carried:
 
 
 def _together(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[pa.RecordBatch]:
-    """Batches of ``held`` rows at least, so that more runs go forward together; 0: as they come."""
+    """Batches of ``held`` rows at least, so that more runs go forward together."""
     waiting, size = [], 0
     for b in batches:
         waiting.append(b)
@@ -90,10 +91,10 @@ def _together(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[pa.Recor
         yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
 
 
-def _stream(fold: Fold, run: str, names: list[str], held: int = 0):
+def _stream(fold: Fold, run: str, names: list[str]):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, carried = None, None
-        for b in _together(batches, held) if held else batches:
+        for b in batches:
             if not b.num_rows:
                 continue
             ends = pc.run_end_encode(b.column(run)).run_ends.to_numpy()
@@ -109,13 +110,50 @@ def _stream(fold: Fold, run: str, names: list[str], held: int = 0):
     return go
 
 
-def along(rows: DataFrame, run: str, order: list[str], fold: Fold, held: int = 0) -> DataFrame:
-    """``rows`` with what the fold gives, each run in the order of ``order``; what it reads must not be null.
+def along(rows: DataFrame, run: str, order: list[str], fold: Fold) -> DataFrame:
+    """``rows`` with what the fold gives, each run in the order of ``order``; what it reads must not be null."""
+    sorted_rows = rows.repartition(run).sortWithinPartitions(run, *order)
+    return sorted_rows.mapInArrow(_stream(fold, run, rows.columns), fold.schema(rows))
+
+
+def _sliced(fold: Fold, run: str, names: list[str], held: int):
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index: dict[object, int] = {}
+        pool = fold.start(0)
+        gives = [k for k in fold.gives if k != fold.keep]
+        for b in _together((x for x in batches if x.num_rows), held):
+            edges = np.flatnonzero(np.diff(b.column("_slice").to_numpy())) + 1
+            for first, end in zip([0, *edges.tolist()], [*edges.tolist(), b.num_rows], strict=True):
+                part = b.slice(first, end - first)
+                ends = pc.run_end_encode(part.column(run)).run_ends.to_numpy()
+                begin = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+                runs = part.column(run).take(pa.array(begin)).to_pylist()
+                for r in runs:
+                    index.setdefault(r, len(index))
+                size = len(next(iter(pool.values())))
+                if len(index) > size:  # doubled, so that growing costs no more than what is there
+                    more = fold.start(max(len(index), 2 * size) - size)
+                    pool = {k: np.concatenate([v, more[k]]) for k, v in pool.items()}
+                at = np.array([index[r] for r in runs])
+                x = {c: part.column(c).to_numpy(zero_copy_only=False) for c in fold.reads}
+                out, states = advance_all(fold, x, begin, np.diff(np.append(begin, part.num_rows)), {k: v[at] for k, v in pool.items()})
+                for k, v in states.items():
+                    pool[k][at] = v
+                made = pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *(pa.array(out[k]) for k in gives)], [*names, *gives])
+                yield made.filter(pa.array(out[fold.keep])) if fold.keep else made
+
+    return go
+
+
+def along_slices(rows: DataFrame, run: str, order: list[str], fold: Fold, time: str, length: int, held: int) -> DataFrame:
+    """along() for folds whose steps are many: the runs of a partition go forward side by side, a slice of time after another.
 
-    held: rows that a task gathers before it goes on, for folds whose steps are many and whose runs are short.
+    A run's slices of ``length`` count from its first ``time``, by which ``order`` must begin.  A task holds
+    the states of all its runs, and rows of one slice, ``held`` of them at most; so long runs share steps too.
     """
-    sorted_rows = rows.repartition(run).sortWithinPartitions(run, *order)
-    return sorted_rows.mapInArrow(_stream(fold, run, rows.columns, held), fold.schema(rows))
+    began = F.min(time).over(Window.partitionBy(run))
+    sliced = rows.repartition(run).withColumn("_slice", F.floor((F.col(time) - began) / length).cast("long"))
+    return sliced.sortWithinPartitions("_slice", run, *order).mapInArrow(_sliced(fold, run, rows.columns, held), fold.schema(rows))
 
 
 def by_run(rows: DataFrame, run: str, order: list[str], make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
