@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from wayside.plans import files, maps, perturbations, registry, reports, streaming, streams, trips, worlds  # noqa: F401
+from wayside.plans import ends, files, maps, perturbations, registry, reports, streaming, streams, trips, worlds  # noqa: F401
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
