@@ -7,8 +7,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from wayside.operators import extensions, ladder, models
-from wayside.plans import registry, worlds
+from wayside.operators import extensions, ladder, models, observer
+from wayside.plans import perturbations, registry, trips, worlds
+from wayside.schema import PREDICTION, Settings
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -146,3 +147,39 @@ def test_even_steps_of_odd_runs(spark):
     beyond = extensions.even_steps(df, "run", "at", ["x"], 1.0, F.lit(-1.0), F.lit(4.0)).orderBy("i").collect()
     assert [r.x for r in beyond] == [3.0, 3.0, 4.0, 5.0, 5.0]
     assert extensions.even_steps(df, "run", "at", ["x"], 1.0, F.lit(4.0), F.lit(4.0)).count() == 0
+
+
+@pytest.mark.parametrize("wrong", [{"slip_accel": 1.0}, {"slip_accel": 1.0, "slip_decel": 1.0, "longest_slip": 0.0}, {"release_hold": -1.0}, {"slip_decel": float("nan")}])
+def test_rules_of_slips_that_make_no_sense_are_refused(wrong):
+    with pytest.raises(ValueError):
+        observer.Rules(**wrong)
+
+
+def test_the_first_window_is_bounded():
+    assert Settings(init_seconds=30.0).init_seconds == 30.0
+    with pytest.raises(ValueError):
+        Settings(init_seconds=31.0)
+
+
+def test_coverage_sees_a_place_that_comes_later_or_not_at_all(spark):
+    kinds = {f.name: f.dataType.simpleString() for f in PREDICTION.fields}
+    zero = {c: 0 if k == "bigint" else 0.0 for c, k in kinds.items()}
+    rows = [(arm, run, *({**zero, "stamp": trips.BEGIN + k, "flags": 8 if k == 0 else 0}.values())) for arm in perturbations.ARMS for run in (1, 2) for k in range(3)]
+    made = spark.createDataFrame(rows, "arm string, run_id long, " + ", ".join(f"{c} {k}" for c, k in kinds.items())).cache()
+    found = lambda df: {(r.arm, r.invariant): r.violations for r in trips.run_invariants(df).where("violations > 0").collect()}
+    one = (F.col("arm") == "bias") & (F.col("run_id") == 2)
+    late = one & (F.col("stamp") == trips.BEGIN + 1)
+    assert found(made) == {}
+    assert found(made.withColumn("flags", F.when(late, F.lit(8)).otherwise(F.col("flags")))) == {("bias", "coverage"): 1, ("bias", "publication"): 1}
+    assert found(made.withColumn("x", F.when(late, 9.0).otherwise(F.col("x")))) == {("bias", "publication"): 1}
+    assert found(made.where(~one)) == {("bias", "coverage"): 1, ("bias", "publication"): 1}
+    assert found(made.withColumn("flags", F.lit(8).cast("long"))) == {}
+
+
+def test_support_of_odd_rows(spark):
+    row = lambda run, place, error=1.0, cosine=1.0: (run, place, error, cosine)
+    rows = [row("sound", float(p)) for p in range(20, 30)] + [row("sound", 95.0)] + [row("off", float(p), 3.0) for p in range(20, 30)] + [row("few", 25.0)] + [row("far", float(p)) for p in range(20, 30)]
+    rows += [row("null", None), row("null", 25.0, None), row("null", 25.0, 1.0, float("nan")), row("edge", 10.0), row("edge", 40.0)]
+    df = spark.createDataFrame(rows, "run string, place double, error double, cosine double")
+    made = {r.run: (r.central_count, r.central_rmse, r.local_count, r.status) for r in models.support(df, "run", "place", "error", "cosine", [(0.0, 50.0)], 10.0, (5.0, 5.0), 90.0, 100.0, least=10).collect()}
+    assert made == {"sound": (10, 1.0, 1, "eligible"), "off": (10, 3.0, 0, "rejected"), "few": (1, 1.0, 0, "rejected"), "far": (10, 1.0, 0, "no_local_rows"), "null": (0, None, 0, "rejected"), "edge": (0, None, 0, "rejected")}

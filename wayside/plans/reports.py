@@ -155,6 +155,20 @@ def eligible_runs(spark: SparkSession, d: str) -> DataFrame:
     return rounded(models.eligible(rows, "run_id", "e", "l_quantity", 10, 30, 20, 3.2), "rmse")
 
 
+@query(
+    """WITH r AS (SELECT l_suppkey AS run_id, l_partkey % 40 * 25 + l_quantity AS place, abs(l_discount * 100 - 5) AS error, 1 - l_tax / 2 AS cosine FROM lineitem),
+g AS (SELECT *, cosine > 0.975 AND error < 5 AND ((place > 0 + 50 AND place < 400 - 50) OR (place > 600 + 50 AND place < 900 - 50)) AS central,
+  cosine > 0.975 AND error < 5 AND (place - 700) - 1000 * floor((place - 700) / 1000) BETWEEN 430 AND 650 AS near FROM r),
+s AS (SELECT run_id, count_if(central) AS central_count, sqrt(avg(error * error) FILTER (central)) AS central_rmse, count_if(near) AS near FROM g GROUP BY run_id)
+SELECT run_id, central_count::BIGINT AS central_count, round(central_rmse, 4) AS central_rmse, CASE WHEN central_count >= 100 AND central_rmse < 2.4 THEN near ELSE 0 END::BIGINT AS local_count,
+  CASE WHEN NOT coalesce(central_count >= 100 AND central_rmse < 2.4, false) THEN 'rejected' WHEN near = 0 THEN 'no_local_rows' ELSE 'eligible' END AS status FROM s"""
+)
+def central_support(spark: SparkSession, d: str) -> DataFrame:
+    """Which suppliers' lines may teach a stretch of a loop of 1,000: by their own support elsewhere on it."""
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("run_id"), (F.col("l_partkey") % 40 * 25 + F.col("l_quantity")).alias("place"), F.abs(F.col("l_discount") * 100 - 5).alias("error"), (1 - F.col("l_tax") / 2).alias("cosine"))
+    return rounded(models.support(rows, "run_id", "place", "error", "cosine", [(0.0, 400.0), (600.0, 900.0)], 50.0, (430.0, 650.0), 700.0, 1000.0, 100, 2.4, 0.975, 5.0), "central_rmse")
+
+
 @query("SELECT l_orderkey, l_linenumber, round(greatest(0, l_quantity + least(greatest(l_tax * 100 - 4, -1.5), 1.5)), 6) AS v FROM lineitem")
 def clipped_candidate(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", r6(models.clipped_residual(F.col("l_quantity"), F.col("l_tax") * 100 - 4, 1.5)).alias("v"))

@@ -101,6 +101,8 @@ class Settings:
                 raise ValueError(f"{name} must be positive")
         if not 0 <= self.phase_gain <= 1 or not 0 <= self.degraded_share < 1:
             raise ValueError("phase_gain and degraded_share are shares")
+        if self.init_seconds > 30:
+            raise ValueError("the first window is no longer than half a minute")
         if not 0.9 <= self.speed_scale <= 1.1:
             raise ValueError("speed_scale lies beyond what wheels are calibrated for")
         if min(self.departure, self.departure_angle, self.least_span, self.evidence_seconds, self.bridge_most) < 0:
