@@ -3,7 +3,10 @@
 import math
 import random
 
-from wayside.operators import matching
+import numpy as np
+from pyspark.sql import functions as F
+
+from wayside.operators import folds, matching
 from wayside.plans import trips, worlds
 
 from .test_recordings import dense, segments
@@ -42,3 +45,21 @@ def test_ticks_of_worlds_are_not_broadcast(spark):
         # Runs with their block's speed are as few as suppliers; ticks are 601 times as many.
         joined = [line for line in plan(made).splitlines() if "BroadcastHashJoin" in line]
         assert all("block" in line for line in joined)
+
+
+def test_a_task_holds_the_states_of_one_group_of_runs(spark, monkeypatch):
+    """Running sums of 300 runs, and how many states were held at once."""
+    monkeypatch.setattr(folds, "LANES", 20)
+
+    def start(n):
+        return {"sum": np.zeros(n), "held": np.zeros(n, np.int64)}
+
+    def step(state, x):
+        state["sum"] += x["v"]
+        return {"total": state["sum"].copy(), "lanes": np.full(len(x["v"]), len(x["v"]))}
+
+    rows = spark.range(6000).select((F.col("id") % 300).alias("run"), F.floor(F.col("id") / 300).alias("at"), (F.col("id") % 7).cast("double").alias("v"))
+    got = folds.along_slices(rows, "run", ["at"], folds.Fold(start, step, ("v",), {"total": "double", "lanes": "long"}), 3, 1000).toPandas()
+    assert got["lanes"].max() <= 60 and got["lanes"].max() > 5
+    want = got.sort_values(["run", "at"]).groupby("run")["v"].cumsum()
+    assert (got.sort_values(["run", "at"])["total"] == want).all() and len(got) == 6000
