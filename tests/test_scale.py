@@ -4,10 +4,12 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from wayside.operators import folds, matching
 from wayside.plans import trips, worlds
+from wayside.streaming import state
 
 from .test_recordings import dense, segments
 
@@ -63,3 +65,22 @@ def test_a_task_holds_the_states_of_one_group_of_runs(spark, monkeypatch):
     assert got["lanes"].max() <= 60 and got["lanes"].max() > 5
     want = got.sort_values(["run", "at"]).groupby("run")["v"].cumsum()
     assert (got.sort_values(["run", "at"])["total"] == want).all() and len(got) == 6000
+
+
+def test_a_bucket_of_a_stream_loads_few_states_at_once(monkeypatch):
+    monkeypatch.setattr(state, "LANES", 3, raising=False)
+    most = []
+
+    def step(s, x):
+        most.append(len(x["v"]))
+        s["sum"] += x["v"]
+        return {"total": s["sum"].copy()}
+
+    class Kept(dict):
+        containsKey, getValue, updateValue = dict.__contains__, dict.__getitem__, dict.__setitem__
+
+    lanes = state.LanesFold(folds.Fold(lambda n: {"sum": np.zeros(n)}, step, ("v",), {"total": "double"}), "run", "long", ["at"])
+    lanes.states = Kept()
+    rows = pd.DataFrame({"run": [k % 10 for k in range(100)], "at": range(100), "v": [float(k % 7) for k in range(100)]})
+    got = pd.concat([b for half in (rows[:45], rows[45:]) for b in lanes.handleInputRows((0,), iter([half]), None)]).sort_values("at")
+    assert max(most) == 3 and np.array_equal(got["total"], rows.groupby("run")["v"].cumsum())
