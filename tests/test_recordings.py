@@ -77,6 +77,20 @@ def test_the_last_messages_of_each_topic(spark, tmp_path):
     assert rows(kept, "topic", "id", "arrival") == sorted(w for t in ("/a", "/b") for w in [x for x in want if x[0] == t][-5:])
 
 
+def test_many_recordings_share_tasks_and_files_of_the_sink(spark, tmp_path):
+    runs = 3 * 96
+    df = spark.range(runs * 2).selectExpr("cast(id % %d as string) as run_id" % runs, "'/a' as topic", "'T' as type", "id as arrival", "cast(cast(id as string) as binary) as payload")
+    recordings.record(df, f"{tmp_path}/in").collect()
+    reader = recordings._Reader(f"{tmp_path}/in")
+    offset = reader.latestOffset()
+    assert len(offset) == runs and len(reader.partitions({}, offset)) <= 96 and reader.partitions(offset, offset) == []
+    stream = recordings.read_stream(spark, f"{tmp_path}/in")
+    recordings.write_stream(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    assert len(os.listdir(f"{tmp_path}/out/rows")) <= 96
+    made = recordings.committed(spark, f"{tmp_path}/out", stream.schema)
+    assert rows(made, "run_id", "id", "arrival") == sorted(((str(k % runs), k // runs + 1, k) for k in range(2 * runs)), key=repr)
+
+
 def segments(spark, lines):
     vertices = [(r, k, *map(float, p)) for r, line in enumerate(lines) for k, p in enumerate(line)]
     return matching.segments_of(spark.createDataFrame(vertices, "route int, k int, x double, y double, z double"))

@@ -16,9 +16,11 @@ import json
 import os
 import sqlite3
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import closing, contextmanager
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -32,6 +34,11 @@ from .bags import SCHEMA
 
 #: Messages of a topic that a reader who comes late still gets.
 DEPTH = 100
+#: Tasks of a micro-batch at most, and rows that a task holds.
+TASKS, ROWS = 96, 10_000
+#: Nanoseconds after which a file's time tells that it has not been written since.
+SETTLED = 2_000_000_000
+_ARROW = pa.schema([("run_id", pa.string()), ("path", pa.string()), ("id", pa.int64()), ("topic", pa.string()), ("type", pa.string()), ("arrival", pa.int64()), ("payload", pa.binary())])
 
 
 def _store(path: str) -> tuple[pafs.FileSystem, str]:
@@ -57,38 +64,75 @@ def _opened(fs: pafs.FileSystem, path: str):
 
 
 @dataclass
-class _Span(InputPartition):
-    path: str
-    after: int
-    last: int
+class _Spans(InputPartition):
+    """Files by their path below the folder, of each the ids after one up to another."""
+
+    files: list[tuple[str, int, int]]
+
+
+def _name(base: str, path: str) -> str:
+    return path.removeprefix(f"{base.rstrip('/')}/")
 
 
 class _Reader(DataSourceStreamReader):
+    """A task reads many files, so tasks and the files of the sink are as many however many recordings there are."""
+
     def __init__(self, path: str) -> None:
         self.root = path
+        self.known: dict[str, tuple[tuple, int]] = {}
 
     def initialOffset(self) -> dict:
         return {}
 
     def latestOffset(self) -> dict:
+        """The last id of each file; those whose size and time (and those of their log) stand are not opened again."""
         fs, base = _store(self.root)
-        out = {}
-        for f in fs.get_file_info(pafs.FileSelector(base, recursive=True)):
-            if f.path.endswith(".db3"):
-                with _opened(fs, f.path) as db:
-                    out[f.path] = db.execute("SELECT coalesce(max(id), 0) FROM messages").fetchone()[0]
-        return out
+        found = {f.path: f for f in fs.get_file_info(pafs.FileSelector(base, recursive=True))}
+        now = time.time_ns()
+
+        def last(path: str) -> tuple[str, int]:
+            parts = [found[p] for p in (path, f"{path}-wal") if p in found]
+            stands = [(f.size, f.mtime_ns) for f in parts]
+            if path in self.known and self.known[path][0] == stands:
+                return _name(base, path), self.known[path][1]
+            with _opened(fs, path) as db:
+                most = db.execute("SELECT coalesce(max(id), 0) FROM messages").fetchone()[0]
+            if all(f.mtime_ns is not None and f.mtime_ns < now - SETTLED for f in parts):
+                self.known[path] = stands, most
+            return _name(base, path), most
+
+        with ThreadPoolExecutor(8) as pool:
+            return dict(pool.map(last, (p for p in found if p.endswith(".db3"))))
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [_Span(path, start.get(path, 0), last) for path, last in sorted(end.items()) if last > start.get(path, 0)]
+        """Neighbouring files share a task, about as many messages in each."""
+        base = _store(self.root)[1]
+        begun = {_name(base, path): last for path, last in start.items()}  # whole paths in older checkpoints
+        new = [(name, begun.get(name, 0), last) for name, last in sorted((_name(base, p), last) for p, last in end.items()) if last > begun.get(name, 0)]
+        total, before, dealt = sum(last - after for _, after, last in new), 0, {}
+        for name, after, last in new:
+            dealt.setdefault(before * TASKS // total, []).append((name, after, last))
+            before += last - after
+        return [_Spans(files) for files in dealt.values()]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        fs, base = _store(self.root)
+        held: list[tuple] = []
+        for name, after, last in partition.files:
+            path = f"{base.rstrip('/')}/{name}"
+            run = os.path.basename(os.path.dirname(path))
+            with _opened(fs, path) as db:
+                for row in db.execute("SELECT m.id, t.name, t.type, m.timestamp, m.data FROM messages m JOIN topics t ON t.id = m.topic_id WHERE m.id > ? AND m.id <= ? ORDER BY m.id", (after, last)):
+                    held.append((run, path, *row))
+                    if len(held) >= ROWS:
+                        yield _batch(held)
+                        held = []
+        if held:
+            yield _batch(held)
+
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        fs, _ = _store(self.root)
-        run = os.path.basename(os.path.dirname(partition.path))
-        with _opened(fs, partition.path) as db:
-            rows = db.execute("SELECT m.id, t.name, t.type, m.timestamp, m.data FROM messages m JOIN topics t ON t.id = m.topic_id WHERE m.id > ? AND m.id <= ? ORDER BY m.id", (partition.after, partition.last))
-            for id_, topic, kind, arrival, data in rows:
-                yield run, partition.path, id_, topic, kind, arrival, data
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
 
 class RecordingSource(DataSource):
@@ -205,21 +249,20 @@ def record(rows: DataFrame, path: str) -> DataFrame:
         run = key[0].as_py()
         own = rows_.sort_by([("arrival", "ascending"), ("topic", "ascending"), ("payload", "ascending")])
         topics = sorted(set(zip(own.column("topic").to_pylist(), own.column("type").to_pylist(), strict=True)))
-        with tempfile.TemporaryDirectory() as local:
-            db = sqlite3.connect(f"{local}/x.db3")
+        number = {t: k + 1 for k, (t, _) in enumerate(topics)}
+        messages = zip(*(own.column(c).to_pylist() for c in ("topic", "arrival", "payload")), strict=True)
+        with closing(sqlite3.connect(":memory:")) as db:
             db.execute("CREATE TABLE topics (id INTEGER PRIMARY KEY, name TEXT, type TEXT)")
             db.execute("CREATE TABLE messages (id INTEGER PRIMARY KEY, topic_id INTEGER, timestamp INTEGER, data BLOB)")
             db.executemany("INSERT INTO topics VALUES (?, ?, ?)", [(k + 1, *t) for k, t in enumerate(topics)])
-            number = {t: k + 1 for k, (t, _) in enumerate(topics)}
-            db.executemany("INSERT INTO messages VALUES (?, ?, ?, ?)", [(k + 1, number[t], a, p) for k, (t, a, p) in enumerate(zip(*(own.column(c).to_pylist() for c in ("topic", "arrival", "payload")), strict=True))])
+            db.executemany("INSERT INTO messages VALUES (?, ?, ?, ?)", ((k + 1, number[t], a, p) for k, (t, a, p) in enumerate(messages)))
             db.commit()
-            db.close()
-            fs.create_dir(f"{base}/{run}", recursive=True)
-            unfinished = f"{base}/{run}/.{uuid.uuid4().hex}"
-            with open(f"{local}/x.db3", "rb") as f, fs.open_output_stream(unfinished) as out:
-                while block := f.read(1 << 20):
-                    out.write(block)
-            fs.move(unfinished, f"{base}/{run}/messages.db3")
+            whole = db.serialize()
+        fs.create_dir(f"{base}/{run}", recursive=True)
+        unfinished = f"{base}/{run}/.{uuid.uuid4().hex}"
+        with fs.open_output_stream(unfinished) as out:
+            out.write(whole)
+        fs.move(unfinished, f"{base}/{run}/messages.db3")
         return pa.table({"run_id": [run], "n": pa.array([own.num_rows], pa.int64())})
 
     return rows.select("run_id", "topic", "type", "arrival", "payload").groupBy("run_id").applyInArrow(write, "run_id string, n long")
