@@ -14,11 +14,12 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.folds import LANES, Arrays, Fold, advance, advance_all
+from ..operators.folds import LANES, Arrays, Fold, advance_all
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -72,19 +73,74 @@ def resetting(fold: Fold, clock: str) -> Fold:
     return Fold(start, step, tuple(dict.fromkeys((*fold.reads, clock))), fold.gives | {"sub_run": "long"}, fold.keep)
 
 
+#: Pages that the keys of a stream are dealt to: a call a page and micro-batch, however many keys there are.
+PAGES = 512
+
+
+def by_page(stream: DataFrame, key: list[str]):
+    """``stream`` in groups of many keys; keys of a group are null in the same columns, so a column's type stands."""
+    nulls = sum((F.col(k).isNull().cast("long") * (1 << i) for i, k in enumerate(key)), F.lit(0))
+    return stream.withColumn("_page", F.pmod(F.xxhash64(*key), F.lit(PAGES)) + PAGES * nulls).groupBy("_page")
+
+
+def lanes(known: pd.DataFrame | None, rows: pd.DataFrame, key: list[str]) -> tuple[np.ndarray, pd.DataFrame]:
+    """The place of each row's key among the keys of its page, and these: those known first, in their order."""
+    both = rows[key] if known is None else pd.concat([known, rows[key]])
+    place = both.groupby(key, sort=False, dropna=False).ngroup().to_numpy()
+    _, first = np.unique(place, return_index=True)
+    return place[len(both) - len(rows) :], both.iloc[first].reset_index(drop=True)
+
+
+def packed(columns: dict[str, pd.Series | np.ndarray]) -> bytes:
+    """Columns of one length as Arrow's bytes, NaN kept where numbers come from numpy."""
+    table = pa.table({k: pa.Array.from_pandas(v) if isinstance(v, pd.Series) else pa.array(v) for k, v in columns.items()})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
+def numbers(table: pa.Table, names: list[str]) -> list[np.ndarray]:
+    return [table.column(n).to_numpy().copy() for n in names]
+
+
 class KeyedFold(StatefulProcessor):
-    def __init__(self, fold: Fold, order: list[str]) -> None:
-        self.fold, self.order = fold, order
+    """Keys of a page go forward together; their states are one value, a row of typed columns for each."""
+
+    def __init__(self, fold: Fold, key: list[str], order: list[str]) -> None:
+        self.fold, self.key, self.order = fold, key, order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", state_schema(self.fold))
+        self.page = handle.getValueState("page", "states binary")
+
+    def _load(self) -> tuple[pd.DataFrame | None, Arrays]:
+        if not self.page.exists():
+            return None, self.fold.start(0)
+        held = unpacked(self.page.get()[0])
+        n, states = held.num_rows, {}
+        for k, a in self.fold.start(0).items():
+            width = int(np.prod(a.shape[1:]))
+            states[k] = np.stack(numbers(held, [f"{k}_{i}" for i in range(width)]), axis=1).reshape(n, *a.shape[1:]).astype(a.dtype)
+        return held.select(self.key).to_pandas(), states
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        every = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        before = from_row(self.fold, tuple(self.state.get())) if self.state.exists() else None
-        x = {c: every[c].to_numpy() for c in self.fold.reads}
-        given, after = advance(self.fold, x, np.zeros(1, int), np.array([len(every)]), before)
-        self.state.update(to_row(after))
+        every = pd.concat(list(rows), ignore_index=True).drop(columns="_page", errors="ignore")
+        known, states = self._load()
+        lane, keys = lanes(known, every, self.key)
+        more = self.fold.start(len(keys) - len(next(iter(states.values()))))
+        states = {k: np.concatenate([v, more[k]]) for k, v in states.items()}
+        every["_lane"] = lane
+        every = every.sort_values(["_lane", *self.order], kind="stable")
+        here, begin, size = np.unique(every.pop("_lane").to_numpy(), return_index=True, return_counts=True)
+        given, after = advance_all(self.fold, {c: every[c].to_numpy() for c in self.fold.reads}, begin, size, {k: v[here] for k, v in states.items()})
+        for k, v in after.items():
+            states[k][here] = v
+        flat = {f"{k}_{i}": np.ascontiguousarray(c) for k, v in states.items() for i, c in enumerate(v.reshape(len(keys), -1).T)}
+        self.page.update((packed({**{k: keys[k] for k in self.key}, **flat}),))
         out = every.assign(**{k: v for k, v in given.items() if k != self.fold.keep})
         if self.fold.keep:
             out = out[given[self.fold.keep]]
@@ -96,8 +152,8 @@ class KeyedFold(StatefulProcessor):
 
 
 def keyed(stream: DataFrame, key: list[str], fold: Fold, order: tuple[str, ...] = ("arrival", "id")) -> DataFrame:
-    """``fold`` over each key of a stream or a table, rows in ``order`` within a micro-batch."""
-    return stream.groupBy(*key).transformWithStateInPandas(KeyedFold(fold, list(order)), outputStructType=fold.schema(stream), outputMode="Append", timeMode="None")
+    """``fold`` over each key of a stream, rows in ``order`` within a micro-batch; for states of few numbers (see in_lanes())."""
+    return by_page(stream, key).transformWithStateInPandas(KeyedFold(fold, key, list(order)), outputStructType=fold.schema(stream), outputMode="Append", timeMode="None")
 
 
 class LanesFold(StatefulProcessor):
