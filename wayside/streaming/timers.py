@@ -14,22 +14,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from .state import by_page, lanes, numbers, packed, unpacked
+
 
 def _millis(micros: int) -> int:
     return -(-micros // 1000)
 
 
 class _Timed(StatefulProcessor):
-    """A key's rows in order of time, and one timer at most."""
+    """The keys of a page (see state.by_page), their rows in order of time, and one timer for what is due first of all."""
 
     def __init__(self, key: list[str], time: str, order: list[str]) -> None:
         self.key, self.time, self.order = key, time, [time, *order]
 
-    def _rows(self, rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        return pd.concat(list(rows)).sort_values(self.order, kind="stable")
-
-    def _arm(self, micros: int | None) -> None:
-        wanted = None if micros is None else _millis(micros)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.page = handle.getValueState("page", "keys binary, waiting binary")
+
+    def _load(self, names: list[str]) -> tuple[pd.DataFrame | None, list[np.ndarray]]:
+        """The keys of the page and of each key the columns ``names``."""
+        if not self.page.exists():
+            return None, [np.zeros(0, np.int64) for _ in names]
+        held = unpacked(self.page.get()[0])
+        return held.select(self.key).to_pandas(), numbers(held, names)
+
+    def _save(self, keys: pd.DataFrame, waiting: bytes = b"", **columns: np.ndarray) -> None:
+        self.page.update((packed({**{k: keys[k] for k in self.key}, **columns}), waiting))
+
+    def _rows(self, rows: Iterator[pd.DataFrame], known: pd.DataFrame | None) -> tuple[pd.DataFrame, np.ndarray, pd.DataFrame]:
+        """Rows key by key in order, the place of each one's key, and the keys."""
+        every = pd.concat(list(rows), ignore_index=True)
+        lane, keys = lanes(known, every, self.key)
+        every = every.assign(_lane=lane).sort_values(["_lane", *self.order], kind="stable")
+        return every, every["_lane"].to_numpy(), keys
+
+    def _arm(self, times: np.ndarray) -> None:
+        wanted = _millis(int(times.min())) if len(times) else None
         for t in list(self.handle.listTimers()):
             t = t[0] if isinstance(t, tuple) else t
             if t == wanted:
@@ -39,9 +59,8 @@ class _Timed(StatefulProcessor):
         if wanted is not None:
             self.handle.registerTimer(wanted)
 
-    def _out(self, key: tuple, **columns: object) -> pd.DataFrame:
-        n = len(next(iter(columns.values())))
-        return pd.DataFrame({**{k: [v] * n for k, v in zip(self.key, key, strict=True)}, **columns})
+    def _out(self, keys: pd.DataFrame, lane: np.ndarray, **columns: np.ndarray) -> pd.DataFrame:
+        return keys.iloc[lane].reset_index(drop=True).assign(**columns)
 
     def close(self) -> None:
         pass
@@ -54,72 +73,87 @@ class FallbackTicks(_Timed):
         super().__init__(key, time, [])
         self.quiet, self.step = quiet, step
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.due = handle.getValueState("due", "tick long")
+    def _ticks(self, due: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ticks there are from each ``due`` on before ``end``, and all of them."""
+        n = np.maximum(-((due - end) // self.step), 0)
+        return n, np.repeat(due, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * self.step
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        times = self._rows(rows)[self.time].to_numpy(np.int64)
-        due = np.concatenate([[self.due.get()[0] if self.due.exists() else times[0]], times[:-1] + self.quiet])
-        ticks = np.concatenate([np.arange(a, b, self.step) for a, b in zip(due.tolist(), times.tolist(), strict=True)])
-        following = int(times[-1]) + self.quiet
-        self.due.update((following,))
-        self._arm(following)
+        known, (held,) = self._load(["due"])
+        every, lane, keys = self._rows(rows, known)
+        times = every[self.time].to_numpy(np.int64)
+        first = np.diff(lane, prepend=-1) != 0
+        due = np.zeros(len(keys), np.int64)
+        due[lane[first]] = times[first]
+        due[: len(held)] = held
+        n, ticks = self._ticks(np.where(first, due[lane], np.roll(times, 1) + self.quiet), times)
+        last = np.diff(lane, append=len(keys)) != 0
+        due[lane[last]] = times[last] + self.quiet
+        self._save(keys, due=due)
+        self._arm(due)
         if len(ticks):
-            yield self._out(key, tick=ticks)
+            yield self._out(keys, np.repeat(lane, n), tick=ticks)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mark, due = timerValues.getCurrentWatermarkInMs() * 1000, self.due.get()[0]
-        ticks = np.arange(due, mark + 1, self.step)
-        following = due + len(ticks) * self.step
-        self.due.update((int(following),))
-        self.handle.registerTimer(_millis(int(following)))
+        keys, (due,) = self._load(["due"])
+        n, ticks = self._ticks(due, np.full(len(due), timerValues.getCurrentWatermarkInMs() * 1000 + 1))
+        due = due + n * self.step
+        self._save(keys, due=due)
+        self.handle.registerTimer(_millis(int(due.min())))
         if len(ticks):
-            yield self._out(key, tick=ticks)
+            yield self._out(keys, np.repeat(np.arange(len(keys)), n), tick=ticks)
 
 
 class OpeningWindow(_Timed):
     """The first ``length`` of a key, summed up once it is over, by a later row or by time alone.
 
-    At most ``most`` values wait, the newest; how many there were is counted on.
+    At most ``most`` values of a key wait, the newest; how many there were is counted on.
     """
 
     def __init__(self, key: list[str], time: str, value: str, length: int, most: int) -> None:
         super().__init__(key, time, ["id"])
         self.value, self.length, self.most = value, length, most
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.window = handle.getValueState("window", "end long, n long, closed boolean")
-        self.values = handle.getListState("values", "value double")
-
-    def _close(self, key: tuple, end: int, n: int, values: np.ndarray) -> pd.DataFrame:
-        self.window.update((end, n, True))
-        self.values.clear()
-        return self._out(key, ends=[end], n=[n], middle=[float(np.median(values))])
+    def _values(self) -> pd.DataFrame:
+        """lane and value of all that wait, oldest first."""
+        data = self.page.get()[1] if self.page.exists() else b""
+        return unpacked(data).to_pandas() if len(data) else pd.DataFrame({"lane": np.zeros(0, np.int64), "value": np.zeros(0)})
+
+    def _close(self, over: np.ndarray, keys: pd.DataFrame, end: np.ndarray, n: np.ndarray, closed: np.ndarray, values: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Those that are ``over`` come out and need no values any more."""
+        middle = values.groupby("lane")["value"].median()
+        closed |= over
+        values = values[~closed[values["lane"].to_numpy()]]
+        self._save(keys, packed({"lane": values["lane"].to_numpy(), "value": values["value"].to_numpy()}), end=end, n=n, closed=closed)
+        if over.any():
+            lane = np.flatnonzero(over)
+            yield self._out(keys, lane, ends=end[lane], n=n[lane], middle=middle.loc[lane].to_numpy())
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        every = self._rows(rows)
-        times, values = every[self.time].to_numpy(np.int64), every[self.value].to_numpy(float)
-        end, n, closed = self.window.get() if self.window.exists() else (int(times[0]) + self.length, 0, False)
-        if closed:
-            return
-        held = np.array([r[0] for r in self.values.get()] if n else [], float)
-        inside = times <= end
-        n += int(inside.sum())
-        held = np.concatenate([held, values[inside]])[-self.most :]
-        if not inside.all():
-            self._arm(None)
-            yield self._close(key, end, n, held)
-            return
-        self.window.update((end, n, False))
-        self.values.put([(float(v),) for v in held])
-        self._arm(end + 1)
+        known, (end, n, closed) = self._load(["end", "n", "closed"])
+        every, lane, keys = self._rows(rows, known)
+        times, new = every[self.time].to_numpy(np.int64), len(keys) - len(end)
+        first = np.diff(lane, prepend=-1) != 0
+        begin = np.zeros(len(keys), np.int64)
+        begin[lane[first]] = times[first]
+        end, n, closed = np.concatenate([end, begin[len(end) :] + self.length]), np.concatenate([n, np.zeros(new, np.int64)]), np.concatenate([closed, np.zeros(new, bool)]).astype(bool)
+        takes = ~closed[lane]
+        inside = takes & (times <= end[lane])
+        n += np.bincount(lane[inside], minlength=len(keys))
+        values = pd.concat([self._values(), pd.DataFrame({"lane": lane[inside], "value": every[self.value].to_numpy(float)[inside]})], ignore_index=True)
+        over = np.zeros(len(keys), bool)
+        over[lane[takes & ~inside]] = True
+        yield from self._close(over, keys, end, n, closed, values.groupby("lane").tail(self.most))
+        self._arm(end[~closed] + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end, n, closed = self.window.get()
-        if not closed:
-            yield self._close(key, end, n, np.array([r[0] for r in self.values.get()], float))
+        keys, (end, n, closed) = self._load(["end", "n", "closed"])
+        closed = closed.astype(bool)
+        mark = timerValues.getCurrentWatermarkInMs()
+        over = ~closed & (-((-end - 1) // 1000) <= mark)
+        yield from self._close(over, keys, end, n, closed, self._values())
+        if not closed.all():
+            self.handle.registerTimer(_millis(int(end[~closed].min()) + 1))
 
 
 def _kinds(stream: DataFrame, key: list[str]) -> str:
@@ -128,7 +162,7 @@ def _kinds(stream: DataFrame, key: list[str]) -> str:
 
 def _timed(stream: DataFrame, key: list[str], time: str, delay: str, processor: StatefulProcessor, schema: str) -> DataFrame:
     marked = stream.withColumn("_time", F.timestamp_micros(time)).withWatermark("_time", delay)
-    return marked.groupBy(*key).transformWithStateInPandas(processor, outputStructType=f"{_kinds(stream, key)}, {schema}", outputMode="Append", timeMode="EventTime")
+    return by_page(marked, key).transformWithStateInPandas(processor, outputStructType=f"{_kinds(stream, key)}, {schema}", outputMode="Append", timeMode="EventTime")
 
 
 def fallback_ticks(stream: DataFrame, key: list[str], time: str, quiet: int, step: int, delay: str) -> DataFrame:
