@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wayside.operators import folds, matching
 from wayside.plans import trips, worlds
-from wayside.streaming import state
+from wayside.streaming import lookup, state, timers
 
 from .test_recordings import dense, segments
 
@@ -84,3 +84,84 @@ def test_a_bucket_of_a_stream_loads_few_states_at_once(monkeypatch):
     rows = pd.DataFrame({"run": [k % 10 for k in range(100)], "at": range(100), "v": [float(k % 7) for k in range(100)]})
     got = pd.concat([b for half in (rows[:45], rows[45:]) for b in lanes.handleInputRows((0,), iter([half]), None)]).sort_values("at")
     assert max(most) == 3 and np.array_equal(got["total"], rows.groupby("run")["v"].cumsum())
+
+
+class Value:
+    """A value of a state store, or its timers."""
+
+    def __init__(self):
+        self.held, self.timers = None, set()
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def update(self, row):
+        self.held = row
+
+    def getValueState(self, *_):
+        return self
+
+    def listTimers(self):
+        return list(self.timers)
+
+    def registerTimer(self, t):
+        self.timers.add(t)
+
+    def deleteTimer(self, t):
+        self.timers.discard(t)
+
+
+def test_keys_of_a_page_go_forward_in_one_call():
+    steps = []
+
+    def step(s, x):
+        steps.append(len(x["v"]))
+        s["sum"] += x["v"][:, None] * [1, 2]
+        return {"total": s["sum"][:, 1].copy()}
+
+    fold = folds.Fold(lambda n: {"sum": np.zeros((n, 2))}, step, ("v",), {"total": "double"})
+    rows = pd.DataFrame({"run": [(1 << 60) + k % 50 for k in range(200)], "channel": [None] * 200, "at": range(200), "v": [float(k % 7) for k in range(200)]})
+    page, got = state.KeyedFold(fold, ["run", "channel"], ["at"]), []
+    page.init(Value())
+    for part in (rows[:120], rows[120:]):
+        got += list(page.handleInputRows((0,), iter([part]), None))
+    got = pd.concat(got).sort_values("at")
+    assert len(steps) == 5 and max(steps) == 50
+    assert np.array_equal(got["run"], rows["run"]) and np.array_equal(got["total"], 2 * rows.groupby("run")["v"].cumsum())
+
+
+def test_a_page_of_ticks_and_windows_keeps_one_timer():
+    rows = pd.DataFrame({"run": [k % 50 for k in range(100)], "id": range(100), "at": [1_000_000 * (k % 50 + 20 * (k // 50)) for k in range(100)], "value": [float(k) for k in range(100)]})
+    for processor in (timers.FallbackTicks(["run"], "at", 5_000_000, 2_000_000), timers.OpeningWindow(["run"], "at", "value", 60_000_000, 9)):
+        store = Value()
+        processor.init(store)
+        got = list(processor.handleInputRows((0,), iter([rows]), None))
+        assert len(store.timers) == 1
+        if got:  # from 5 s on every 2 s, before the next row at 20 s
+            want = sorted((r, 1_000_000 * (r + t)) for r in range(50) for t in range(5, 20, 2))
+            assert sorted(zip(got[0]["run"], got[0]["tick"], strict=True)) == want
+
+
+def test_questions_of_a_page_are_answered_by_their_own_key():
+    rng = random.Random(4)
+    told = [{"run": f"r{rng.randrange(9)}", "id": k, "ask": rng.random() < 0.4, "stamp": k * 3 + rng.randrange(12), "arrival": k, "value": float(k)} for k in range(400)]
+    page = lookup.Lookup(["run"], 20, 4)
+    page.init(Value())
+    frame, got = pd.DataFrame(told), {}
+    for part in (frame[:150], frame[150:170], frame[170:]):
+        for made in page.handleInputRows((0,), iter([part]), None):
+            got |= {i: None if pd.isna(s) else (s, v) for i, s, v in zip(made["id"], made["seen"], made["value"], strict=True)}
+    want, held, newest, asked = {}, {}, {}, {}
+    for r in told:
+        k = r["run"]
+        if not r["ask"]:
+            if r["stamp"] > newest.get(k, -1):
+                held[k], newest[k] = [*held.get(k, []), (r["stamp"], r["value"])][-4:], r["stamp"]
+        elif r["stamp"] > asked.get(k, -1):
+            asked[k] = r["stamp"]
+            past = [s for s in held.get(k, []) if s[0] <= r["stamp"]]
+            want[r["id"]] = past[-1] if past and r["stamp"] - past[-1][0] <= 20 else None
+    assert got == want

@@ -10,66 +10,75 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from .state import by_page, lanes, numbers, packed, unpacked
 
 _NEVER = int(np.iinfo(np.int64).min)
 #: Samples of a key that wait, oldest out first.
 MOST = 2048
 
 
-def _rising(stamps: np.ndarray, last: int) -> np.ndarray:
-    """Which stamps are above all before them and above ``last``."""
-    before = np.maximum.accumulate(np.concatenate([[last], stamps]))[:-1]
-    return stamps > before
+def _rising(stamps: np.ndarray, lane: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Which stamps are above all of their lane before them and above its ``last``; rows lie lane by lane."""
+    most = pd.Series(stamps).groupby(lane).cummax()
+    before = most.groupby(lane).shift(1, fill_value=_NEVER).to_numpy()
+    return stamps > np.maximum(before, last[lane])
 
 
 class Lookup(StatefulProcessor):
-    """The newest ``most`` samples of a key wait in the state, those from its future among them.
+    """The newest ``most`` samples of each key of a page (see state.by_page) wait, those from its future among them.
 
-    Sample number n stands in slot n modulo ``most`` of a map, so a new one overwrites the oldest
-    and nothing else is written; a key that is never asked for grows no further.  Samples before
-    the answer to the last question are not read again, as questions and samples both rise.
+    Samples before the answer to a key's last question go, as questions and samples both rise.
     """
 
     def __init__(self, key: list[str], most_age: int, most: int) -> None:
         self.key, self.most_age, self.most = key, most_age, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.slots = handle.getMapState("slots", "slot int", "number long, stamp long, value double")
-        self.marks = handle.getValueState("marks", "first long, count long, newest long, asked long")
-
-    def _held(self, first: int, count: int) -> tuple[np.ndarray, np.ndarray]:
-        """Stamps and values of the samples numbered from ``first`` on, in order."""
-        rows = sorted(tuple(v) for _, v in self.slots.iterator()) if count > first else []
-        rows = [r for r in rows if first <= r[0] < count]
-        return np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], float)
+        self.page = handle.getValueState("page", "marks binary, samples binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        every = pd.concat(list(rows)).sort_values(["arrival", "id"], kind="stable").reset_index(drop=True)
-        first, count, newest, asked = self.marks.get() if self.marks.exists() else (0, 0, _NEVER, _NEVER)
+        every = pd.concat(list(rows), ignore_index=True)
+        known, old = None, pd.DataFrame({"lane": np.zeros(0, np.int64), "number": np.zeros(0, np.int64), "stamp": np.zeros(0, np.int64), "value": np.zeros(0)})
+        first, count, newest, asked = (np.zeros(0, np.int64) for _ in range(4))
+        if self.page.exists():
+            marks, samples = (unpacked(x) for x in self.page.get())
+            known, (first, count, newest, asked), old = marks.select(self.key).to_pandas(), numbers(marks, ["_first", "_count", "_newest", "_asked"]), samples.to_pandas()
+        lane, keys = lanes(known, every, self.key)
+        grown = lambda a, v: np.concatenate([a, np.full(len(keys) - len(a), v, np.int64)])
+        first, count, newest, asked = grown(first, 0), grown(count, 0), grown(newest, _NEVER), grown(asked, _NEVER)
+        every = every.assign(_lane=lane).sort_values(["_lane", "arrival", "id"], kind="stable").reset_index(drop=True)
         ask = every["ask"].to_numpy(bool)
         new, questions = every[~ask], every[ask]
-        new = new[_rising(new["stamp"].to_numpy(np.int64), newest)]
-        questions = questions[_rising(questions["stamp"].to_numpy(np.int64), asked)]
-        stamps, values = new["stamp"].to_numpy(np.int64), new["value"].to_numpy(float)
-        total = count + len(new)
-        first = max(first, count - self.most)
-        known, past = self._held(first, count) if len(questions) else (stamps[:0], values[:0])
-        for k in range(max(0, len(new) - self.most), len(new)):
-            self.slots.updateValue((int((count + k) % self.most),), (count + k, int(stamps[k]), float(values[k])))
+        new = new[_rising(new["stamp"].to_numpy(np.int64), new["_lane"].to_numpy(), newest)]
+        questions = questions[_rising(questions["stamp"].to_numpy(np.int64), questions["_lane"].to_numpy(), asked)]
+        mine = new["_lane"].to_numpy()
+        rank = new.groupby("_lane").cumcount().to_numpy(np.int64)
+        held = pd.concat([old, pd.DataFrame({"lane": mine, "number": count[mine] + rank, "stamp": new["stamp"].to_numpy(np.int64), "value": new["value"].to_numpy(float)})], ignore_index=True).sort_values(["lane", "number"], kind="stable")
+        at_lane, stamps, values, number = (held[c].to_numpy() for c in ("lane", "stamp", "value", "number"))
+        total = count + np.bincount(mine, minlength=len(keys))
+        first = np.maximum(first, count - self.most)
         if len(questions):
-            all_stamps, all_values = np.concatenate([known, stamps]), np.concatenate([past, values])
+            q, at = questions["_lane"].to_numpy(), questions["stamp"].to_numpy(np.int64)
             # What had come before a question, of that the newest ``most``, of that the last not after it.
-            came = count + np.searchsorted(new.index.to_numpy(), questions.index.to_numpy())
-            at = questions["stamp"].to_numpy(np.int64)
-            hit = np.minimum(first + np.searchsorted(all_stamps, at, "right"), came) - 1
-            missed = hit < np.maximum(first, came - self.most)
-            place = np.maximum(hit - first, 0)
-            if len(all_stamps):
-                missed |= at - all_stamps[place] > self.most_age
-            first, asked = max(first, int(hit[-1])), int(at[-1])
-            found = lambda a, kind: pd.array([None if m else a[p] for m, p in zip(missed, place, strict=True)], dtype=kind)
-            yield pd.DataFrame({**dict(zip(self.key, key, strict=True)), "id": questions["id"].to_numpy(), "seen": found(all_stamps, "Int64"), "value": found(all_values, "Float64")})
-        self.marks.update((first, total, int(stamps[-1]) if len(new) else newest, asked))
+            came = count[q] + np.searchsorted(new.index.to_numpy(), questions.index.to_numpy()) - np.searchsorted(mine, q)
+            _, order = np.unique(np.concatenate([stamps, at]), return_inverse=True)
+            wide = len(order) + 1
+            until = np.searchsorted(at_lane * wide + order[: len(stamps)], q * wide + order[len(stamps) :], "right")
+            begin = np.searchsorted(at_lane, q)
+            low = number[np.minimum(begin, len(number) - 1)] if len(number) else np.zeros(len(q), np.int64)
+            hit = np.minimum(np.where(until > begin, low + until - begin, first[q]), came) - 1
+            missed = hit < np.maximum(first[q], came - self.most)
+            place = np.minimum(np.maximum(begin + hit - low, begin), max(len(number) - 1, 0))
+            found_at, found = (stamps[place], values[place]) if len(number) else (np.zeros(len(q), np.int64), np.zeros(len(q)))
+            missed |= ~missed & (at - found_at > self.most_age)
+            last = np.diff(q, append=len(keys)) != 0
+            first[q[last]], asked[q[last]] = np.maximum(first[q[last]], hit[last]), at[last]
+            told = keys.iloc[q].reset_index(drop=True)
+            yield told.assign(id=questions["id"].to_numpy(), seen=pd.arrays.IntegerArray(np.where(missed, 0, found_at), missed), value=pd.arrays.FloatingArray(np.where(missed, 0.0, found), missed.copy()))
+        np.maximum.at(newest, mine, new["stamp"].to_numpy(np.int64))
+        kept = number >= np.maximum(first, total - self.most)[at_lane]
+        marks = packed({**{k: keys[k] for k in self.key}, "_first": first, "_count": total, "_newest": newest, "_asked": asked})
+        self.page.update((marks, packed({"lane": at_lane[kept], "number": number[kept], "stamp": stamps[kept], "value": values[kept]})))
 
     def close(self) -> None:
         pass
@@ -85,4 +94,4 @@ def lookup(stream: DataFrame, key: list[str], most_age: int, ahead: int, most: i
     """
     kinds = ", ".join(f"{k} {stream.schema[k].dataType.simpleString()}" for k in key)
     usable = stream.where(F.col("stamp") <= F.col("arrival") + ahead).select(*key, "id", "ask", "stamp", "arrival", "value")
-    return usable.groupBy(*key).transformWithStateInPandas(Lookup(key, most_age, most), outputStructType=f"{kinds}, id long, seen long, value double", outputMode="Append", timeMode="None")
+    return by_page(usable, key).transformWithStateInPandas(Lookup(key, most_age, most), outputStructType=f"{kinds}, id long, seen long, value double", outputMode="Append", timeMode="None")
