@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from wayside.operators import folds, matching
+from wayside.operators import extensions, folds, matching
 from wayside.plans import trips, worlds
 from wayside.streaming import lookup, state, timers
 
@@ -86,6 +86,14 @@ def test_a_bucket_of_a_stream_loads_few_states_at_once(monkeypatch):
     assert max(most) == 3 and np.array_equal(got["total"], rows.groupby("run")["v"].cumsum())
 
 
+def test_even_steps_sort_a_run_once_and_shuffle_no_step(spark):
+    df = spark.createDataFrame([(1, 0.5, 1.0), (1, 2.0, 4.0)], "run long, at double, x double")
+    lines = plan(extensions.even_steps(df, "run", "at", ["x"], 0.5)).splitlines()
+    assert not [line for line in lines if "Union" in line or "Join" in line]
+    assert sum("Generate" in line for line in lines) == 1 and sum("Window [" in line for line in lines) <= 2
+    assert max(k for k, line in enumerate(lines) if "Generate" in line) < min(k for k, line in enumerate(lines) if "Exchange" in line)
+
+
 class Value:
     """A value of a state store, or its timers."""
 

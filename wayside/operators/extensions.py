@@ -23,20 +23,21 @@ def even_steps(points: DataFrame, run: str, at: str, columns: list[str], step: f
     bounds = [(F.lit(None) if b is None else b).cast("double").alias(n) for n, b in (("_low", low), ("_high", high))]
     known = points.select(run, F.col(at).cast("double").alias(at), *real, *bounds).dropna(subset=[at, *columns]).where(F.lit(True) if not columns else ~F.greatest(*(F.isnan(c) for c in [at, *columns])))
     one = known.groupBy(run, at).agg(F.max(F.struct(*columns)).alias("here"), F.first("_low", ignorenulls=True).alias("_low"), F.first("_high", ignorenulls=True).alias("_high"))
-    ends = one.groupBy(run).agg(F.coalesce(F.first("_low", ignorenulls=True), F.min(at)).alias("low"), F.coalesce(F.first("_high", ignorenulls=True), F.max(at)).alias("high"), F.min(at).alias("_first"), F.max(at).alias("_last"), F.count(F.lit(1)).alias("_n"))
+    # Each point with the next one; the steps from one to the next are made in place, so a run is sorted once and no step is shuffled.
+    w, whole = Window.partitionBy(run).orderBy(at), Window.partitionBy(run).orderBy(at).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    spot = F.struct(F.col(at).alias("at"), F.col("here").alias("p"))
+    bound = {"low": F.coalesce(F.first("_low", ignorenulls=True).over(whole), F.first(at).over(whole)), "high": F.coalesce(F.first("_high", ignorenulls=True).over(whole), F.last(at).over(whole))}
+    pairs = one.withColumns({**bound, "_b": spot, "_a": F.lead(spot).over(w), "_begins": F.row_number().over(w) == 1})
     # The number of steps as an even range has it: what is left over makes one more.
     count = F.ceil((F.col("high") - F.col("low")) / step - 1e-9)
-    grid = ends.where((F.col("_n") > 1) & (count > 0)).select(run, "low", F.explode(F.sequence(F.lit(0).cast("long"), (count - 1).cast("long"))).alias("i"))
-    asked = grid.select(run, (F.col("low") + F.col("i") * step).alias(at), "i", F.lit(None).cast(one.schema["here"].dataType).alias("here"))
-    both = one.select(run, at, F.lit(None).cast("long").alias("i"), "here").unionByName(asked)
-    spot = F.when(F.col("here").isNotNull(), F.struct(F.col(at).alias("at"), F.col("here").alias("p")))
-    order = Window.partitionBy(run).orderBy(at, F.col("i").isNotNull())
-    back = F.last(spot, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    # The next point, read from behind so that both windows grow one way.
-    ahead = F.last(spot, ignorenulls=True).over(Window.partitionBy(run).orderBy(F.col(at).desc(), F.col("i").isNotNull().desc()).rowsBetween(Window.unboundedPreceding, 0))
-    met = both.withColumns({"_b": back, "_a": ahead}).where("i is not null")
+    # A step more on each side than division tells; which of them lie between the two points is judged by their own places.
+    low_i = F.when(F.col("_begins"), F.lit(0)).otherwise(F.greatest(F.floor((F.col("_b.at") - F.col("low")) / step) - 1, F.lit(0)))
+    high_i = F.when(F.col("_a").isNull(), count - 1).otherwise(F.least(F.ceil((F.col("_a.at") - F.col("low")) / step) + 1, count - 1))
+    many = pairs.where((count > 0) & ~(F.col("_begins") & F.col("_a").isNull())).withColumns({"_from": low_i.cast("long"), "_to": high_i.cast("long")}).where("_from <= _to")
+    steps = many.select(run, "_a", "_b", "_begins", "low", F.explode(F.sequence("_from", "_to")).alias("i")).withColumn(at, F.col("low") + F.col("i") * step)
+    met = steps.where((F.col("_begins") | (F.col(at) >= F.col("_b.at"))) & (F.col("_a").isNull() | (F.col(at) < F.col("_a.at"))))
     share = (F.col(at) - F.col("_b.at")) / (F.col("_a.at") - F.col("_b.at"))
-    value = lambda c: F.when(F.col("_b").isNull(), F.col(f"_a.p.{c}")).when(F.col("_a").isNull() | (F.col("_b.at") == F.col(at)), F.col(f"_b.p.{c}")).otherwise(F.col(f"_b.p.{c}") + (F.col(f"_a.p.{c}") - F.col(f"_b.p.{c}")) * share)
+    value = lambda c: F.when((F.col("_b.at") >= F.col(at)) | F.col("_a").isNull(), F.col(f"_b.p.{c}")).otherwise(F.col(f"_b.p.{c}") + (F.col(f"_a.p.{c}") - F.col(f"_b.p.{c}")) * share)
     return met.select(run, "i", at, *(value(c).alias(c) for c in columns))
 
 
