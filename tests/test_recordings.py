@@ -179,3 +179,12 @@ def test_rigid_fits_leave_out_wrong_places(spark, turn):
     told.append((999, None, 1.0, 1.0, 1.0))
     found, shift, limit = models.rigid_fit(spark.createDataFrame(told, "id long, x double, y double, u double, v double"), ("x", "y"), ("u", "v"))
     assert abs(math.remainder(found - turn, math.tau)) < 1e-4 and np.allclose(shift, (4, -9), atol=5e-3) and limit < 0.1
+
+
+def test_quantiles_are_exact_though_no_task_holds_all_values(spark):
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.pmod(F.xxhash64("id"), F.lit(10_007)) / 7).alias("a"), F.when(F.col("id") % 2 == 0, F.xxhash64("id") / 1e15).alias("b"), F.lit(None).cast("double").alias("c"))
+    for share in (0.0, 0.05, 0.5, 0.65, 1.0):
+        want = list(df.agg(*(F.percentile(c, share) for c in "abc")).first())
+        got = models.quantiles(df, [F.col(c) for c in "abc"], share)
+        assert got[2] is None and got[:2] == pytest.approx(want[:2], rel=1e-15)
+    assert models.quantiles(spark.createDataFrame([(1.0,)], "a double"), [F.col("a")], 0.65) == [1.0]
