@@ -79,7 +79,7 @@ def test_the_last_messages_of_each_topic(spark, tmp_path):
 
 def test_many_recordings_share_tasks_and_files_of_the_sink(spark, tmp_path):
     runs = 3 * 96
-    df = spark.range(runs * 2).selectExpr("cast(id % %d as string) as run_id" % runs, "'/a' as topic", "'T' as type", "id as arrival", "cast(cast(id as string) as binary) as payload")
+    df = spark.range(runs * 2).selectExpr(f"cast(id % {runs} as string) as run_id", "'/a' as topic", "'T' as type", "id as arrival", "cast(cast(id as string) as binary) as payload")
     recordings.record(df, f"{tmp_path}/in").collect()
     reader = recordings._Reader(f"{tmp_path}/in")
     offset = reader.latestOffset()
