@@ -18,6 +18,8 @@ from wayside.llm import decontaminate, langid, linededup, packing, simhash, tabl
 
 #: Near copies: 5-word shingles, of which 0.8 are common.  Of 128 bits of fingerprint such texts differ in 19, give or take 4.
 SHINGLE, LEAST, WORDS, RADIUS, MINIMA = 5, 0.8, 2, 32, 6
+#: Words whose ids a worker keeps while it packs.  Workers stay for what follows, so what they keep adds to what that needs: they forget them after a task.
+KEPT = 100_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +47,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences; an empty text is its end id alone."""
-    return packing.pack(docs)
+    return packing.pack(docs, words=KEPT, keep=False)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

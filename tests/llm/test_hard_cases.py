@@ -4,10 +4,12 @@ import random
 import time
 import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from wayside.llm import decontaminate, htmltext, urlfilter
+from wayside.llm import decontaminate, htmltext, langid, packing, tables, tokens, urlfilter
 
 ENTRIES = "list string, kind string, value string, action string, event string, listed_at long"
 CAPTURES = "page_id long, url string, fetched_at long"
@@ -182,3 +184,43 @@ def test_records_of_odd_tables(spark, tmp_path):
     assert got[2].n_tokens == got[3].n_tokens > 1 and got[2].ids_crc32 == got[3].ids_crc32
     ends = [r.start + r.n_tokens for r in got]
     assert [r.start for r in got] == [0, *ends[:-1]]
+
+
+def test_scoring_languages_takes_little_memory():
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(9999)}" for _ in range(300)) for _ in range(1500)]
+    model = langid.Model(["a", "b"], {"a": ["a"], "b": ["b"]}, np.random.default_rng(1).normal(size=(2 * langid.SIZE + 1, 2)).astype(np.float32), {("family", "a"): 0, ("family", "b"): 1})
+    rows = tables.batch(k=pa.array(range(len(texts))), text=texts)
+    tracemalloc.start()
+    got = pa.Table.from_batches(langid._predict(model)(iter([rows])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25e6  # a MB of texts at once took 49 MB
+    want = [langid._scores(model, [t.encode()]) for t in texts[::100]]
+    assert got["k"].to_pylist() == list(range(len(texts))) and got["lang_pred"].to_pylist()[::100] == [w[0][0] for w in want]
+    assert np.allclose(got["score"].to_pylist()[::100], [w[1][0] for w in want], atol=1e-9)
+
+
+def test_packing_with_few_kept_words(spark):
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(k, " ".join(f"{rng.choice('abc')}{rng.randrange(9999)}." for _ in range(50))) for k in range(400)], "doc_id long, text string").coalesce(1)
+    columns = "doc_id", "start", "length", "ids_crc32", "doc_tokens"
+    want, got = (sorted(map(tuple, packing.pack(docs, **more).select(*columns).collect())) for more in ({}, {"words": 500, "keep": False}))
+    assert got == want
+    path = tokens.tokenizer_path(None)
+    tokens.encoder(path)
+    list(packing._pack(path, 2, 4096, 1 << 16, False, 500, False)(iter([])))
+    assert path not in tokens._ENCODERS
+    held = tokens.encoder(path, 500)
+    for b in range(0, 400, 64):
+        held.encode([r.text.encode() for r in docs.collect()[b : b + 64]])
+    # The words of one call at most besides.
+    assert len(held.ids) + len(held.older) < 2 * 64 * 50 * 3
+    assert tokens.encoder(path).limit == tokens.WORDS
+
+
+def test_arrow_gives_back_what_a_task_had(monkeypatch):
+    given = []
+    monkeypatch.setattr(pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda self: given.append(1)})())
+    rows = tables.batch(k=[1, 2])
+    assert list(tables.releasing(lambda batches: batches)(iter([rows]))) == [rows] and given == [1]

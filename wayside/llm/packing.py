@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import arrow_map, batch
-from .tokens import END_ID, encoder, tokenizer_path
+from .tokens import END_ID, WORDS, Encoder, encoder, forget, tokenizer_path
 
 SIZE = 4096
 
@@ -28,9 +28,15 @@ def pieces(n: int, size: int = SIZE) -> list[int]:
     return [size] * (n // size) + [1 << k for k in range(size.bit_length() - 2, -1, -1) if n % size >> k & 1]
 
 
-def _pack(tokenizer: str, end_id: int, size: int, batch_tokens: int, with_ids: bool):
+def _pack(tokenizer: str, end_id: int, size: int, batch_tokens: int, with_ids: bool, words: int = WORDS, keep: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        try:
+            yield from packed_rows(encoder(tokenizer, words), batches)
+        finally:
+            if not keep:
+                forget(tokenizer)
+
+    def packed_rows(enc: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = dict.fromkeys((1 << k for k in range(size.bit_length())), 0)  # pieces of this task by length
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
@@ -54,7 +60,7 @@ def _pack(tokenizer: str, end_id: int, size: int, batch_tokens: int, with_ids: b
     return run
 
 
-def pack(docs: DataFrame, size: int = SIZE, batch_tokens: int = 1 << 16, tokenizer: str | None = None, end_id: int = END_ID, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, size: int = SIZE, batch_tokens: int = 1 << 16, tokenizer: str | None = None, end_id: int = END_ID, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, keep: bool = True) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket, batch_id and (if asked) ids.
 
     size: a power of two.  Every text is encoded whole and ends with ``end_id``; null and empty
@@ -62,7 +68,8 @@ def pack(docs: DataFrame, size: int = SIZE, batch_tokens: int = 1 << 16, tokeniz
     rows are packed each; an empty table gives no pieces.  ids are packed little-endian
     unsigned 32-bit.  bucket: the length of a sequence as a power of two.  batch_id: with the
     bucket, names up to ``batch_tokens`` tokens of equally long sequences; each task closes its
-    last batch of a bucket where its rows end.
+    last batch of a bucket where its rows end.  words: see ``Encoder.limit``; fewer take less memory
+    and more time, and give the same ids.  keep: whether a worker keeps its tokenizer for the next task.
     """
     if size < 1 or size & (size - 1):
         raise ValueError("size must be a power of two")
@@ -70,7 +77,7 @@ def pack(docs: DataFrame, size: int = SIZE, batch_tokens: int = 1 << 16, tokeniz
         raise ValueError("a batch holds a whole sequence at least")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, batch long" + ", ids binary" * with_ids
-    cut = arrow_map(source, _pack(tokenizer_path(tokenizer), end_id, size, batch_tokens, with_ids), schema)
+    cut = arrow_map(source, _pack(tokenizer_path(tokenizer), end_id, size, batch_tokens, with_ids, words, keep), schema)
     own = F.shiftleft(F.spark_partition_id().cast("long"), 33) + F.col("batch")
     return cut.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "bucket": F.log2("length").cast("int"), "batch_id": own}).drop("batch")
 

@@ -18,6 +18,8 @@ import numpy as np
 
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
+#: Words that a worker keeps before it starts anew, the former ones being kept till then: 200 MB in all at most.
+WORDS = 400_000
 _TAIL = b"!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
 _RUN = 200
 
@@ -55,7 +57,7 @@ def _byte_letters() -> dict[int, int]:
 class Encoder:
     """A tokenizer file's ids for whole texts; at most 2 * ``limit`` words are held."""
 
-    def __init__(self, path: str, limit: int = 400_000) -> None:
+    def __init__(self, path: str, limit: int = WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -136,8 +138,14 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """This process's encoder for a tokenizer file."""
+def encoder(path: str, limit: int = WORDS) -> Encoder:
+    """This process's encoder for a tokenizer file; from now on it keeps ``limit`` words."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+    _ENCODERS[path].limit = limit
     return _ENCODERS[path]
+
+
+def forget(path: str) -> None:
+    """Gives back a tokenizer and the words it has met, for stages that need the memory."""
+    _ENCODERS.pop(path, None)
