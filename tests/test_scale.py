@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from wayside.operators import extensions, folds, matching
+from wayside.operators import extensions, folds, matching, models
 from wayside.plans import trips, worlds
 from wayside.streaming import lookup, state, timers
 
@@ -173,3 +173,24 @@ def test_questions_of_a_page_are_answered_by_their_own_key():
             past = [s for s in held.get(k, []) if s[0] <= r["stamp"]]
             want[r["id"]] = past[-1] if past and r["stamp"] - past[-1][0] <= 20 else None
     assert got == want
+
+
+def test_trees_of_groups_are_those_of_their_rows(spark):
+    rng = random.Random(5)
+    rows = [(float(a), float(b), 3.0 * a + (a > 9) * b + rng.gauss(0, 2)) for a, b in ((rng.randrange(20), rng.randrange(7)) for _ in range(4000))]
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    more = {"trees": 5, "rate": 0.3, "depth": 3, "least": 150}
+    one = models.node_table(models.fit_trees(df, ["a", "b"], "y", **more))
+    groups = models.grouped(df, ["a", "b"], "y")
+    assert groups.count() == 140
+    model = models.fit_trees_grouped(groups, ["a", "b"], "y", **more)
+    two = models.node_table(model)
+    exact = ["tree", "node", "feature", "low", "high"]
+    assert two[exact].values.tolist() == one[exact].values.tolist() and (two["feature"] >= 0).sum() > 15
+    assert np.allclose(two["threshold"], one["threshold"]) and np.allclose(two["value"], one["value"], rtol=1e-9, atol=1e-9)
+    # Rows without a label are counted and not learned from.
+    odd = df.unionByName(spark.createDataFrame([(1.0, 1.0, None), (1.0, 2.0, math.nan), (30.0, 1.0, None)], df.schema))
+    gaps = models.export_gap(model, two, models.grouped(odd, ["a", "b"], "y"), ["a", "b"], ["b"], "n").collect()
+    assert sum(r.n for r in gaps) == 4003 and max(r.gap for r in gaps) < 1e-12
+    again = models.node_table(models.fit_trees_grouped(models.grouped(odd, ["a", "b"], "y"), ["a", "b"], "y", **more))
+    assert np.allclose(again["value"], two["value"])
