@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wayside.functions.route import Atlas, Route
 from wayside.operators import folds, fusion, replay
 from wayside.plans import perturbations, trips
+from wayside.plans.maps import ring
 from wayside.schema import FLAGS, PREDICTION, Settings
 
 S = Settings()
@@ -147,3 +148,15 @@ def test_arms_do_change_where_a_trip_is(spark):
     wide = made.groupBy("run_id", "stamp").pivot("arm", ["provided", "no_late", "bias"]).agg(F.first(F.struct("x", "y")))
     far = lambda arm: F.max(F.hypot(F.col(f"{arm}.x") - F.col("provided.x"), F.col(f"{arm}.y") - F.col("provided.y"))).alias(arm)
     assert all(1 < v < 20 for v in wide.agg(far("no_late"), far("bias")).first())
+
+
+def test_fixes_that_arrive_after_a_later_window_closed_do_not_move_its_match(spark, tmp_path):
+    spark.createDataFrame([(5,), (10,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    way = Route.of(ring(spark, "/root/testdata/sf0.001"), closed=True)
+    ticks, fixes = trips.ticks(spark, str(tmp_path)), trips.fixes(spark, str(tmp_path), way)
+    # Their window is of 3.02 to 6.02 s and closes at the tick of 6.05 s; fixes of 6.00 and 6.02 s arrive a tenth of a second later.
+    late = F.when(F.col("stamp") >= trips.BEGIN + 5_900_000, 0.8).otherwise(0.0)
+    made = [trips.replayed(ticks, rows, "run_id", [way], trips.S).where("init_rms > 0").groupBy("run_id").agg(F.min("stamp").alias("stamp"), F.min("init_rms").alias("low"), F.max("init_rms").alias("high")).collect() for rows in (fixes, fixes.withColumn("x", F.col("x") + late).withColumn("y", F.col("y") + late))]
+    given, moved = (sorted(map(tuple, m)) for m in made)
+    assert [r[:2] for r in given] == [(k, trips.BEGIN + 6_050_000) for k in (5, 10)]
+    assert moved == given
