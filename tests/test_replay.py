@@ -160,3 +160,12 @@ def test_fixes_that_arrive_after_a_later_window_closed_do_not_move_its_match(spa
     given, moved = (sorted(map(tuple, m)) for m in made)
     assert [r[:2] for r in given] == [(k, trips.BEGIN + 6_050_000) for k in (5, 10)]
     assert moved == given
+
+
+def test_a_later_window_waits_for_fixes_measured_in_it(spark, tmp_path):
+    """Of supplier 980 two pairs within the second window have come when it closes, both of a wrong length; the third comes 50 ms later."""
+    spark.createDataFrame([(5,), (980,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/nation.parquet").write.parquet(f"{tmp_path}/nation.parquet")
+    unplaced = lambda df: {r[0]: r[1] for r in df.groupBy("run_id").agg(F.count_if(F.col("flags").bitwiseAND(FLAGS["not_initialized"]) != 0)).collect()}
+    assert unplaced(trips.replay(spark, str(tmp_path))) == {5: 121, 980: 121}
+    assert unplaced(trips.replay(spark, str(tmp_path), waits=False)) == {5: 121, 980: 190}
