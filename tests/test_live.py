@@ -276,3 +276,24 @@ def test_the_oldest_samples_go_alike_under_any_split(spark, tmp_path):
             newest = stamp
             held.append((stamp, value))
     assert got[0] == got[1] == sorted(want, key=repr)
+
+
+def test_no_sample_that_a_question_may_ask_for_goes(spark, tmp_path):
+    """A key whose first question is of its first sample, after 3,000 more."""
+    kind = "run string, id long, ask boolean, stamp long, arrival long, value double"
+    told = [("a", k, False, k, k, float(k)) for k in range(1, 3001)] + [("a", 4000, True, 1, 4000, 0.0), ("a", 4001, True, 2500, 4001, 0.0), ("b", 4002, False, 5, 4002, 7.0)]
+    told += [("b", 4003, True, 6, 4003, 0.0)]
+    for k, part in enumerate((told[:1500], told[1500:3001], told[3001:])):
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        state.run_once(lookup.lookup(spark.readStream.schema(kind).parquet(f"{tmp_path}/in"), ["run"], 10, 0), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    assert rows(spark.read.parquet(f"{tmp_path}/out"), "id", "seen", "value") == [(4000, 1, 1.0), (4001, 2500, 2500.0), (4003, 5, 7.0)]
+
+
+def test_every_value_of_an_opening_window_counts(spark, tmp_path):
+    """5,000 values, the smaller half first: the newest of them alone have another median."""
+    kind = "run string, id long, at long, value double"
+    told = [("a", k, DAWN + k, float(k)) for k in range(5000)] + [("b", 5000, DAWN + 6000, 1.0), ("a", 5001, DAWN + 60 * SECOND, 0.0)]
+    for part in (told[:2500], told[2500:]):
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        state.run_once(timers.opening_window(spark.readStream.schema(kind).parquet(f"{tmp_path}/in"), ["run"], "at", "value", 5 * SECOND, "1 second"), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    assert rows(spark.read.parquet(f"{tmp_path}/out"), "run", "n", "middle") == [("a", 5000, 2499.5), ("b", 1, 1.0)]
