@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -29,7 +30,7 @@ class _Timed(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.page = handle.getValueState("page", "keys binary, waiting binary")
+        self.page = handle.getValueState("page", "keys binary")
 
     def _load(self, names: list[str]) -> tuple[pd.DataFrame | None, list[np.ndarray]]:
         """The keys of the page and of each key the columns ``names``."""
@@ -38,8 +39,8 @@ class _Timed(StatefulProcessor):
         held = unpacked(self.page.get()[0])
         return held.select(self.key).to_pandas(), numbers(held, names)
 
-    def _save(self, keys: pd.DataFrame, waiting: bytes = b"", **columns: np.ndarray) -> None:
-        self.page.update((packed({**{k: keys[k] for k in self.key}, **columns}), waiting))
+    def _save(self, keys: pd.DataFrame, **columns: np.ndarray) -> None:
+        self.page.update((packed({**{k: keys[k] for k in self.key}, **columns}),))
 
     def _rows(self, rows: Iterator[pd.DataFrame], known: pd.DataFrame | None) -> tuple[pd.DataFrame, np.ndarray, pd.DataFrame]:
         """Rows key by key in order, the place of each one's key, and the keys."""
@@ -107,25 +108,31 @@ class FallbackTicks(_Timed):
 class OpeningWindow(_Timed):
     """The first ``length`` of a key, summed up once it is over, by a later row or by time alone.
 
-    At most ``most`` values of a key wait, the newest; how many there were is counted on.
+    Every value of a window waits until it is over, in a list of the state to which a micro-batch adds its part.
     """
 
-    def __init__(self, key: list[str], time: str, value: str, length: int, most: int) -> None:
+    def __init__(self, key: list[str], time: str, value: str, length: int) -> None:
         super().__init__(key, time, ["id"])
-        self.value, self.length, self.most = value, length, most
+        self.value, self.length = value, length
 
-    def _values(self) -> pd.DataFrame:
-        """lane and value of all that wait, oldest first."""
-        data = self.page.get()[1] if self.page.exists() else b""
-        return unpacked(data).to_pandas() if len(data) else pd.DataFrame({"lane": np.zeros(0, np.int64), "value": np.zeros(0)})
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.parts = handle.getListState("parts", "part binary")
+
+    def _add(self, lane: np.ndarray, value: np.ndarray) -> None:
+        if len(lane):
+            self.parts.appendValue((packed({"lane": lane, "value": value}),))
 
-    def _close(self, over: np.ndarray, keys: pd.DataFrame, end: np.ndarray, n: np.ndarray, closed: np.ndarray, values: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    def _close(self, over: np.ndarray, keys: pd.DataFrame, end: np.ndarray, n: np.ndarray, closed: np.ndarray) -> Iterator[pd.DataFrame]:
         """Those that are ``over`` come out and need no values any more."""
-        middle = values.groupby("lane")["value"].median()
         closed |= over
-        values = values[~closed[values["lane"].to_numpy()]]
-        self._save(keys, packed({"lane": values["lane"].to_numpy(), "value": values["value"].to_numpy()}), end=end, n=n, closed=closed)
+        self._save(keys, end=end, n=n, closed=closed)
         if over.any():
+            values = pa.concat_tables([unpacked(p[0]) for p in self.parts.get()]).to_pandas()
+            mine = over[values["lane"].to_numpy()]
+            middle = values[mine].groupby("lane")["value"].median()
+            self.parts.clear()
+            self._add(values["lane"].to_numpy()[~mine], values["value"].to_numpy()[~mine])
             lane = np.flatnonzero(over)
             yield self._out(keys, lane, ends=end[lane], n=n[lane], middle=middle.loc[lane].to_numpy())
 
@@ -140,10 +147,10 @@ class OpeningWindow(_Timed):
         takes = ~closed[lane]
         inside = takes & (times <= end[lane])
         n += np.bincount(lane[inside], minlength=len(keys))
-        values = pd.concat([self._values(), pd.DataFrame({"lane": lane[inside], "value": every[self.value].to_numpy(float)[inside]})], ignore_index=True)
+        self._add(lane[inside], every[self.value].to_numpy(float)[inside])
         over = np.zeros(len(keys), bool)
         over[lane[takes & ~inside]] = True
-        yield from self._close(over, keys, end, n, closed, values.groupby("lane").tail(self.most))
+        yield from self._close(over, keys, end, n, closed)
         self._arm(end[~closed] + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -151,7 +158,7 @@ class OpeningWindow(_Timed):
         closed = closed.astype(bool)
         mark = timerValues.getCurrentWatermarkInMs()
         over = ~closed & (-((-end - 1) // 1000) <= mark)
-        yield from self._close(over, keys, end, n, closed, self._values())
+        yield from self._close(over, keys, end, n, closed)
         if not closed.all():
             self.handle.registerTimer(_millis(int(end[~closed].min()) + 1))
 
@@ -170,6 +177,6 @@ def fallback_ticks(stream: DataFrame, key: list[str], time: str, quiet: int, ste
     return _timed(stream, key, time, delay, FallbackTicks(key, time, quiet, step), "tick long")
 
 
-def opening_window(stream: DataFrame, key: list[str], time: str, value: str, length: int, delay: str, most: int = 2048) -> DataFrame:
+def opening_window(stream: DataFrame, key: list[str], time: str, value: str, length: int, delay: str) -> DataFrame:
     """key, ends, n and middle (the median) of each key's first window; a key comes out once and never again."""
-    return _timed(stream.dropna(subset=[value]), key, time, delay, OpeningWindow(key, time, value, length, most), "ends long, n long, middle double")
+    return _timed(stream.dropna(subset=[value]), key, time, delay, OpeningWindow(key, time, value, length), "ends long, n long, middle double")
