@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayside.functions.route import Atlas, Route
-from wayside.operators import folds, fusion, replay
+from wayside.operators import folds, fusion, joins, replay
 from wayside.plans import perturbations, trips
 from wayside.plans.maps import ring
 from wayside.schema import FLAGS, PREDICTION, Settings
@@ -169,3 +169,19 @@ def test_a_later_window_waits_for_fixes_measured_in_it(spark, tmp_path):
     unplaced = lambda df: {r[0]: r[1] for r in df.groupBy("run_id").agg(F.count_if(F.col("flags").bitwiseAND(FLAGS["not_initialized"]) != 0)).collect()}
     assert unplaced(trips.replay(spark, str(tmp_path))) == {5: 121, 980: 121}
     assert unplaced(trips.replay(spark, str(tmp_path), waits=False)) == {5: 121, 980: 190}
+
+
+def test_pairs_by_windows_are_those_of_the_join(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(r), k, int(s), int(t)) for k, (r, s, t) in enumerate(zip(rng.integers(0, 6, 900), rng.integers(0, 2, 900), rng.integers(0, 400, 900), strict=True))]
+    df = spark.createDataFrame(rows, "run int, id long, side int, stamp long").repartition(5)
+    names = ["run", "a_id", "a_stamp", "b_id", "b_stamp"]
+    want = joins.band_pairs(*(df.where(F.col("side") == k).drop("side") for k in (0, 1)), ["run"], "stamp", 3).select(names)
+    got = joins.nearest_pairs(df, ["run"], "stamp", "side", 3).select(names)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_ticks_are_not_shuffled(spark):
+    """Trips are dealt to tasks before they have ticks; afterwards only fixes, pairs and what folds give are."""
+    physical = trips.replay(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("ENSURE_REQUIREMENTS") <= 10
