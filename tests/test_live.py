@@ -297,3 +297,18 @@ def test_every_value_of_an_opening_window_counts(spark, tmp_path):
         spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         state.run_once(timers.opening_window(spark.readStream.schema(kind).parquet(f"{tmp_path}/in"), ["run"], "at", "value", 5 * SECOND, "1 second"), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
     assert rows(spark.read.parquet(f"{tmp_path}/out"), "run", "n", "middle") == [("a", 5000, 2499.5), ("b", 1, 1.0)]
+
+
+def test_a_match_is_the_median_of_a_runs_pairs():
+    """Whatever number of pairs the other runs of a batch have, and however many there is room for."""
+    model, rng, n = live.Live([LINE], Settings(), opening=64), np.random.default_rng(4), 40
+    held = model.start(n)
+    held["pair_count"][:] = rng.integers(3, 71, n)
+    held["pair_offset"][:], held["pair_cost"][:], held["pair_strict"][:] = rng.normal(size=held["pair_offset"].shape), rng.random(held["pair_cost"].shape), rng.random((n, 64)) < 0.3
+    model._choose(held, np.arange(n), np.ones(n, bool))
+    for k in range(n):
+        pairs = slice(0, min(held["pair_count"][k], 64))
+        strict = held["pair_strict"][k, pairs]
+        used = strict if strict.any() else np.ones(len(strict), bool)
+        assert held["placed"][k] and held["degraded"][k] == (not strict.any())
+        assert held["offset"][k] == np.median(held["pair_offset"][k, 0, pairs][used]) and held["rms"][k] == np.sqrt(np.median(held["pair_cost"][k, 0, pairs][used]))
